@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import html.entities
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagemill.functions.references import COMMON_REFERENCES
+
 _INSIDE_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 
-# One match per token: raw-text element, comment, tag, declaration, text.
+# One match per token: raw-text element, comment, character data section, tag, declaration, text.
+# A ``<`` that starts none of these is text, so the tokens always cover the document.
 # Possessive loops keep the matcher iterative on long input.
 TOKEN_RE = (
     r"(?is)<(script|style)(?=[\s/>])" + _INSIDE_TAG + r".*?</\1\s*+>"
-    r"|<!--.*?-->"
+    r"|<!--.*?-->|<!\[CDATA\[.*?\]\]>"
     r"|</?[a-z]" + _INSIDE_TAG + r"|<[!?/][^>]*+>"
-    r"|(?:[^<]++|<(?![a-z/!?]))++"
+    r"|<?[^<]++(?:<(?![a-z/!?])[^<]*+)*+|<"
 )
 TAG_RE = r"^</?([a-zA-Z][^\s/>]*)"
 _ATTR_RE = r"""(?s)([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
@@ -30,16 +30,6 @@ RAW_TAGS = ["script", "style"]
 # Elements whose strings do not belong to the text of the elements around them.
 HIDDEN_TAGS = ["template", "rt", "rp"]
 
-# References that are frequent enough to be worth a plain replace each.
-COMMON_REFERENCES = {
-    "&quot;": '"', "&lt;": "<", "&gt;": ">", "&nbsp;": "\xa0", "&#39;": "'",
-    "&copy;": "\xa9", "&middot;": "\xb7",
-}
-# Stands for a decoded ``&`` until all other references are done; a noncharacter, so never in text.
-_AMP_MARK = "﷐"
-_REFERENCE_RE = r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);?|[^&]+|&"
-
-
 def html_tokens(doc: Column) -> Column:
     """All tokens of a document in order; joined they give the document back."""
     return F.regexp_extract_all(doc, F.lit(TOKEN_RE), F.lit(0))
@@ -50,13 +40,24 @@ def tag_name(tok: Column) -> Column:
     return F.lower(F.regexp_extract(tok, TAG_RE, 1))
 
 
+def _is_cdata(tok: Column) -> Column:
+    return tok.rlike(r"(?i)^<!\[CDATA\[")
+
+
+def _self_closed(tok: Column) -> Column:
+    """Ends in ``/>`` and the slash is not the end of an unquoted value."""
+    return F.endswith(tok, F.lit("/>")) & ~tok.rlike(r"""=[^\s"'>]+/>$""")
+
+
 def token_kind(tok: Column, tag: Column) -> Column:
     """``open``, ``close``, ``void`` (no content), ``raw`` (script, style), ``comment`` or ``text``."""
     return (
-        F.when(tag == "", F.when(tok.rlike(r"^<[!?/]"), F.lit("comment")).otherwise(F.lit("text")))
+        F.when(~F.startswith(tok, F.lit("<")), F.lit("text"))
+        .when(tag == "", F.when(tok.rlike(r"(?s)^<[!?/].*>$") & ~_is_cdata(tok), F.lit("comment")).otherwise(F.lit("text")))
+        .when(~F.endswith(tok, F.lit(">")), F.lit("text"))
         .when(F.startswith(tok, F.lit("</")), F.lit("close"))
         .when(tag.isin(RAW_TAGS) & F.contains(tok, F.lit("</")), F.lit("raw"))
-        .when(tag.isin(VOID_TAGS) | F.endswith(tok, F.lit("/>")), F.lit("void"))
+        .when(tag.isin(VOID_TAGS) | _self_closed(tok), F.lit("void"))
         .otherwise(F.lit("open"))
     )
 
@@ -78,62 +79,25 @@ def raw_attribute(tok: Column, name: str) -> Column:
     return F.when(F.contains(F.lower(tok), F.lit(name)), _unquoted(found))
 
 
-def attribute(tok: Column, name: str) -> Column:
-    """Decoded value of an attribute of a tag token, NULL if it has none."""
-    return decode_references(raw_attribute(tok, name), in_attribute=True)
-
-
 def has_class(classes: Column, name: str) -> Column:
     """Is ``name`` one of the white-space separated words of a class attribute?"""
     return F.coalesce(F.array_contains(F.split(classes, r"\s+"), name), F.lit(False))
 
 
-def _entity_table() -> Column:
-    """Named references with a semicolon, from the standard table; a foldable map literal."""
-    table = {name[:-1]: chars for name, chars in html.entities.html5.items() if name.endswith(";")}
-    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
-
-
-def _code_point(number: Column) -> Column:
-    """Character of a numeric reference; 128-159 follow windows-1252, invalid ones give U+FFFD."""
-    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    as_utf32 = F.unhex(F.lpad(F.hex(number), 8, "0"))
-    as_byte = F.unhex(F.lpad(F.hex(number), 2, "0"))
-    return (
-        F.when(number.between(128, 159), F.decode(as_byte, "windows-1252"))
-        .when(valid, F.decode(as_utf32, "UTF-32"))
-        .otherwise(F.lit("�"))
-    )
+def decode_references(c: Column) -> Column:
+    """Decode the frequent character references; see ``functions.references`` for the others."""
+    decoded = c
+    for ref, char in COMMON_REFERENCES.items():
+        decoded = F.replace(decoded, F.lit(ref), F.lit(char))
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
-def _decode_piece(piece: Column, in_attribute: bool) -> Column:
-    closed = F.endswith(piece, F.lit(";"))
-    body = F.regexp_replace(piece, r"^&|;$", "")
-    is_hex = body.rlike(r"^#[xX]")
-    digits = F.regexp_replace(body, r"^#[xX]?0*", "")
-    number = F.when(F.length(digits) > 7, F.lit(0x110000)).otherwise(
-        F.when(is_hex, F.conv(F.concat(F.lit("0"), digits), 16, 10)).otherwise(F.concat(F.lit("0"), digits)).cast("int")
-    )
-    named = F.try_element_at(_entity_table(), body)
-    unknown = piece if in_attribute else F.concat(F.lit("&"), body)
-    decoded = F.when(F.startswith(body, F.lit("#")), _code_point(number)).otherwise(F.coalesce(named, unknown))
-    plain = ~F.startswith(piece, F.lit("&")) | (F.length(piece) == 1)
-    if in_attribute:
-        plain = plain | ~closed
-    return F.when(plain, piece).otherwise(decoded)
+def text_value(tok: Column) -> Column:
+    """Characters of a text token."""
+    section = F.regexp_replace(tok, r"(?s)^<!\[[A-Za-z]+\[|\]\]>$", "")
+    return F.when(F.startswith(tok, F.lit("<![")), section).otherwise(decode_references(tok))
 
 
-def decode_references(c: Column, in_attribute: bool = False) -> Column:
-    """Decode character references.
-
-    Text without ``&`` passes untouched; frequent references are plain replaces; only what
-    is left with ``&`` is cut into pieces.  In text an unknown name loses its semicolon; in an
-    attribute only references with a semicolon count.
-    """
-    quick = F.replace(c, F.lit("&amp;"), F.lit(_AMP_MARK))
-    for ref, char in COMMON_REFERENCES.items():
-        quick = F.replace(quick, F.lit(ref), F.lit(char))
-    pieces = F.regexp_extract_all(quick, F.lit(_REFERENCE_RE), F.lit(0))
-    slow = F.array_join(F.transform(pieces, lambda p: _decode_piece(p, in_attribute)), "")
-    done = F.replace(F.when(F.contains(quick, F.lit("&")), slow).otherwise(quick), F.lit(_AMP_MARK), F.lit("&"))
-    return F.when(F.contains(c, F.lit("&")), done).otherwise(c)
+def attribute(tok: Column, name: str) -> Column:
+    """Decoded value of an attribute of a tag token, NULL if it has none."""
+    return decode_references(raw_attribute(tok, name))

@@ -1,0 +1,89 @@
+"""Rewrite a document with unbalanced markup so that its tags balance.
+
+Used only on documents that the balance check flags (``operators.tokens``).
+"""
+
+from __future__ import annotations
+
+import sys
+from html import escape
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from pagemill.functions.html import RAW_TAGS, VOID_TAGS
+
+# Executors need not have this package: the helper travels with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class _Rewriter(HTMLParser):
+    """Closes what an outer end tag leaves open and drops end tags that close nothing."""
+
+    CDATA_CONTENT_ELEMENTS = tuple(RAW_TAGS)
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=False)
+        self.out: list[str] = []
+        self.open: list[str] = []
+
+    def _start(self, tag: str, attrs: list) -> None:
+        # on a repeated name the last value counts
+        pairs = [f'{k}="{escape(v or "", quote=True)}"' for k, v in dict(attrs).items()]
+        self.out.append("<" + " ".join([tag, *pairs]) + ">")
+
+    def handle_starttag(self, tag, attrs):
+        self._start(tag, attrs)
+        if tag not in VOID_TAGS:
+            self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self._start(tag, attrs)
+        if tag not in VOID_TAGS:
+            self.out.append(f"</{tag}>")
+            self.clear_cdata_mode()
+
+    def handle_endtag(self, tag):
+        while tag in self.open:
+            last = self.open.pop()
+            self.out.append(f"</{last}>")
+            if last == tag:
+                break
+
+    def handle_data(self, data):
+        raw = bool(self.open) and self.open[-1] in RAW_TAGS
+        self.out.append(data if raw else data.replace("<", "&lt;"))
+
+    def handle_entityref(self, name):
+        self.out.append(f"&{name};")
+
+    def handle_charref(self, name):
+        self.out.append(f"&#{name};")
+
+    def handle_comment(self, data):
+        self.out.append("<!--" + data.replace("-->", "") + "-->")
+
+    def handle_decl(self, decl):
+        self.out.append(f"<!{decl}>")
+
+    def handle_pi(self, data):
+        self.out.append(f"<?{data}>")
+
+    def unknown_decl(self, data):
+        if data.upper().startswith("CDATA["):
+            self.out.append(escape(data[6:], quote=False))
+
+    def rewritten(self, doc: str) -> str:
+        self.feed(doc)
+        self.close()
+        self.out.extend(f"</{tag}>" for tag in reversed(self.open))
+        return "".join(self.out)
+
+
+@F.pandas_udf(StringType())
+def repaired_html(docs: pd.Series) -> pd.Series:
+    """NULL stays NULL, so rows that need no repair cost nothing here."""
+    return docs.map(lambda d: _Rewriter().rewritten(d), na_action="ignore")

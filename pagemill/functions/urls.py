@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # RFC 3986, appendix B, with the scheme's own character set.
@@ -27,19 +27,32 @@ def _cleaned(url: Column) -> Column:
     return F.translate(F.regexp_replace(url, r"^[\x00-\x20]+", ""), "\t\r\n", "")
 
 
-def url_parts(url: Column) -> Column:
-    """``struct<scheme, netloc, path, params, query, fragment>``; absent parts are ''."""
-    u = _cleaned(url)
-    scheme = F.lower(F.regexp_extract(u, URL_RE, 1))
-    raw_path = F.regexp_extract(u, URL_RE, 3)
-    has_params = F.contains(raw_path, F.lit(";")) & scheme.isin(PARAM_SCHEMES)
-    return F.struct(
-        scheme.alias("scheme"),
-        F.regexp_extract(u, URL_RE, 2).alias("netloc"),
-        F.when(has_params, F.regexp_replace(raw_path, r";[^/]*$", "")).otherwise(raw_path).alias("path"),
-        F.when(has_params, F.regexp_extract(raw_path, r";([^/]*)$", 1)).otherwise(F.lit("")).alias("params"),
-        F.regexp_extract(u, URL_RE, 4).alias("query"),
-        F.regexp_extract(u, URL_RE, 5).alias("fragment"),
+def with_url_parts(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
+    """Add ``scheme, netloc, path, params, query, fragment`` of a URL column; absent parts are ''.
+
+    The columns are added in stages, so that later stages refer to plain columns and no
+    pattern is evaluated twice.
+    """
+    raw, col = f"_{prefix}raw_path", f"_{prefix}url"
+    has_params = F.contains(F.col(raw), F.lit(";")) & F.col(f"{prefix}scheme").isin(PARAM_SCHEMES)
+    return (
+        df.withColumn(col, _cleaned(F.col(url)))
+        .withColumns(
+            {
+                f"{prefix}scheme": F.lower(F.regexp_extract(col, URL_RE, 1)),
+                f"{prefix}netloc": F.regexp_extract(col, URL_RE, 2),
+                raw: F.regexp_extract(col, URL_RE, 3),
+                f"{prefix}query": F.regexp_extract(col, URL_RE, 4),
+                f"{prefix}fragment": F.regexp_extract(col, URL_RE, 5),
+            }
+        )
+        .withColumns(
+            {
+                f"{prefix}path": F.when(has_params, F.regexp_replace(raw, r";[^/]*$", "")).otherwise(F.col(raw)),
+                f"{prefix}params": F.when(has_params, F.regexp_extract(raw, r";([^/]*)$", 1)).otherwise(F.lit("")),
+            }
+        )
+        .drop(col, raw)
     )
 
 
@@ -63,17 +76,18 @@ def url_join(scheme: Column, netloc: Column, path: Column, params: Column, query
     )
 
 
-def url_defragment(url: Column, canonical: bool = False) -> Column:
-    """Drop the fragment.  Query, trailing slash and letter case stay as they are.
+def with_defragmented(df: DataFrame, url: str, out: str, canonical: bool = False) -> DataFrame:
+    """Add ``url`` without its fragment.  Query, trailing slash and letter case stay as they are.
 
     ``canonical=True`` also lower-cases the host and gives a bare host the path ``/``.
     """
-    p = url_parts(url)
-    netloc, path = p["netloc"], p["path"]
+    parts = with_url_parts(df, url, "_d_")
+    netloc, path = F.col("_d_netloc"), F.col("_d_path")
     if canonical:
         path = F.when((netloc != "") & (path == ""), F.lit("/")).otherwise(path)
         netloc = F.lower(netloc)
-    return url_join(p["scheme"], netloc, path, p["params"], p["query"], F.lit(""))
+    joined = url_join(F.col("_d_scheme"), netloc, path, F.col("_d_params"), F.col("_d_query"), F.lit(""))
+    return parts.withColumn(out, joined).drop(*[f"_d_{p}" for p in _PARTS])
 
 
 def _without_dots(segments: Column) -> Column:
@@ -88,45 +102,50 @@ def _without_dots(segments: Column) -> Column:
     return F.when(ends_in_dots, F.concat(walked, F.array(F.lit("")))).otherwise(walked)
 
 
-def _merged_path(base_path: Column, path: Column) -> Column:
-    """Path of a relative reference against the base path, dot segments removed."""
-    absolute = F.startswith(path, F.lit("/"))
-    base_dir = F.regexp_replace(base_path, r"[^/]*$", "")
-    joined = F.when(absolute, path).otherwise(
-        F.regexp_replace(F.concat(F.when(base_dir == "", F.lit("/")).otherwise(base_dir), path), r"(?<=.)/+(?=/)", "")
+def with_resolved(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
+    """Add the absolute URL of ``href`` as found on the page ``base``."""
+    parts = with_url_parts(with_url_parts(df, base, "_b_"), href, "_h_")
+    b = {p: F.col(f"_b_{p}") for p in _PARTS}
+    h = {p: F.col(f"_h_{p}") for p in _PARTS}
+    base_dir = F.regexp_replace(b["path"], r"[^/]*$", "")
+    joined = F.when(F.startswith(h["path"], F.lit("/")), h["path"]).otherwise(
+        F.regexp_replace(F.concat(F.when(base_dir == "", F.lit("/")).otherwise(base_dir), h["path"]), r"/+", "/")
     )
-    dotted = joined.rlike(r"(?:^|/)\.\.?(?:/|$)")
-    result = F.when(dotted, F.array_join(_without_dots(F.split(joined, "/", -1)), "/")).otherwise(joined)
-    return F.when(result == "", F.lit("/")).otherwise(result)
-
+    staged = parts.withColumns(
+        {"_scheme": F.when(h["scheme"] == "", b["scheme"]).otherwise(h["scheme"]), "_joined": joined}
+    )
+    dotted = F.col("_joined").rlike(r"(?:^|/)\.\.?(?:/|$)")
+    undotted = F.array_join(_without_dots(F.split("_joined", "/", -1)), "/")
+    staged = staged.withColumn("_merged", F.when(dotted, undotted).otherwise(F.col("_joined")))
+    scheme = F.col("_scheme")
+    merged = F.when(F.col("_merged") == "", F.lit("/")).otherwise(F.col("_merged"))
 
-def url_resolve(base: Column, href: Column) -> Column:
-    """Absolute URL of ``href`` found on the page ``base``."""
-    b, h = url_parts(base), url_parts(href)
-    scheme = F.when(h["scheme"] == "", b["scheme"]).otherwise(h["scheme"])
-    foreign = (scheme != b["scheme"]) | ~scheme.isin(RELATIVE_SCHEMES)
-    same_document = (h["path"] == "") & (h["params"] == "")
     own_host = (h["netloc"] != "") & scheme.isin(NETLOC_SCHEMES)
-    return (
-        F.when(base == "", href)
-        .when(href == "", base)
-        .when(foreign, href)
-        .when(own_host, url_join(scheme, h["netloc"], h["path"], h["params"], h["query"], h["fragment"]))
-        .when(
-            same_document,
-            url_join(
-                scheme,
-                b["netloc"],
-                b["path"],
-                b["params"],
-                F.when(h["query"] == "", b["query"]).otherwise(h["query"]),
-                h["fragment"],
-            ),
-        )
-        .otherwise(
-            url_join(scheme, b["netloc"], _merged_path(b["path"], h["path"]), h["params"], h["query"], h["fragment"])
-        )
+    same_document = (h["path"] == "") & (h["params"] == "")
+    path = F.when(own_host, h["path"]).when(same_document, b["path"]).otherwise(merged)
+    params = F.when(~own_host & same_document, b["params"]).otherwise(h["params"])
+    query = F.when(~own_host & same_document & (h["query"] == ""), b["query"]).otherwise(h["query"])
+    staged = staged.withColumns(
+        {
+            "_netloc": F.when(own_host, h["netloc"]).otherwise(b["netloc"]),
+            "_path": path,
+            "_params": params,
+            "_query": query,
+        }
+    )
+    foreign = (scheme != b["scheme"]) | ~scheme.isin(RELATIVE_SCHEMES)
+    rebuilt = url_join(
+        scheme, F.col("_netloc"), F.col("_path"), F.col("_params"), F.col("_query"), h["fragment"]
+    )
+    resolved = (
+        F.when(F.col(base) == "", F.col(href))
+        .when(F.col(href) == "", F.col(base))
+        .when(foreign, F.col(href))
+        .otherwise(rebuilt)
     )
+    temps = [f"_{s}_{p}" for s in "bh" for p in _PARTS]
+    temps += ["_scheme", "_joined", "_merged", "_netloc", "_path", "_params", "_query"]
+    return staged.withColumn(out, resolved).drop(*temps)
 
 
 def _base_size(labels: Column) -> Column:
