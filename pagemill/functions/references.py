@@ -61,10 +61,10 @@ COMMON_REFERENCES = {
 _OTHERS = r"&(?!(?:" + "|".join(ref[1:-1] for ref in COMMON_REFERENCES) + r");)[#a-zA-Z]"
 
 
-def with_common_references(pages: DataFrame) -> DataFrame:
-    """Pages with content, whose ``html`` has no character references but the frequent ones."""
+def with_common_references(df: DataFrame, col: str = "html") -> DataFrame:
+    """Rows whose ``col`` has no character references but the frequent ones; empty ones are left out."""
+    kept = df.where(F.length(col) > 0)
     # declared non-deterministic so that the optimizer does not copy the column into its consumers,
     # where it would tokenise every page several times
-    other = F.when(F.col("html").rlike(_OTHERS), F.col("html"))
-    kept = pages.where(F.length("html") > 0)
-    return kept.withColumn("html", F.coalesce(_replaced.asNondeterministic()(other), F.col("html")))
+    other = F.when(F.col(col).rlike(_OTHERS), F.col(col))
+    return kept.withColumn(col, F.coalesce(_replaced.asNondeterministic()(other), F.col(col)))

@@ -10,6 +10,8 @@ does not matter, and a lost executor costs one split.  Its time is linear in the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def _serialized_length(x: Column) -> Column:
     )
 
 
-def _facts(x: Column) -> Column:
+def _facts(x: Column, every_element: bool) -> Column:
     """What the layout step and its consumers need to know about one token."""
     start = x["kind"].isin("open", "void")
     prio = F.when(start, TK.main_priority(x["tag"], x["ident"], x["role"], x["classes"]))
@@ -73,7 +75,8 @@ def _facts(x: Column) -> Column:
         strip(x["decoded"]).alias("text"),
         _serialized_length(x).alias("html_len"),
         (start & (x["tag"].isin(CLEAN_TAGS) | of_class)).alias("cut"),
-        (start & (x["tag"].isin(TK.BLOCK_TAGS) | prio.isNotNull())).alias("track"),
+        (start if every_element else start & (x["tag"].isin(TK.BLOCK_TAGS) | prio.isNotNull())).alias("track"),
+        *([x["tok"]] if every_element else []),
     )
 
 
@@ -87,20 +90,21 @@ def _kind_code(x: Column) -> Column:
     )
 
 
-def page_documents(pages: DataFrame) -> DataFrame:
+def page_documents(pages: DataFrame, every_element: bool = False) -> DataFrame:
     """``(page_id, url, texts, elems, metas)``, one row per page with content.
 
     ``texts``: ``(pos, text, unwanted, around, skipped)`` with the depth of the regions that some
     operator leaves out.  ``elems``: elements by position with extent ``pos, end``, attributes, region
     depths, the text range ``t_from, t_to``, and text and markup size outside header, footer, nav
-    and aside.  ``metas``: ``(pos, name, content)``.
+    and aside.  ``metas``: ``(name, content)``.  ``every_element`` keeps all elements, with their start
+    tag ``tok``, instead of those that the fixed operators look at.
     """
     tagged = F.transform("toks", lambda t: F.struct(t.alias("tok"), _named(t).alias("tag")))
     kinds = F.transform(tagged, lambda x: F.struct(x["tok"], x["tag"], H.token_kind(x["tok"], x["tag"]).alias("kind")))
     rows = TK.page_token_arrays(with_common_references(pages)).select(
         "page_id",
         "url",
-        F.transform(F.transform(kinds, _with_attributes), _facts).alias("_toks"),
+        F.transform(F.transform(kinds, _with_attributes), lambda x: _facts(x, every_element)).alias("_toks"),
         F.filter("toks", lambda t: t.rlike(r"(?i)^<meta[\s/>]")).alias("_metas"),
     )
     tags = F.filter("_toks", lambda x: x["kind"].isin("open", "close"))
@@ -125,6 +129,7 @@ def page_documents(pages: DataFrame) -> DataFrame:
             e["pos"], e["end"],
             *[token(e, f).alias(f) for f in ("tag", "ident", "classes", "role", "prio", "href")],
             e["unwanted"], e["around"], e["skipped"], e["t_from"], e["t_to"], e["text_len"], e["html_len"],
+            *([token(e, "tok").alias("tok")] if every_element else []),
         ),
     )
     metas = F.transform(
@@ -144,15 +149,14 @@ def elements(*tags: str) -> Column:
     return F.filter("elems", lambda e: e["tag"].isin(list(tags)))
 
 
-def texts_in(elem: Column) -> Column:
-    """The text entries an element encloses."""
-    return F.slice("texts", elem["t_from"], elem["t_to"] - elem["t_from"] + 1)
+Keep = Callable[[Column], Column]
 
 
 def joined(texts: Column, sep: str = "") -> Column:
     return F.array_join(F.transform(texts, lambda t: t["text"]), sep)
 
 
-def text_of(elem: Column, sep: str = "") -> Column:
-    """All text of an element, '' if it has none."""
-    return joined(texts_in(elem), sep)
+def text_of(elem: Column, sep: str = "", keep: Keep | None = None) -> Column:
+    """All text of an element, or that of the entries ``keep`` accepts; '' if there is none."""
+    inside = F.slice("texts", elem["t_from"], elem["t_to"] - elem["t_from"] + 1)
+    return joined(F.filter(inside, keep) if keep else inside, sep)
