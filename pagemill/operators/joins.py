@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import materialize
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 SALTS = 64
@@ -32,13 +34,10 @@ def skew_safe_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner
     if broadcast:
         return big.join(F.broadcast(small), key, how)
     partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    hot = (
-        counts.join(F.broadcast(total))
-        .where((F.col("_n") * partitions > F.col("_total")) & F.col(key).isNotNull())
-        .select(key, F.lit(True).alias("_hot"))
-    )
+    counts = materialize(big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    is_hot = (F.col("_n") * partitions > total) & F.col(key).isNotNull()
+    hot = counts.where(is_hot).select(key, F.lit(True).alias("_hot"))
     spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(SALTS))).otherwise(F.lit(0))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = big.join(F.broadcast(hot), key, "left").withColumn("_salt", spread.cast("int")).drop("_hot")
