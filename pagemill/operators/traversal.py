@@ -17,15 +17,18 @@ from pagemill.session import materialize
 SORTED_LIMIT = 100_000
 
 
-def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+ORDER = ["order_key", "url"]
+
+
+def first_rows(df: DataFrame, n: int, order: list[str] = ORDER) -> DataFrame:
     """The exact first ``n`` rows by a unique key.
 
     A large ``n`` is cut by range partitions: whole ranges are taken until the limit falls inside
     one, and only that one is cut again.  The driver sees one count per range.
     """
     if n <= SORTED_LIMIT:
-        return df.orderBy(order).limit(n)
-    ranged = materialize(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+        return df.orderBy(*order).limit(n)
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     taken, last = 0, None
     for part, size in sorted(tuple(r) for r in ranged.groupBy("_range").count().collect()):
         if taken + size > n:
@@ -36,8 +39,8 @@ def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
         return ranged.drop("_range")
     whole = ranged.where(F.col("_range") < last).drop("_range")
     if taken == 0 and ranged.where(F.col("_range") > last).isEmpty():
-        return ranged.drop("_range").orderBy(order).limit(n)  # one range holds everything
-    return whole.unionByName(first_rows(ranged.where(F.col("_range") == last).drop("_range"), order, n - taken))
+        return ranged.drop("_range").orderBy(*order).limit(n)  # one range holds everything
+    return whole.unionByName(first_rows(ranged.where(F.col("_range") == last).drop("_range"), n - taken, order))
 
 
 def expand_level(frontier: DataFrame, links: DataFrame, small: bool | None = None) -> DataFrame:
@@ -81,16 +84,16 @@ def traverse(
     rules: DataFrame | None = None,
     fetched: DataFrame | None = None,
 ) -> Traversal:
-    """Walk the link table from ``seeds(url)``, level by level.
+    """Walk the link table from ``seeds(url)``, or ``seeds(url, pos)`` to order several, level by level.
 
     At most ``max_depth + 1`` rounds; each writes its new frontier to the shared folder, so a lost executor
     never repeats earlier rounds.  ``options`` admits targets (seeds are not checked); a rejected target is
     not remembered.  ``fetched(url)`` are the pages at hand: others count as visited but yield no
     links.  The link table is read once per level.
     """
-    start = seeds.select("url").distinct()
-    order = F.array(F.xxhash64("url").cast("int")) if seeds.limit(2).count() > 1 else F.array(F.lit(0))
-    frontier = materialize(start.select("url", F.lit(0).alias("depth"), order.alias("order_key")), "level")
+    pos = F.col("pos").cast("int") if "pos" in seeds.columns else F.lit(0)
+    start = seeds.select("url", F.lit(0).alias("depth"), F.array(pos).alias("order_key"))
+    frontier = materialize(start.groupBy("url", "depth").agg(F.min("order_key").alias("order_key")), "level")
     discovered, levels, n_visited = frontier, [], 0
     queued = frontier.limit(0)
     for depth in range(max_depth + 1):
@@ -100,7 +103,7 @@ def traverse(
             break
         take = frontier
         if n_visited + size > max_pages:
-            take = materialize(first_rows(frontier, "order_key", max_pages - n_visited), "level")
+            take = materialize(first_rows(frontier, max_pages - n_visited), "level")
             queued = queued.unionByName(frontier.join(take.select("url"), "url", "left_anti"))
         n_visited += min(size, max_pages - n_visited)
         levels.append(take)
@@ -130,7 +133,7 @@ def reachable(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int
 
 def visit_order(visited: DataFrame) -> DataFrame:
     """Visited pages in the order of the visits: level by level, then by key."""
-    return visited.orderBy("depth", "order_key")
+    return visited.orderBy("depth", *ORDER)
 
 
 def subdomains_visited(visited: DataFrame) -> DataFrame:
