@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.plan import pinned
 from pagemill.functions.text import collapse_blank_lines
 from pagemill.operators.document import text_of
 
@@ -50,9 +51,9 @@ def with_main(docs: DataFrame) -> DataFrame:
         )
     )["extent"]
     return (
-        docs.withColumn("_best", best)
+        docs.withColumn("_best", pinned(best))
         .withColumn("by_density", F.col("_best").isNull())
-        .withColumn("main", F.coalesce("_best", densest))
+        .withColumn("main", pinned(F.coalesce("_best", densest)))
         .drop("_best")
     )
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions.layout import page_layout
+from pagemill.functions.plan import pinned
 from pagemill.functions.references import with_common_references
 from pagemill.functions.text import strip
 from pagemill.operators import tokens as TK
@@ -140,7 +141,7 @@ def page_documents(pages: DataFrame, every_element: bool = False) -> DataFrame:
         ),
     )
     return rows.withColumn("_layout", layout).select(
-        "page_id", "url", text_rows.alias("texts"), elem_rows.alias("elems"), metas.alias("metas")
+        "page_id", "url", pinned(text_rows).alias("texts"), pinned(elem_rows).alias("elems"), pinned(metas).alias("metas")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
+from pagemill.functions.plan import pinned
 from pagemill.functions.text import strip
 from pagemill.operators.content import is_removed, with_main
 from pagemill.operators.document import text_of
@@ -224,5 +225,5 @@ def apply_selectors(docs: DataFrame, per_page: DataFrame) -> DataFrame:
         F.filter("_found", lambda f: f["first"].isNotNull()),
         lambda f: F.struct(f["field"], text_of(f["first"], keep=lambda t: ~is_removed(t)).alias("text")),
     )
-    joined = with_main(docs).join(per_page, "page_id").withColumn("_live", live).withColumn("_found", found)
+    joined = with_main(docs).join(per_page, "page_id").withColumn("_live", pinned(live)).withColumn("_found", pinned(found))
     return joined.select("page_id", F.map_from_entries(texts).alias("extra"))

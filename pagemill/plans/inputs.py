@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import urls as U
 from pagemill.operators.links import extract_links
+from pagemill.session import materialize
 from pagemill.sources.pages import load_pages
 
 SEED_URL = "http://www.example.com/"
@@ -20,9 +21,14 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_pages(spark, f"{sf_dir}/pages.parquet")
 
 
+def links_of(pages: DataFrame) -> DataFrame:
+    """The link table, stored: graph queries read it several times, and plan over plain columns."""
+    return materialize(extract_links(pages), "links")
+
+
 def urls_of(pages: DataFrame) -> DataFrame:
     """``(url)`` of all pages and all link targets."""
-    return pages.select("url").unionByName(extract_links(pages).select(F.col("dst_url").alias("url")))
+    return pages.select("url").unionByName(links_of(pages).select(F.col("dst_url").alias("url")))
 
 
 def _segment(n: int) -> Column:
@@ -84,7 +90,7 @@ def word_graph(pages: DataFrame) -> DataFrame:
 
     Links of the corpus lead to no page of it; through the words a traversal goes on.
     """
-    links = extract_links(pages)
+    links = links_of(pages)
     edges = U.with_defragmented(
         links.select("src_page_id", "src_url", "pos", F.concat(F.lit(WORD_HOST), F.col("href")).alias("word")), "src_url", "page"
     )

@@ -78,7 +78,7 @@ def url_parts(pages):
 
 @query(O.with_(O.LINKS, "SELECT src_url, href, dst_url AS resolved FROM link"))
 def url_resolve(pages):
-    found = links.extract_links(pages).select("src_url", "href")
+    found = I.links_of(pages).select("src_url", "href")
     return U.with_resolved(found, "src_url", "href", "resolved")
 
 
@@ -213,7 +213,7 @@ def link_anchors(pages):
     )
 )
 def link_graph(pages):
-    return links.link_graph(links.extract_links(pages))
+    return links.link_graph(I.links_of(pages))
 
 
 @query(
@@ -225,12 +225,12 @@ def link_graph(pages):
     )
 )
 def link_degrees(pages):
-    return links.link_degrees(links.extract_links(pages))
+    return links.link_degrees(I.links_of(pages))
 
 
 @query(O.with_(O.LINKS, f"SELECT page_id, url FROM pages WHERE {O.defragmented('url')} NOT IN (SELECT dst_url FROM link)"))
 def orphan_pages(pages):
-    return links.orphan_pages(pages, links.extract_links(pages))
+    return links.orphan_pages(pages, I.links_of(pages))
 
 
 # --- metadata ----------------------------------------------------------------------------------
@@ -597,7 +597,7 @@ def expand_level(pages):
 @query(_PAGES_LEVEL.format(u=O.defragmented("url"), where=f"WHERE dst NOT IN (SELECT '{I.WORD_HOST}' || href FROM link WHERE src_page_id = 0)"))
 def dedupe_frontier(pages):
     level = traversal.expand_level(_all_pages_level(pages), I.word_graph(pages))
-    known = links.extract_links(pages).where("src_page_id = 0").select(F.concat(F.lit(I.WORD_HOST), F.col("href")).alias("url"))
+    known = I.links_of(pages).where("src_page_id = 0").select(F.concat(F.lit(I.WORD_HOST), F.col("href")).alias("url"))
     return traversal.dedupe_frontier(level, known).select("url", *_big("depth"), _key())
 
 
