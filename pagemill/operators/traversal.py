@@ -96,6 +96,7 @@ def traverse(
     frontier = materialize(start.groupBy("url", "depth").agg(F.min("order_key").alias("order_key")), "level")
     discovered, levels, n_visited = frontier, [], 0
     queued = frontier.limit(0)
+    at_hand = None if fetched is None else fetched.select("url").distinct().withColumn("_at_hand", F.lit(True))
     for depth in range(max_depth + 1):
         size = frontier.count()
         if size == 0 or n_visited >= max_pages:
@@ -109,7 +110,8 @@ def traverse(
         levels.append(take)
         if depth == max_depth:
             break
-        found = dedupe_frontier(expand_level(take, links, small=size <= BROADCAST_ROWS), discovered)
+        live = take if at_hand is None else take.join(at_hand.select("url"), "url", "left_semi")
+        found = dedupe_frontier(expand_level(live, links, small=size <= BROADCAST_ROWS), discovered)
         if options is not None:
             found = admit_urls(found, options, rules).where("admitted").drop("admitted", "reject_reason")
         frontier = materialize(found.select("url", "depth", "order_key"), "level")
@@ -117,10 +119,9 @@ def traverse(
     visited = levels[0] if levels else frontier.limit(0)
     for level in levels[1:]:
         visited = visited.unionByName(level)
-    if fetched is None:
+    if at_hand is None:
         visited = visited.withColumn("fetched", F.lit(True))
     else:
-        at_hand = fetched.select("url").distinct().withColumn("_at_hand", F.lit(True))
         visited = visited.join(at_hand, "url", "left")
         visited = visited.withColumn("fetched", F.col("_at_hand").isNotNull()).drop("_at_hand")
     return Traversal(visited, queued)

@@ -30,7 +30,7 @@ SEP = " | "
 ADMIT_OPTIONS = CrawlOptions(
     I.SEED_URL, exclude_patterns=("utm_source",), include_patterns=("/(?:en|fr)/", "/[a-z]+$")
 )
-WALK_DEPTH, WALK_PAGES = 3, 40
+WALK_DEPTH, WALK_PAGES = 3, 5
 
 
 def query(sql: str | None = None) -> Callable[[Callable], Callable]:
@@ -524,9 +524,9 @@ def _seed(pages):
 def _walk(pages, max_pages: int) -> traversal.Traversal:
     from pagemill.session import materialize
 
-    own = U.with_defragmented(pages.select("url"), "url", "clean").select(F.col("clean").alias("url"))
     graph = materialize(I.word_graph(pages), "links")
-    return traversal.traverse(graph, _seed(pages), WALK_DEPTH, max_pages, options=_OPTIONS, fetched=own)
+    at_hand = graph.select(F.col("src_url").alias("url"))
+    return traversal.traverse(graph, _seed(pages), WALK_DEPTH, max_pages, options=_OPTIONS, fetched=at_hand)
 
 
 def _key() -> Column:
@@ -535,7 +535,7 @@ def _key() -> Column:
 
 _KEY_SQL = "array_to_string(k, ',') AS order_key"
 _LEVELS = O.levels(WALK_DEPTH, O.SITE_ADMITTED)
-_PAGE_URLS = f"(SELECT {O.defragmented('url')} FROM pages)"
+_PAGE_URLS = "(SELECT src FROM graph)"
 
 
 @query(O.with_(_LEVELS, f"SELECT url, depth::BIGINT AS depth, {_KEY_SQL}, url IN {_PAGE_URLS} AS fetched FROM walk"))

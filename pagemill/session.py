@@ -17,6 +17,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # keep the layout of bucketed tables through the explode of tokens
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
 }
 
 
