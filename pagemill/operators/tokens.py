@@ -74,7 +74,7 @@ def page_token_arrays(pages: DataFrame) -> DataFrame:
 
 
 def balanced_pages(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, toks)`` with pages rewritten first whose tags do not balance where it matters.
+    """``(page_id, url, html)`` with pages rewritten whose tags do not balance where it matters.
 
     The check needs no shuffle; rows that pass go through the rewriting step as NULL.
     """
@@ -87,8 +87,7 @@ def balanced_pages(pages: DataFrame) -> DataFrame:
     checked = toks.withColumn("_end", F.aggregate(tags, begin, _check_step))
     bad = F.col("_end.bad") | F.contains(F.col("_end.open"), F.lit(";1"))
     repaired = checked.withColumn("_fixed", repaired_html(F.when(bad, F.col("html"))))
-    again = F.when(F.col("_fixed").isNotNull(), H.html_tokens(F.col("_fixed"))).otherwise(F.col("toks"))
-    return repaired.select("page_id", "url", again.alias("toks"))
+    return repaired.select("page_id", "url", F.coalesce("_fixed", "html").alias("html"))
 
 
 def _is_nesting(tok: Column) -> Column:
@@ -97,13 +96,8 @@ def _is_nesting(tok: Column) -> Column:
     return tok.rlike(r"^</?[a-zA-Z]") & ~raw & ~F.endswith(tok, F.lit("/>"))
 
 
-def by_page(pages: DataFrame, clustered: bool = False) -> DataFrame:
-    """Shuffle the compact page rows once, so that no later step has to shuffle their tokens.
-
-    ``clustered=True`` says that the source is bucketed by ``page_id`` already.
-    """
-    if clustered:
-        return pages
+def by_page(pages: DataFrame) -> DataFrame:
+    """Shuffle the compact page rows once, so that no later step has to shuffle their tokens."""
     partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return pages.repartition(partitions, "page_id")
 
@@ -123,8 +117,12 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def nested_tokens(pages: DataFrame, clustered: bool = False) -> DataFrame:
-    """Tokens of balanced pages, partitioned by ``page_id``."""
-    return _exploded(balanced_pages(by_page(pages, clustered)))
+    """Tokens of balanced pages, partitioned by ``page_id``.
+
+    The check and the rewriting come before the one shuffle, as a Python step hides the partitioning.
+    ``clustered=True`` says that the source holds balanced pages bucketed by ``page_id``: then nothing is shuffled.
+    """
+    return _exploded(page_token_arrays(pages if clustered else by_page(balanced_pages(pages))))
 
 
 def page_order() -> Window:

@@ -41,7 +41,8 @@ def spread(pages: DataFrame) -> DataFrame:
 def write_pages_table(pages: DataFrame, table: str, buckets: int) -> None:
     """Store pages bucketed and sorted by ``page_id``.
 
-    Jobs over this table with ``clustered=True`` group and window by page without any shuffle.
+    With pages that went through ``operators.tokens.balanced_pages``, jobs over this table with
+    ``clustered=True`` group and window by page without any shuffle.
     """
     (
         pages.repartition(buckets, "page_id")

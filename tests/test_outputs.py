@@ -48,11 +48,13 @@ def test_graph(spark):
 def test_bucketed_table_needs_no_shuffle(spark, make_pages):
     from pagemill.operators import tokens as TK
 
-    write_pages_table(make_pages("<p>a</p>", "<nav>b</nav>"), "bucketed_pages", 2)
+    write_pages_table(TK.balanced_pages(make_pages("<p>a</p>", "<nav>b</nav>")), "bucketed_pages", 2)
     spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
     deep = TK.with_regions(TK.nested_tokens(spark.table("bucketed_pages"), clustered=True), ["nav"])
     assert "Exchange" not in deep._jdf.queryExecution().executedPlan().toString()
     assert deep.count() == 6
+    plan = TK.with_regions(TK.nested_tokens(make_pages("<nav>b")), ["nav"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
     spark.sql("DROP TABLE bucketed_pages")
 
 
