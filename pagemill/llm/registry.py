@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pagemill.llm import lines, mixing, sharding
+from pagemill.llm import lines, mixing, sharding, simhash
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
+    "op3_simhash": simhash.op3_simhash,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op9_line_dedup": lines.op9_line_dedup,
 }
