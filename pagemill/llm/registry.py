@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pagemill.llm import lines, mixing, sharding, simhash
+from pagemill.llm import decontaminate, licenses, lines, mixing, sharding, simhash
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op3_simhash": simhash.op3_simhash,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op7_license_scan": licenses.op7_license_scan,
     "op9_line_dedup": lines.op9_line_dedup,
 }
 
 ORACLE = {
+    "op4_decontaminate": decontaminate.OP4_SQL,
     "op9_line_dedup": lines.OP9_SQL,
 }
