@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontaminate, licenses, lines, mixing, sharding, simhash
+from pagemill.llm import decontaminate, licenses, lines, mixing, sharding, simhash, substrings, vectors
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op3_simhash": simhash.op3_simhash,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_near_vectors": vectors.op6_near_vectors,
     "op7_license_scan": licenses.op7_license_scan,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
 }
 
 ORACLE = {
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op6_near_vectors": vectors.OP6_SQL,
+    "op8_substring_dedup": substrings.OP8_SQL,
     "op9_line_dedup": lines.OP9_SQL,
 }
