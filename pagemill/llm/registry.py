@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontaminate, licenses, lines, mixing, sharding, simhash, substrings, vectors
+from pagemill.llm import decontaminate, licenses, lines, mixing, sharding, simhash, substrings, suffixes, vectors
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_license_scan": licenses.op7_license_scan,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 
 ORACLE = {
