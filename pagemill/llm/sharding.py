@@ -72,9 +72,10 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 1, bucket_bytes: int = BUC
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(text_bytes(F.col("text")) + 64), F.lit(0))).first()
     n_buckets = max(1, -(-size // bucket_bytes))
     share = max(1, rows // n_buckets)
-    # at most n_buckets rows, as each stands for more than a bucket's share
+    # fewer than n_buckets rows, as each stands for more than a bucket's share; like the bucket starts
+    # below a row is 16 bytes for each bucket_bytes of text, which bounds what is broadcast
     heavy = docs.groupBy(row.alias("_row")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share).select("_row", F.lit(True).alias("_heavy"))
-    keyed = docs.withColumn("_row", row).join(heavy, "_row", "left")
+    keyed = docs.withColumn("_row", row).join(F.broadcast(heavy), "_row", "left")
     place = F.when(F.col("_heavy"), F.xxhash64("_row", F.monotonically_increasing_id())).otherwise(F.col("_row"))
     keyed = keyed.withColumn("_row", place).drop("_heavy")
     scattered = keyed.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(n_buckets))).withColumn("_at", F.lit(0).cast("bigint"))
@@ -83,7 +84,7 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 1, bucket_bytes: int = BUC
     counts = written.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     running = "sum(_n) OVER (ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     starts = counts.select("_bucket", F.coalesce(F.expr(running), F.lit(0)).alias("_start"))
-    placed = written.join(starts, "_bucket").withColumn("_at", F.col("_start") + F.col("_at"))
+    placed = written.join(F.broadcast(starts), "_bucket").withColumn("_at", F.col("_start") + F.col("_at"))
     # rank * n_shards // rows, without overflow of the product at 2^63
     wide = F.col("_at").cast("decimal(38,0)")
     cut = F.floor(wide * n_shards / F.lit(max(rows, 1)).cast("decimal(20,0)"))
