@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontaminate, licenses, lines, mixing, sharding, simhash, substrings, suffixes, vectors
+from pagemill.llm import decontaminate, licenses, lines, mixing, quality, sharding, simhash, substrings, suffixes, vectors
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
+    "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
