@@ -24,7 +24,9 @@ ROUNDS = 2
 SURE = 0.98  # of a pseudo-label
 PSEUDO_WEIGHT = 0.5
 BUCKETS = 1 << 18
+MIN_ROWS = 5  # training rows that a word needs to count
 REJECT = 0.5
+PREFIXES = (4, 5)  # bytes of a word that are features besides the whole word
 PIECE_BYTES = 4 << 20
 TARGETS = ("low_quality", "toxic")
 
@@ -51,6 +53,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     words = word_hashes(low, starts, ends)
     keys = [(row << 18) | (words % np.uint64(BUCKETS)).astype(np.int64)]
     distinct = np.bincount(np.unique(keys[0]) >> 18, minlength=n)
+    for size in PREFIXES:  # words of one stem
+        stems = mixed(word_hashes(low, starts, np.minimum(ends, starts + size)) + np.uint64(size))
+        keys.append((row << 18) | (stems % np.uint64(BUCKETS)).astype(np.int64))
     # shapes: runs of a byte class collapsed; a shape counts with the share of words that have it
     begins, stops, from_ = word_bounds(data, offsets, NOT_SPACE)
     classes = _CLASS[data]
@@ -105,9 +110,15 @@ class Sparse:
         return np.array([w[ids].sum() for ids in self.lists]) + w[-1]
 
 
-def fit_words(lists: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 4, rate: float = 0.3, l1: float = 1.0, l2: float = 1.0) -> np.ndarray:
-    """Sparse logistic regression by follow-the-regularised-leader; the last weight is the bias."""
+def fit_words(lists: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 5, rate: float = 1.0, l1: float = 8.0, l2: float = 0.1) -> np.ndarray:
+    """Sparse logistic regression by follow-the-regularised-leader; the last weight is the bias.
+
+    ``l1`` holds for 2,000 rows or more and is less in proportion for fewer.
+    """
+    l1 = l1 * min(1.0, len(y) / 2_000)
     z, n, w = (np.zeros(BUCKETS + 1) for _ in range(3))
+    seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *lists]), minlength=BUCKETS) >= MIN_ROWS
+    lists = [r[seen[r]] for r in lists]
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):

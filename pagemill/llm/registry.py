@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pagemill.llm import decontaminate, licenses, lines, mixing, quality, sharding, simhash, substrings, suffixes, vectors
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {

@@ -22,12 +22,16 @@ from pyspark.sql.types import LongType
 
 from pagemill.llm.components import components
 from pagemill.llm.tables import LAST_ID, keyed, others, partitions, store, table
-from pagemill.llm.tokens import min_labels
+from pagemill.llm.tokens import LOWER, MULTIPLIERS, NOT_SPACE, min_labels, pieces, run_hashes, word_bounds, word_hashes
 
 # parameters; the sample serves the plan alone, which changes the cost and never the result
 BITS = 64
 SAMPLE = 2_048
 BLOCK = 4_096
+SKETCH = 256
+COARSE = 8
+PIECE_BYTES = 4 << 20
+EMPTY = 0xFFFFFFFF
 PROBE_COST = 40.0  # a shuffled probe row, in verified pairs
 
 
@@ -230,16 +234,112 @@ def near_duplicates(docs: DataFrame, distance: int, width: int) -> DataFrame:
     return marked.join(classes, "fp").select("doc_id", "_id", "_th", "fp", "component_id", "owner")
 
 
-def one_of_each_class(docs: DataFrame, distance: int, width: int) -> DataFrame:
-    """The rows of ``docs``, one for each class of :func:`near_duplicates`: that of its owner.
+# --- similarity of texts
+
+
+def sketches(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the SimHash of its distinct word pairs, and the least hash of its ``width``-word shingles in each of SKETCH bins."""
+    fps, least = [], []
+    for _, _, data, offsets in pieces(texts, PIECE_BYTES):
+        data = LOWER[data]
+        starts, ends, first = word_bounds(data, offsets, NOT_SPACE)
+        codes, n = word_hashes(data, starts, ends), len(first) - 1
+        sizes = np.diff(first)
+        doc = np.repeat(np.arange(n), sizes)
+        at = np.arange(len(codes)) - first[doc]
+        found = []
+        for w, multiplier in ((2, MULTIPLIERS[1]), (width, MULTIPLIERS[2])):
+            whole = np.flatnonzero(at + w <= sizes[doc])
+            h = np.concatenate([run_hashes(codes, w, multiplier)[whole], [run_hashes(codes[first[d] : first[d + 1]], int(sizes[d]), multiplier)[0] for d in np.flatnonzero((sizes > 0) & (sizes < w))]]).astype(np.uint64)
+            found.append((h, np.concatenate([doc[whole], np.flatnonzero((sizes > 0) & (sizes < w))]).astype(np.int64)))
+        h, d = found[0]
+        by = np.lexsort((h, d))
+        h, d = h[by], d[by]
+        fresh = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(h)]
+        h, d = h[fresh], d[fresh]
+        counts, totals = np.zeros((n, BITS), np.int64), np.bincount(d, minlength=n)
+        for k in range(0, len(h), 1 << 15):
+            bits = np.unpackbits(h[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            row = d[k : k + (1 << 15)]
+            cuts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            counts[row[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
+        fps.append(np.packbits(counts * 2 > totals[:, None], axis=1, bitorder="little").view(np.int64).ravel())
+        h, d = found[1]
+        bins = np.full(n * SKETCH, EMPTY, np.uint32)
+        np.minimum.at(bins, d * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64), ((h >> np.uint64(32)).astype(np.uint32) & np.uint32(EMPTY - 1)))
+        least.append(bins.reshape(n, SKETCH))
+    if not fps:
+        return np.zeros(0, np.int64), np.zeros((0, SKETCH), np.uint32)
+    return np.concatenate(fps), np.concatenate(least)
+
+
+def similarity_to(sketch: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of one sketch to each of many; texts without words are alike."""
+    used = (many != EMPTY) | (sketch != EMPTY)
+    total = used.sum(axis=1)
+    return np.where(total == 0, 1.0, ((many == sketch) & used).sum(axis=1) / np.maximum(total, 1))
+
+
+def _leaders(similarity: float):
+    """Arrow step over rows sorted by (root, chunk, _id, _th): rows unlike all leaders before them lead."""
 
-    Of equal rows (same id, null ids too, and same text) one stays.  All columns stay.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, leaders, n = None, np.zeros((0, SKETCH), np.uint32), 0
+        for batch in batches:
+            groups = list(zip(batch.column("root").to_pylist(), batch.column("chunk").to_pylist(), strict=True))
+            lead = []
+            for i, raw in enumerate(batch.column("sketch")):
+                if groups[i] != group:
+                    group, n = groups[i], 0
+                sketch = np.frombuffer(raw.as_py(), np.uint32)
+                if n and similarity_to(sketch, leaders[:n]).max() >= similarity:
+                    continue
+                if n == len(leaders):
+                    leaders = np.vstack([leaders, np.zeros((max(64, n), SKETCH), np.uint32)])
+                leaders[n] = sketch
+                n += 1
+                lead.append(i)
+            yield from pa.Table.from_batches([batch]).take(pa.array(lead, pa.int64())).to_batches()
+
+    return run
+
+
+def leaders_of(docs: DataFrame, similarity: float, width: int = 5, distance: int = COARSE, chunk: int = BLOCK) -> DataFrame:
+    """(_id, _th): the documents that stay when all that resemble an earlier one go.
+
+    SimHashes of distinct word pairs within ``distance`` bits gather candidates in coarse classes.  In
+    a class, by id (nulls last), a document stays unless the similarity of its shingles of ``width`` words
+    to one that stays is at least ``similarity``, estimated from SKETCH bins.  So none goes without such
+    a document that stays.  Equal texts are compared once.  Large classes are first thinned in chunks;
+    their last pass keeps one sketch of 1 KB for each document that stays.
     """
-    found = store(near_duplicates(docs, distance, width), "classes")
-    owners = found.where((F.col("_id") == F.col("owner._id")) & (F.col("_th") == F.col("owner._th"))).select("_id", "_th")
-    owners = owners.groupBy("_id", "_th").agg(F.count(F.lit(1)).alias("n"))
-    kept = keyed(docs).join(owners.select("_id", "_th"), ["_id", "_th"], "left_semi")
-    if not owners.where("n > 1").isEmpty():
+
+    @F.arrow_udf("struct<fp:bigint,sketch:binary>")
+    def marks(texts: pa.Array) -> pa.Array:
+        fps, bins = sketches(texts, width)
+        return pa.StructArray.from_arrays([pa.array(fps), pa.array([b.tobytes() for b in bins], pa.binary())], names=["fp", "sketch"])
+
+    marked = keyed(docs.select("doc_id", "text")).select("_id", "_th", F.xxhash64(F.lit(1), F.col("text")).alias("_t2"), marks("text").alias("m"))
+    marked = store(marked.select("_id", "_th", "_t2", "m.*"), "marks")
+    texts = marked.groupBy("_th", "_t2").agg(F.min("_id").alias("_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    texts = store(texts, "texts")
+    roots = components(near_fingerprints(texts.select("fp").distinct(), distance))
+    rows = texts.join(roots, texts.fp == roots.node, "left").select("_id", "_th", "sketch", F.coalesce("root", "fp").alias("root"))
+    sizes = store(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "class-sizes")
+    alone = rows.join(sizes, "root", "left_anti").select("_id", "_th")
+    rows = rows.join(sizes, "root").withColumn("chunk", F.pmod(F.col("_th"), F.ceil(F.col("n") / F.lit(chunk))))
+    for level in range(2):
+        dealt = rows.repartition("root", "chunk").sortWithinPartitions("root", "chunk", "_id", "_th")
+        rows = store(dealt.mapInArrow(_leaders(similarity), dealt.schema), f"leaders-{level}").withColumn("chunk", F.lit(0).cast("bigint"))
+    return rows.select("_id", "_th").unionByName(alone)
+
+
+def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` of :func:`leaders_of`; all columns stay.  Of equal rows (id, null too, and text) one stays."""
+    owners = leaders_of(docs, similarity, width)
+    kept = keyed(docs).join(owners, ["_id", "_th"], "left_semi")
+    twins = keyed(docs.select("doc_id", "text")).groupBy("_id", "_th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not twins.isEmpty():
         kept = kept.dropDuplicates(["_id", "_th"])  # combines before the shuffle
     return kept.select(*others(kept, ["_id", "_th"]))
 
