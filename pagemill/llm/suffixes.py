@@ -21,8 +21,8 @@ from pagemill.llm.tokens import MULTIPLIERS, pieces, run_hashes
 # parameters
 WINDOW = 100
 GRAM = 16
-PIECE_BYTES = 2 << 20
-SHARD_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
+SHARD_BYTES = 1 << 20
 HOT_CONTENTS = 16_384
 
 
