@@ -116,6 +116,7 @@ def fit_words(lists: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs
     ``l1`` holds for 2,000 rows or more and is less in proportion for fewer.
     """
     l1 = l1 * min(1.0, len(y) / 2_000)
+    epochs = max(epochs, min(40, 20_000 // max(len(y), 1)))
     z, n, w = (np.zeros(BUCKETS + 1) for _ in range(3))
     seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *lists]), minlength=BUCKETS) >= MIN_ROWS
     lists = [r[seen[r]] for r in lists]
@@ -237,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     rows = rows.select("doc_id", "r", *TARGETS, _viewer()(F.col("text"), F.col("lang"), F.col("source")).alias("v")).toArrow()
     rows = rows.sort_by([("r", "ascending"), ("doc_id", "ascending")])
     ids = [np.asarray(x.values) for x in rows["v"].combine_chunks().field("ids")]
-    meta = np.array(rows["v"].combine_chunks().field("meta").to_pylist()).reshape(len(ids), -1)
+    meta = np.array(rows["v"].combine_chunks().field("meta").to_pylist()).reshape(-1, N_META)
     has = ~np.isnan(rows[TARGETS[0]].to_numpy().astype(float))
     named = set(rows["doc_id"].filter(pa.array(has)).to_pylist())
     free = np.array([not h and d not in named for h, d in zip(has, rows["doc_id"].to_pylist(), strict=True)], bool)

@@ -162,7 +162,8 @@ def common_prefixes(order: np.ndarray, words: np.ndarray, most: int) -> np.ndarr
     out = np.zeros(len(order), np.int64)
     live, at = np.arange(1, len(order)), 0
     while len(live) and at < most:
-        x = words[order[live] + at] ^ words[order[live - 1] + at]
+        x, y = (words[np.minimum(order[k] + at, len(words) - 1)] for k in (live, live - 1))
+        x = x ^ y
         # whole leading bytes that agree
         agree = sum((x < np.uint64(1 << bits)).astype(np.int64) for bits in range(8, 64, 8)) + (x == 0)
         some = x != 0
