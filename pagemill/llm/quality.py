@@ -113,9 +113,9 @@ class Sparse:
 def fit_words(lists: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 5, rate: float = 1.0, l1: float = 8.0, l2: float = 0.1) -> np.ndarray:
     """Sparse logistic regression by follow-the-regularised-leader; the last weight is the bias.
 
-    ``l1`` holds for 2,000 rows or more and is less in proportion for fewer.
+    ``l1`` holds for 500 rows or more and is less in proportion for fewer.
     """
-    l1 = l1 * min(1.0, len(y) / 2_000)
+    l1 = l1 * min(1.0, len(y) / 500)
     epochs = max(epochs, min(40, 20_000 // max(len(y), 1)))
     z, n, w = (np.zeros(BUCKETS + 1) for _ in range(3))
     seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *lists]), minlength=BUCKETS) >= MIN_ROWS
@@ -189,7 +189,7 @@ def co_train(words: list[np.ndarray], meta: np.ndarray, y: np.ndarray, pool_word
             for k, p in enumerate(pool_scores):
                 sure = np.flatnonzero((p > SURE) | (p < 1 - SURE))
                 sets[1 - k] = (sure, (p[sure] > 0.5).astype(float))
-    both = fit_dense(np.stack(scores, axis=1), y[held], np.ones(held.sum()), ridge=1e-2)
+    both = fit_dense(np.stack(scores, axis=1), y[held], np.ones(held.sum()), ridge=1.0)
     return {"words": w_words, "meta": w_meta, "centre": centre, "spread": spread, "cal_words": cal_words, "cal_meta": cal_meta, "both": both}
 
 
