@@ -17,8 +17,8 @@ from pagemill.llm.tables import others, table
 from pagemill.llm.tokens import ALNUM, LOWER, MULTIPLIERS, NOT_SPACE, mixed, pieces, word_bounds, word_hashes
 
 # parameters; the three sizes bound what is learned from, scoring covers all rows
-LABELLED = 20_000
-POOL = 8_000
+LABELLED = 12_000
+POOL = 4_000
 HELD_OUT = 5  # every fifth labelled row calibrates
 ROUNDS = 2
 SURE = 0.98  # of a pseudo-label
