@@ -13,7 +13,7 @@ _INSIDE_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 # A ``<`` that starts none of these is text, so the tokens always cover the document.
 # Possessive loops keep the matcher iterative on long input.
 TOKEN_RE = (
-    r"(?is)<(script|style)(?=[\s/>])" + _INSIDE_TAG + r".*?</\1\s*+>"
+    r"(?is)<(script|style)(?=[\s/>])" + _INSIDE_TAG + r".*?(?:</\1\s*+>|\z)"
     r"|<!--.*?-->|<!\[CDATA\[.*?\]\]>"
     r"|</?[a-z]" + _INSIDE_TAG + r"|<[!?/][^>]*+>"
     r"|<?[^<]++(?:<(?![a-z/!?])[^<]*+)*+|<"
@@ -54,9 +54,9 @@ def token_kind(tok: Column, tag: Column) -> Column:
     return (
         F.when(~F.startswith(tok, F.lit("<")), F.lit("text"))
         .when(tag == "", F.when(tok.rlike(r"(?s)^<[!?/].*>$") & ~_is_cdata(tok), F.lit("comment")).otherwise(F.lit("text")))
+        .when(tag.isin(RAW_TAGS) & ~F.startswith(tok, F.lit("</")), F.lit("raw"))  # an unclosed one reaches to the end
         .when(~F.endswith(tok, F.lit(">")), F.lit("text"))
         .when(F.startswith(tok, F.lit("</")), F.lit("close"))
-        .when(tag.isin(RAW_TAGS) & F.contains(tok, F.lit("</")), F.lit("raw"))
         .when(tag.isin(VOID_TAGS) | _self_closed(tok), F.lit("void"))
         .otherwise(F.lit("open"))
     )
@@ -71,11 +71,12 @@ def raw_attribute(tok: Column, name: str) -> Column:
     """Undecoded value of an attribute of a tag token, NULL if it has none.
 
     Name and value lists come from one left-to-right scan, so text that looks like an
-    attribute inside a quoted value is not taken for one.
+    attribute inside a quoted value is not taken for one.  Of attributes of one name the last counts.
     """
     names = F.regexp_extract_all(F.lower(tok), F.lit(_ATTR_RE), F.lit(1))
     values = F.regexp_extract_all(tok, F.lit(_ATTR_RE), F.lit(2))
-    found = F.get(values, F.array_position(names, name).cast("int") - 1)
+    from_end = F.array_position(F.reverse(names), name).cast("int")
+    found = F.when(from_end > 0, F.get(values, F.size(names) - from_end))
     return F.when(F.contains(F.lower(tok), F.lit(name)), _unquoted(found))
 
 

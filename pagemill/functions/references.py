@@ -38,11 +38,16 @@ def _character(ref: str) -> str | None:
 def _in_text(match: re.Match) -> str:
     found = match[0]
     if found[0] == "<":
-        return _CLOSED_REFERENCE.sub(lambda m: _character(m[0]) or m[0], found)
+        return attribute_value(found)
     # an unknown name is text, and loses its semicolon
     return _character(found) or "&amp;" + found[1:].rstrip(";")
 
 
+def attribute_value(value: str) -> str:
+    """An attribute value with its closed references replaced; a bare ``&name`` is kept, as URLs hold such."""
+    return _CLOSED_REFERENCE.sub(lambda m: _character(m[0]) or m[0], value)
+
+
 def with_characters(doc: str) -> str:
     """The document with its references replaced; inside tags only those with a semicolon count."""
     return _TAG_OR_REFERENCE.sub(_in_text, doc)
@@ -53,6 +58,11 @@ def _replaced(docs: pa.Array) -> pa.Array:
     return pa.array([None if d is None else with_characters(d) for d in docs.to_pylist()], pa.string())
 
 
+@F.arrow_udf(StringType())
+def _values_replaced(values: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else attribute_value(v) for v in values.to_pylist()], pa.string())
+
+
 # References that are decoded by a plain replace.
 COMMON_REFERENCES = {
     "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": "\xa0",
@@ -61,10 +71,19 @@ COMMON_REFERENCES = {
 _OTHERS = r"&(?!(?:" + "|".join(ref[1:-1] for ref in COMMON_REFERENCES) + r");)[#a-zA-Z]"
 
 
-def with_common_references(df: DataFrame, col: str = "html") -> DataFrame:
-    """Rows whose ``col`` has no character references but the frequent ones; empty ones are left out."""
+def _with_common(df: DataFrame, col: str, replaced) -> DataFrame:
     kept = df.where(F.length(col) > 0)
     # declared non-deterministic so that the optimizer does not copy the column into its consumers,
     # where it would tokenise every page several times
     other = F.when(F.col(col).rlike(_OTHERS), F.col(col))
-    return kept.withColumn(col, F.coalesce(_replaced.asNondeterministic()(other), F.col(col)))
+    return kept.withColumn(col, F.coalesce(replaced.asNondeterministic()(other), F.col(col)))
+
+
+def with_common_references(df: DataFrame, col: str = "html") -> DataFrame:
+    """Rows whose document ``col`` has no character references but the frequent ones; empty ones are left out."""
+    return _with_common(df, col, _replaced)
+
+
+def with_common_attribute_references(df: DataFrame, col: str) -> DataFrame:
+    """The same for a column of bare attribute values, under the rule for attributes."""
+    return _with_common(df, col, _values_replaced)

@@ -34,7 +34,7 @@ def _named(tok: Column) -> Column:
 def _with_attributes(x: Column) -> Column:
     """Token with kind, decoded text and the attributes that some operator looks at."""
     start = x["kind"].isin("open", "void") & F.contains(x["tok"], F.lit("="))
-    attributed = start & x["tok"].rlike(r"(?i)\s(?:id|class|role)\s*=")
+    attributed = start & x["tok"].rlike(r"""(?i)[\s"'](?:id|class|role)\s*=""")
 
     def attr(name: str, alias: str) -> Column:
         return F.when(attributed, H.raw_attribute(x["tok"], name)).alias(alias)

@@ -9,7 +9,6 @@ from pagemill.session import materialize
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
-SALTS = 64
 
 
 def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -24,8 +23,10 @@ def skew_safe_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner
     """Join ``big`` (any number of rows per key) with ``small`` (one row per key); ``how``: inner or left.
 
     A ``small`` of measured size is broadcast.  Otherwise keys that hold more than a task's share
-    of ``big`` are salted: their rows spread over ``SALTS`` tasks, and their ``small`` row is copied
-    to each.  There are fewer such keys than shuffle partitions, so their list is broadcast safely.
+    of ``big`` are salted: their rows, equal ones too, are dealt in turn over as many tasks as the key has
+    shares, and their ``small`` row is copied to each.  There are fewer such keys than shuffle
+    partitions, so their list is broadcast safely.  ``big`` should come from a scan or a stored
+    table, whose rows keep their order when a task runs again.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
@@ -36,10 +37,10 @@ def skew_safe_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner
     partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = materialize(big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    is_hot = (F.col("_n") * partitions > total) & F.col(key).isNotNull()
-    hot = counts.where(is_hot).select(key, F.lit(True).alias("_hot"))
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(SALTS))).otherwise(F.lit(0))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = big.join(F.broadcast(hot), key, "left").withColumn("_salt", spread.cast("int")).drop("_hot")
-    right = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    shares = F.ceil(F.col("_n") * partitions / F.lit(max(total, 1))).cast("int")
+    hot = counts.where((F.col("_n") * partitions > total) & F.col(key).isNotNull()).select(key, shares.alias("_shares"))
+    turn = F.pmod(F.monotonically_increasing_id(), F.col("_shares").cast("bigint")).cast("int")
+    copies = F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)
+    left = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(turn, F.lit(0))).drop("_shares")
+    right = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_shares")
     return left.join(right, [key, "_salt"], how).drop("_salt")

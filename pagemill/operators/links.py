@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import html as H
 from pagemill.functions import urls as U
 from pagemill.functions.plan import pinned
-from pagemill.functions.references import with_common_references
+from pagemill.functions.references import with_common_attribute_references
 from pagemill.operators.content import is_removed, with_main
 from pagemill.operators.document import elements, text_of
 from pagemill.operators.tokens import page_token_arrays
@@ -37,7 +37,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
         "page_id", "url", F.posexplode_outer("toks").alias("pos", "tok")
     )
     anchors = tokens.where(F.col("tok").rlike(r"^<[aA][\s/]")).withColumn("href", H.raw_attribute(F.col("tok"), "href"))
-    decoded = with_common_references(anchors, "href").withColumn("href", H.decode_references(F.col("href")))
+    decoded = with_common_attribute_references(anchors, "href").withColumn("href", H.decode_references(F.col("href")))
     return _resolved(decoded.select("page_id", "url", "pos", "href"))
 
 

@@ -55,7 +55,15 @@ _JSON = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingle
 
 
 def _is_object(body: Column) -> Column:
-    return F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))
+    """Is the whole text one JSON object?  The reader stops after the first value, so text after it needs a look.
+
+    Within brackets such text could only go unseen by closing the bracket, within braces by closing
+    the brace; it cannot do both.
+    """
+    braces = F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))
+    one = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
+    wrapped = F.from_json(F.concat(F.lit('{"v":'), body, F.lit("}")), "v string, _bad string", _JSON)
+    return braces & F.coalesce(one, F.lit(False)) & wrapped["_bad"].isNull()
 
 
 def parse_analysis(replies: DataFrame, raw: str = "raw") -> DataFrame:
@@ -110,10 +118,14 @@ def selectors_for_pages(parsed: DataFrame, order: str = "order_key") -> DataFram
 
 
 def with_page_type(pages: DataFrame, analysis: DataFrame | None) -> DataFrame:
-    """Add ``page_type`` by URL; a page without a reply, or whose reply names none, is an article."""
+    """Add ``page_type`` by URL; a page without a reply, or whose reply names none, is an article.
+
+    A reply that cannot be read names ``unknown`` (see ``parse_analysis``).  Of several replies for a URL the
+    first type in alphabetical order counts.
+    """
     if analysis is None:
         return pages.withColumn("page_type", F.lit(DEFAULT_PAGE_TYPE))
-    types = analysis.select("url", F.col("page_type").alias("_type"))
+    types = analysis.groupBy("url").agg(F.min("page_type").alias("_type"))  # one reply for each URL
     typed = pages.join(types, "url", "left")
     return typed.withColumn("page_type", F.coalesce("_type", F.lit(DEFAULT_PAGE_TYPE))).drop("_type")
 
@@ -140,29 +152,32 @@ def classify(docs: DataFrame, classifier: Callable[[DataFrame], DataFrame], comp
 
 
 _NAME = r"[a-zA-Z_-][a-zA-Z0-9_-]*"
-_SIMPLE = rf"""(?:[.#]{_NAME}|\[{_NAME}(?:=(?:"[^"\s]*"|'[^'\s]*'|[^"'\]\s]*))?\])"""
+_SIMPLE = rf"""(?:[.#]{_NAME}|\[{_NAME}(?:[~^$*]?=(?:"[^"\]]*"|'[^'\]]*'|[^"'\]\s]*))?\])"""
 _COMPOUND = rf"(?:(?:{_NAME}|\*){_SIMPLE}*|{_SIMPLE}+)"
 SUPPORTED_SELECTOR = rf"^\s*{_COMPOUND}(?:\s+{_COMPOUND})*(?:\s*,\s*{_COMPOUND}(?:\s+{_COMPOUND})*)*\s*$"
 
 
 def _compound(c: Column) -> Column:
     """``(tag, ident, classes, attrs)`` of one compound selector."""
-    attr = r"\[([^\]=]+)(?:=([^\]]*))?\]"
+    attr = r"\[([^\]=~^$*]+)([~^$*]?=)?([^\]]*)\]"
     bare = F.regexp_replace(c, attr, "")
     names = F.regexp_extract_all(c, F.lit(attr), F.lit(1))
-    values = F.regexp_extract_all(c, F.lit(r"\[[^\]=]+(=[^\]]*)?\]"), F.lit(1))
+    tests = F.regexp_extract_all(c, F.lit(attr), F.lit(2))
+    values = F.regexp_extract_all(c, F.lit(attr), F.lit(3))
+    pairs = F.zip_with(tests, values, lambda t, v: F.struct(t.alias("test"), F.regexp_replace(v, r"""^["']|["']$""", "").alias("value")))
     return F.struct(
         F.lower(F.regexp_extract(bare, rf"^({_NAME})", 1)).alias("tag"),
         F.regexp_extract(bare, rf"#({_NAME})", 1).alias("ident"),
         F.regexp_extract_all(bare, F.lit(rf"\.({_NAME})"), F.lit(1)).alias("classes"),
-        F.zip_with(names, values, lambda n, v: F.struct(n.alias("name"), F.regexp_replace(v, r"""^=["']?|["']$""", "").alias("value"), (v == "").alias("any"))).alias("attrs"),
+        F.zip_with(names, pairs, lambda n, p: F.struct(n.alias("name"), p["test"].alias("test"), p["value"].alias("value"))).alias("attrs"),
     )
 
 
 def compiled_selector(selector: Column) -> Column:
     """``array<array<compound>>``: alternatives of descendant steps; NULL for an unsupported selector."""
-    alternatives = F.split(strip(selector), r"\s*,\s*")
-    steps = F.transform(alternatives, lambda a: F.transform(F.split(strip(a), r"\s+"), _compound))
+    outside = r"(?![^\[]*\])"  # commas and blanks inside brackets belong to a value
+    alternatives = F.split(strip(selector), rf"\s*,\s*{outside}")
+    steps = F.transform(alternatives, lambda a: F.transform(F.split(strip(a), rf"\s+{outside}"), _compound))
     return F.when(selector.rlike(SUPPORTED_SELECTOR), steps)
 
 
@@ -175,6 +190,15 @@ def _attribute_of(tok: Column, name: Column) -> Column:
     return H.decode_references(F.regexp_replace(value, r"""^["']|["']$""", ""))
 
 
+def _passes(have: Column, test: Column, want: Column) -> Column:
+    """Attribute test of a selector: presence, equality, or one of ``^= $= *= ~=``, which an empty value fails."""
+    part = (
+        F.when(test == "^=", F.startswith(have, want)).when(test == "$=", F.endswith(have, want)).when(test == "*=", F.contains(have, want))
+        .otherwise(F.array_contains(F.split(have, r"\s+"), want))
+    )
+    return F.when(test == "", have.isNotNull()).when(test == "=", have == want).otherwise((want != "") & part)
+
+
 def _matches(e: Column, c: Column) -> Column:
     words = F.coalesce(F.split(e["classes"], r"\s+"), F.array().cast("array<string>"))
     return (
@@ -183,18 +207,18 @@ def _matches(e: Column, c: Column) -> Column:
         & (F.size(F.array_except(c["classes"], words)) == 0)
         & F.forall(
             c["attrs"],
-            lambda a: F.coalesce(a["any"] | (_attribute_of(e["tok"], a["name"]) == a["value"]), F.lit(False))
-            & _attribute_of(e["tok"], a["name"]).isNotNull(),
+            lambda a: F.coalesce(_passes(_attribute_of(e["tok"], a["name"]), a["test"], a["value"]), F.lit(False)),
         )
     )
 
 
 def apply_selectors(docs: DataFrame, per_page: DataFrame) -> DataFrame:
-    """``(page_id, extra)``: for each selector field the text of its first matching element.
+    """``(page_id, extra, unsupported)``: for each selector field the text of its first matching element.
 
     ``docs`` must hold every element; ``per_page`` is ``(page_id, selectors)``.  Parts taken out by main-content
-    extraction do not match.  Supported are tag, class, id, attribute, compounds of them, comma lists and
-    descendants; a field with another selector is left out, as is one without a match.
+    extraction do not match.  Supported are tag, class, id, attribute (with ``= ~= ^= $= *=``), compounds of
+    them, comma lists and descendants.  ``unsupported`` names the fields with another selector; a field
+    without a match is left out of ``extra``.
     """
     live = F.filter("elems", lambda e: ~is_removed(e))
 
@@ -226,4 +250,5 @@ def apply_selectors(docs: DataFrame, per_page: DataFrame) -> DataFrame:
         lambda f: F.struct(f["field"], text_of(f["first"], keep=lambda t: ~is_removed(t)).alias("text")),
     )
     joined = with_main(docs).join(per_page, "page_id").withColumn("_live", pinned(live)).withColumn("_found", pinned(found))
-    return joined.select("page_id", F.map_from_entries(texts).alias("extra"))
+    other = F.map_keys(F.map_filter("selectors", lambda _, s: F.coalesce(~s.rlike(SUPPORTED_SELECTOR), F.lit(True))))
+    return joined.select("page_id", F.map_from_entries(texts).alias("extra"), F.array_sort(other).alias("unsupported"))

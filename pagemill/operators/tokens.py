@@ -60,7 +60,7 @@ def _check_step(state: Column, tag: Column) -> Column:
 
 def _tag_facts(tok: Column) -> Column:
     name = H.tag_name(tok)
-    attributed = tok.rlike(r"(?i)\s(?:id|class|role)\s*=")
+    attributed = tok.rlike(r"""(?i)[\s"'](?:id|class|role)\s*=""")
     return F.struct(
         name.alias("name"),
         F.startswith(tok, F.lit("</")).alias("close"),

@@ -4,30 +4,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls as U
 from pagemill.operators.admission import admit_urls
-from pagemill.operators.joins import BROADCAST_ROWS, skew_safe_join
+from pagemill.operators.joins import skew_safe_join
 from pagemill.options import CrawlOptions
 from pagemill.session import materialize
 
-# Up to this many rows a sort with a limit may end in one task.
-SORTED_LIMIT = 100_000
-
-
 ORDER = ["order_key", "url"]
 
 
 def first_rows(df: DataFrame, n: int, order: list[str] = ORDER) -> DataFrame:
     """The exact first ``n`` rows by a unique key.
 
-    A large ``n`` is cut by range partitions: whole ranges are taken until the limit falls inside
-    one, and only that one is cut again.  The driver sees one count per range.
+    Range partitions are taken whole until the limit falls inside one, whose rows are numbered in order.
+    The driver sees one count per range, and no task sees more than a range.
     """
-    if n <= SORTED_LIMIT:
-        return df.orderBy(*order).limit(n)
     ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     taken, last = 0, None
     for part, size in sorted(tuple(r) for r in ranged.groupBy("_range").count().collect()):
@@ -37,10 +31,9 @@ def first_rows(df: DataFrame, n: int, order: list[str] = ORDER) -> DataFrame:
         taken += size
     if last is None:
         return ranged.drop("_range")
-    whole = ranged.where(F.col("_range") < last).drop("_range")
-    if taken == 0 and ranged.where(F.col("_range") > last).isEmpty():
-        return ranged.drop("_range").orderBy(*order).limit(n)  # one range holds everything
-    return whole.unionByName(first_rows(ranged.where(F.col("_range") == last).drop("_range"), n - taken, order))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    part = ranged.where(F.col("_range") == last).withColumn("_at", at).where(F.col("_at") <= n - taken).drop("_range", "_at")
+    return ranged.where(F.col("_range") < last).drop("_range").unionByName(part)
 
 
 def expand_level(frontier: DataFrame, links: DataFrame, small: bool | None = None) -> DataFrame:
@@ -56,7 +49,7 @@ def expand_level(frontier: DataFrame, links: DataFrame, small: bool | None = Non
     found = out.select(
         F.col("dst_url").alias("url"),
         (F.col("depth") + 1).alias("depth"),
-        F.concat("order_key", F.array(F.col("pos").cast("int"))).alias("order_key"),
+        F.concat("order_key", F.array(F.col("pos").cast("bigint"))).alias("order_key"),
     )
     return found.groupBy("url").agg(F.min("depth").alias("depth"), F.min("order_key").alias("order_key"))
 
@@ -91,7 +84,7 @@ def traverse(
     not remembered.  ``fetched(url)`` are the pages at hand: others count as visited but yield no
     links.  The link table is read once per level.
     """
-    pos = F.col("pos").cast("int") if "pos" in seeds.columns else F.lit(0)
+    pos = F.col("pos").cast("bigint") if "pos" in seeds.columns else F.lit(0).cast("bigint")
     start = seeds.select("url", F.lit(0).alias("depth"), F.array(pos).alias("order_key"))
     frontier = materialize(start.groupBy("url", "depth").agg(F.min("order_key").alias("order_key")), "level")
     discovered, levels, n_visited = frontier, [], 0
@@ -111,7 +104,7 @@ def traverse(
         if depth == max_depth:
             break
         live = take if at_hand is None else take.join(at_hand.select("url"), "url", "left_semi")
-        found = dedupe_frontier(expand_level(live, links, small=size <= BROADCAST_ROWS), discovered)
+        found = dedupe_frontier(expand_level(live, links), discovered)
         if options is not None:
             found = admit_urls(found, options, rules).where("admitted").drop("admitted", "reject_reason")
         frontier = materialize(found.select("url", "depth", "order_key"), "level")

@@ -26,6 +26,12 @@ def links_of(pages: DataFrame) -> DataFrame:
     return materialize(extract_links(pages), "links")
 
 
+def with_busy_hrefs(pages: DataFrame) -> DataFrame:
+    """The pages with links as they are on the web: bare and escaped ampersands, names that look like references, fragments."""
+    busy = F.regexp_replace("html", '<a href="/([^"/]+)"', '<a class="x"href="../$1/./s?a=1&num=10&lang=en&amp;x=2&order=$1&copy=3#f&amp;g"')
+    return pages.withColumn("html", busy)
+
+
 def urls_of(pages: DataFrame) -> DataFrame:
     """``(url)`` of all pages and all link targets."""
     return pages.select("url").unionByName(links_of(pages).select(F.col("dst_url").alias("url")))
@@ -55,13 +61,14 @@ def _reply_type() -> Column:
 
 
 def _as_reply(body: Column) -> Column:
-    """The same content fenced, bare-fenced, plain or broken, by the language in the URL."""
-    lang = _segment(1)
+    """The same content fenced, bare-fenced, plain or broken in three ways, by the language in the URL."""
+    lang, kind = _segment(1), F.length("url") % 3
+    broken = F.when(kind == 0, F.concat(F.lit("Sorry: "), body)).when(kind == 1, F.concat(body, F.lit(" trailing }"))).otherwise(F.concat(body, body))
     return (
         F.when(lang == "en", F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(lang == "fr", F.concat(F.lit("```\n"), body, F.lit("\n```\n")))
         .when(lang == "de", body)
-        .otherwise(F.concat(F.lit("Sorry: "), body))
+        .otherwise(broken)
     )
 
 
@@ -81,7 +88,7 @@ def selector_replies(pages: DataFrame) -> DataFrame:
         F.lit('{"headline": "article h1", "lede": "article p", "promo": "div.ad", "nothing": "#x'), F.length("url").cast("string"), F.lit('"}')
     )
     return pages.select(
-        "page_id", "url", _reply_type().alias("page_type"), F.array(F.col("page_id").cast("int")).alias("order_key"), _as_reply(body).alias("raw")
+        "page_id", "url", _reply_type().alias("page_type"), F.array(F.col("page_id")).alias("order_key"), _as_reply(body).alias("raw")
     )
 
 
@@ -95,7 +102,7 @@ def word_graph(pages: DataFrame) -> DataFrame:
         links.select("src_page_id", "src_url", "pos", F.concat(F.lit(WORD_HOST), F.col("href")).alias("word")), "src_url", "page"
     )
     there = edges.select(F.col("page").alias("src_url"), "pos", F.col("word").alias("dst_url"))
-    back = edges.select(F.col("word").alias("src_url"), F.col("src_page_id").cast("int").alias("pos"), F.col("page").alias("dst_url"))
+    back = edges.select(F.col("word").alias("src_url"), F.col("src_page_id").alias("pos"), F.col("page").alias("dst_url"))
     return there.unionByName(back.distinct())
 
 

@@ -195,6 +195,28 @@ def extract_links(pages):
     return links.extract_links(pages).select("src_page_id", "src_url", *_big("pos"), "href", "dst_url")
 
 
+_BUSY_SQL = O.with_(
+    O.LINKS,
+    """SELECT src_page_id, src_url, href,
+  regexp_extract(src_url, '^[a-z]+://[^/]*', 0) || CASE WHEN len(steps) > 5 THEN '/' || array_to_string(steps[4:len(steps) - 2], '/') || '/' ELSE '/' END
+  || substr(href, 2) || '/s?a=1&num=10&lang=en&x=2&order=' || substr(href, 2) || '&copy=3' AS dst_url
+FROM (SELECT *, string_split(regexp_replace(src_url, '[?#].*$', ''), '/') AS steps FROM link)""",
+)
+
+
+@query(_BUSY_SQL)
+def extract_busy_links(pages):
+    """Links whose targets hold bare ampersands: none may be taken for a reference or cut."""
+    found = links.extract_links(I.with_busy_hrefs(pages))
+    return found.select("src_page_id", "src_url", F.concat(F.lit("/"), F.regexp_extract("href", r"^\.\./([^/]+)/", 1)).alias("href"), "dst_url")
+
+
+@query(_BUSY_SQL)
+def frontier_busy_links(pages):
+    found = links.frontier_links(page_documents(I.with_busy_hrefs(pages)))
+    return found.select("src_page_id", "src_url", F.concat(F.lit("/"), F.regexp_extract("href", r"^\.\./([^/]+)/", 1)).alias("href"), "dst_url")
+
+
 @query(_LINKS_SQL)
 def frontier_links(pages):
     return links.frontier_links(page_documents(pages)).select("src_page_id", "src_url", *_big("pos"), "href", "dst_url")
@@ -468,9 +490,9 @@ def apply_selectors(pages):
     return found.select("page_id", _pairs("extra").alias("extra"))
 
 
-@query(O.with_(O.ANALYSIS, "SELECT p.page_id, coalesce(CASE WHEN a.parsed THEN a.page_type END, 'article') AS page_type FROM pages p LEFT JOIN analysis a USING (page_id)"))
+@query(O.with_(O.ANALYSIS, "SELECT p.page_id, coalesce(CASE WHEN a.parsed THEN a.page_type ELSE 'unknown' END, 'article') AS page_type FROM pages p LEFT JOIN analysis a USING (page_id)"))
 def page_type(pages):
-    analysis = models.parse_analysis(I.analysis_replies(pages)).where("parsed")
+    analysis = models.parse_analysis(I.analysis_replies(pages))
     return models.with_page_type(pages.select("page_id", "url"), analysis).select("page_id", "page_type")
 
 
@@ -584,7 +606,7 @@ _PAGES_LEVEL = O.with_(
 def _all_pages_level(pages):
     """Frontier of all pages, in the order of their ids."""
     own = U.with_defragmented(pages.select("page_id", "url"), "url", "clean")
-    keys = own.groupBy(F.col("clean").alias("url")).agg(F.array(F.min("page_id").cast("int")).alias("order_key"))
+    keys = own.groupBy(F.col("clean").alias("url")).agg(F.array(F.min("page_id")).alias("order_key"))
     return keys.withColumn("depth", F.lit(0))
 
 

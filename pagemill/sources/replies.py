@@ -12,5 +12,5 @@ def load_replies(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     """
     reader = spark.read
     if fmt == "json":
-        reader = reader.schema("url string, raw string, order_key array<int>")
+        reader = reader.schema("url string, raw string, order_key array<bigint>")
     return reader.format(fmt).load(path)

@@ -59,3 +59,24 @@ def test_classifier_hook(make_pages):
     reply = F.concat(F.lit('{"page_type": "'), F.get_json_object("input", "$.title"), F.lit('"}'))
     found = models.classify(page_documents(make_pages(DOC)), lambda s: s.select("url", reply.alias("raw")))
     assert found.first().page_type == "t"
+
+
+def test_replies_that_go_on_are_not_read(spark):
+    good = '{"page_type": "x"}'
+    bodies = [good, f"{good} trailing }}", good + good, f"{good}, {good}", f'{good}] [ {{"a": 1}}', f"{good}}} }}", "[1]", "{}"]
+    rows = spark.createDataFrame([(i, b, "article") for i, b in enumerate(bodies)], "i int, raw string, page_type string")
+    for parsed in (models.parse_analysis(rows.drop("page_type")), models.parse_selectors(rows)):
+        assert [r.i for r in parsed.where("parsed").orderBy("i").collect()] == [0, 7]
+
+
+def test_attribute_selectors(spark, make_pages):
+    html = '<div data-x="a,b">comma</div><p title="one two">words</p><a href="/x.pdf" rel="no follow">file</a><i>last</i>'
+    selectors = {
+        "comma": '[data-x="a,b"]', "word": "[title~=two]", "start": 'a[href^="/x"]', "end": "[href$='.pdf']", "part": "[href*=x]",
+        "miss": "[href^=x]", "two": '[title="one two"], i', "child": "div > p", "none": "[data-x*='']",
+    }
+    pages = make_pages(html)
+    table = spark.createDataFrame([(0, selectors)], "page_id bigint, selectors map<string,string>")
+    found = models.apply_selectors(page_documents(pages, every_element=True), table).first()
+    assert found.extra == {"comma": "comma", "word": "words", "start": "file", "end": "file", "part": "file", "two": "words"}
+    assert found.unsupported == ["child"]

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import traversal as TR
+from pagemill.operators.joins import skew_safe_join
+from pagemill.session import materialize
 from pagemill.options import CrawlOptions
 
 
@@ -46,14 +48,33 @@ def test_equals_a_queue(spark, trial):
     assert state.extracted_count == sum(u in fetched for u, _ in expected)
 
 
-def test_first_rows_beyond_the_sorted_limit(spark, monkeypatch):
-    monkeypatch.setattr(TR, "SORTED_LIMIT", 7)
-    rows = spark.range(500).select(F.concat(F.lit("u"), "id").alias("url"), F.array(F.col("id").cast("int") * 37 % 500).alias("order_key"))
-    for n in (5, 100, 333, 500, 900):
-        found = sorted(r.order_key[0] for r in TR.first_rows(rows, n).collect())
+def test_first_rows(spark):
+    big = 1 << 40
+    rows = spark.range(500).select(F.concat(F.lit("u"), "id").alias("url"), F.array(F.col("id") * 37 % 500 + big).alias("order_key"))
+    for n in (0, 5, 100, 333, 500, 900):
+        found = sorted(r.order_key[0] - big for r in TR.first_rows(rows, n).collect())
         assert found == list(range(min(n, 500)))
 
 
+def test_large_positions(spark):
+    links = spark.createDataFrame([("a", 1 << 40, "b"), ("a", 1 << 41, "c")], "src_url string, pos bigint, dst_url string")
+    walk = TR.reachable(links, spark.createDataFrame([("a",)], "url string"), 2, 2)
+    assert [r.url for r in TR.visit_order(walk).collect()] == ["a", "b"]
+
+
+def test_a_hot_key_of_equal_rows_is_split(spark):
+    big = materialize(spark.range(20_000).select(F.when(F.col("id") < 19_000, "hot").otherwise(F.col("id").cast("string")).alias("k")), "big")
+    small = spark.createDataFrame([("hot", 1)], "k string, v int")
+    joined = skew_safe_join(big, small, "k", "left", broadcast=False)
+    assert joined.agg(F.count(F.lit(1)), F.sum("v")).first() == (20_000, 19_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions stay apart
+    try:
+        spread = joined.where("v = 1").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(spread) > 1
+
+
 def test_dedupe_keeps_the_first(spark):
     found = spark.createDataFrame([("a", 1, [0, 5]), ("a", 1, [0, 2]), ("b", 1, [0, 1])], "url string, depth int, order_key array<int>")
     known = spark.createDataFrame([("b",)], "url string")

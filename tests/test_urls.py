@@ -47,3 +47,17 @@ def test_facts_and_visited_subdomains(spark):
     assert not facts["https://Example.io/"].same_site  # letter case counts
     assert facts["https://blog.example.io/a?x=1#f"].query == "x=1"
     assert sorted(r.subdomain for r in subdomains_visited(urls).collect()) == ["blog", "docs"]
+
+
+def test_links_keep_bare_ampersands(spark, make_pages):
+    from pagemill.operators.document import page_documents
+    from pagemill.operators.links import extract_links, frontier_links
+
+    html = (
+        '<a href="/s?a=1&num=10&lang=en&order=2">1</a><a href="/t?a=1&copy=2&amp;x=3&#38;y=4&hellip;">2</a><a href="/one" href="/two">3</a>'
+        '<a title="t"href="/near">4</a><script>var a = "<a href=\'/no\'>'
+    )
+    pages = make_pages(html)
+    expected = ["/s?a=1&num=10&lang=en&order=2", "/t?a=1&copy=2&x=3&y=4…", "/two", "/near"]
+    for found in (extract_links(pages), frontier_links(page_documents(pages))):
+        assert [r.dst_url for r in found.orderBy("pos").collect()] == ["http://www.example.com" + e for e in expected]
