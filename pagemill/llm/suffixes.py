@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.tables import keyed, store, table
+from pagemill.llm.tables import discard, keyed, store, table
 from pagemill.llm.tokens import MULTIPLIERS, pieces, run_hashes
 
 # parameters
@@ -308,9 +308,12 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     cut = texts.join(found, ["_id", "_th"]).select("_id", "_th", "text", F.explode("f").alias("f"))
     cut = cut.select("_id", "_th", "f.*", F.substring("text", F.col("f.at") + 1, F.col("f.len")).alias("content"))
     cut = store(cut.select(F.xxhash64("content").alias("k1"), F.xxhash64(F.lit(1), F.col("content")).alias("k2"), "*"), "fragments")
+    discard(shared, found)
     # equal contents meet before the shuffle; the earliest stands for all
     firsts = cut.groupBy("anchor", "k1", "k2").agg(F.min(F.struct("_id", "_th", "at", "content")).alias("first"), F.count(F.lit(1)).alias("copies"))
     firsts = store(firsts.select("anchor", "k1", "k2", "copies", "first.*"), "contents")
+    slim = store(cut.drop("content"), "places")
+    discard(cut)
     hot = store(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_CONTENTS).select("anchor"), "hot-anchors")
     size = firsts.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-size // SHARD_BYTES)))).alias("shard")
@@ -323,12 +326,15 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     key = ["anchor", "k1", "k2"]
     heads = firsts.select(*key, "copies", F.struct("_id", "_th", "at").alias("first")).join(runs, key, "left")
     heads = store(heads.where("copies > 1 OR runs IS NOT NULL"), "heads")
-    places = cut.select(*key, "_id", "_th", "at", "len").join(heads, key)
+    discard(firsts, runs, hot)
+    places = slim.join(heads, key)
     earliest = F.struct("_id", "_th", "at") == F.col("first")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("len").alias("end")))
     places = places.select("_id", "_th", "at", F.explode(F.when(earliest, F.col("runs")).otherwise(whole)).alias("r"))
     span = F.struct((F.col("at") + F.col("r.start")).alias("start"), (F.col("at") + F.col("r.end")).alias("end"))
-    return store(places.groupBy("_id", "_th").agg(F.collect_set(span).alias("spans")), "byte-spans")
+    spans = store(places.groupBy("_id", "_th").agg(F.collect_set(span).alias("spans")), "byte-spans")
+    discard(slim, heads)
+    return spans
 
 
 KEPT = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>"
