@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.tables import keyed, store, table
+from pagemill.llm.tables import discard, keyed, store, table
 from pagemill.llm.tokens import MULTIPLIERS, NOT_SPACE, pieces, run_hashes, word_bounds, word_hashes
 
 # parameters
@@ -89,9 +89,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = store(found, "anchored")
     near = texts.join(found, ["_id", "_th"])
     windows = store(near.mapInArrow(_windows(window), "w1 bigint, w2 bigint, _id bigint, _th bigint, at int"), "windows")
+    discard(shared, found)
     firsts = store(windows.groupBy("w1", "w2").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high"), "firsts")
     later = windows.join(firsts.select("w1", "w2", "low"), ["w1", "w2"]).where("_id > low")
-    return store(later.groupBy("_id", "_th").agg(F.collect_set("at").alias("starts")), "repeated")
+    repeated = store(later.groupBy("_id", "_th").agg(F.collect_set("at").alias("starts")), "repeated")
+    discard(windows, firsts)
+    return repeated
 
 
 KEPT = "struct<n_words:bigint,n_removed:bigint,kept:string>"
