@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from pagemill.llm.components import components
-from pagemill.llm.tables import LAST_ID, keyed, others, partitions, store, table
+from pagemill.llm.tables import LAST_ID, discard, keyed, others, partitions, store, table
 from pagemill.llm.tokens import LOWER, MULTIPLIERS, NOT_SPACE, min_labels, pieces, run_hashes, word_bounds, word_hashes
 
 # parameters; the sample serves the plan alone, which changes the cost and never the result
@@ -323,15 +323,19 @@ def leaders_of(docs: DataFrame, similarity: float, width: int = 5, distance: int
     marked = store(marked.select("_id", "_th", "_t2", "m.*"), "marks")
     texts = marked.groupBy("_th", "_t2").agg(F.min("_id").alias("_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
     texts = store(texts, "texts")
+    discard(marked)
     roots = components(near_fingerprints(texts.select("fp").distinct(), distance))
     rows = texts.join(roots, texts.fp == roots.node, "left").select("_id", "_th", "sketch", F.coalesce("root", "fp").alias("root"))
     sizes = store(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "class-sizes")
     alone = rows.join(sizes, "root", "left_anti").select("_id", "_th")
     rows = rows.join(sizes, "root").withColumn("chunk", F.pmod(F.col("_th"), F.ceil(F.col("n") / F.lit(chunk))))
+    alone = store(alone, "alone")
     for level in range(2):
         dealt = rows.repartition("root", "chunk").sortWithinPartitions("root", "chunk", "_id", "_th")
-        rows = store(dealt.mapInArrow(_leaders(similarity), dealt.schema), f"leaders-{level}").withColumn("chunk", F.lit(0).cast("bigint"))
-    return rows.select("_id", "_th").unionByName(alone)
+        led = store(dealt.mapInArrow(_leaders(similarity), dealt.schema), f"leaders-{level}")
+        rows = led.withColumn("chunk", F.lit(0).cast("bigint"))
+    discard(texts, sizes)
+    return led.select("_id", "_th").unionByName(alone)
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
