@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.plan import pinned
-from pagemill.llm.tables import keyed, store, table
+from pagemill.llm.tables import discard, keyed, store, table
 
 # fixed values: the white space that is stripped, and the letters that are lower-cased
 BLANK = " \t\n\x0b\x0c\r"
@@ -54,7 +54,8 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 2, keep: str = "first", min_ch
     measures = [F.count(F.lit(1)).alias("n_docs")]
     if keep == "first":
         measures.append(F.min(F.struct("_id", "_th")).alias("owner"))
-    repeated = firsts.agg(*measures).where(F.col("n_docs") >= min_docs)
+    # stored, so that the join below reads both sides as they are and Spark can split a hot key
+    repeated = store(firsts.agg(*measures).where(F.col("n_docs") >= min_docs), "repeated-lines")
     dropped = occurrences.join(repeated, ["h1", "h2"])
     if keep == "first":
         dropped = dropped.where(~(F.col("first") & (F.struct("_id", "_th") == F.col("owner"))))
@@ -63,7 +64,9 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 2, keep: str = "first", min_ch
     starts = F.filter(at, lambda x, i: (i == 0) | (F.get(at, i - 1) != x - 1))
     ends = F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) != x + 1))
     runs = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("length")))
-    return per_doc.select("_id", "_th", F.size(at).cast("bigint").alias("n_dropped"), runs.alias("drop_runs"))
+    bitmaps = store(per_doc.select("_id", "_th", F.size(at).cast("bigint").alias("n_dropped"), runs.alias("drop_runs")), "bitmaps")
+    discard(occurrences, repeated)
+    return bitmaps
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
