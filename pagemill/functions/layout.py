@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -95,19 +96,18 @@ def layout_of(kinds: str, names: str, sizes: str, text_sizes: str) -> tuple[list
     return elems, texts
 
 
-def _as_list_array(groups: list[list[tuple]], names: tuple[str, ...]) -> pa.Array:
-    offsets = [0]
-    for group in groups:
-        offsets.append(offsets[-1] + len(group))
-    columns = list(zip(*(row for group in groups for row in group))) or [()] * len(names)
-    rows = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], names=list(names))
+def _as_list_array(pages: list[np.ndarray], names: tuple[str, ...]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, pages)])
+    flat = np.concatenate([np.zeros((0, len(names)), np.int32), *pages])
+    rows = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in flat.T], names=list(names))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
 
 @F.arrow_udf(LAYOUT_TYPE)
 def page_layout(kinds: pa.Array, names: pa.Array, sizes: pa.Array, text_sizes: pa.Array) -> pa.Array:
-    pages = [layout_of(*page) for page in zip(*(c.to_pylist() for c in (kinds, names, sizes, text_sizes)))]
-    return pa.StructArray.from_arrays(
-        [_as_list_array([p[0] for p in pages], _ELEM), _as_list_array([p[1] for p in pages], _TEXT)],
-        names=["elems", "texts"],
-    )
+    elems, texts = [], []
+    for page in zip(kinds, names, sizes, text_sizes, strict=True):  # Python objects of one page at a time
+        e, t = layout_of(*(c.as_py() for c in page))
+        elems.append(np.array(e, np.int32).reshape(-1, len(_ELEM)))
+        texts.append(np.array(t, np.int32).reshape(-1, len(_TEXT)))
+    return pa.StructArray.from_arrays([_as_list_array(elems, _ELEM), _as_list_array(texts, _TEXT)], names=["elems", "texts"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,13 @@ def pinned(c: Column) -> Column:
     costs more than it saves.  A condition the optimizer cannot decide keeps the column where it is.
     """
     return F.when(F.spark_partition_id() >= 0, c)
+
+
+def with_settled(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """``keep`` and ``columns``, the latter computed once where they are defined.
+
+    Unlike :func:`pinned`, filters on the kept columns go through to the scan: a generator of one row holds the
+    computed columns, and conditions on what it doesn't make pass below it.
+    """
+    row = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_settled")
+    return df.select(*keep, row).select(*keep, *[F.col(f"_settled.{n}").alias(n) for n in columns])

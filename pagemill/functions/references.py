@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from pagemill.functions.plan import with_settled
+
 # Executors need not have this package: the helper travels with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -73,10 +75,11 @@ _OTHERS = r"&(?!(?:" + "|".join(ref[1:-1] for ref in COMMON_REFERENCES) + r");)[
 
 def _with_common(df: DataFrame, col: str, replaced) -> DataFrame:
     kept = df.where(F.length(col) > 0)
-    # declared non-deterministic so that the optimizer does not copy the column into its consumers,
-    # where it would tokenise every page several times
+    # settled, so that the optimizer does not copy the column into its consumers, where it would
+    # tokenise every page several times
     other = F.when(F.col(col).rlike(_OTHERS), F.col(col))
-    return kept.withColumn(col, F.coalesce(replaced.asNondeterministic()(other), F.col(col)))
+    rest = [c for c in df.columns if c != col]
+    return with_settled(kept, rest, {col: F.coalesce(replaced(other), F.col(col))})
 
 
 def with_common_references(df: DataFrame, col: str = "html") -> DataFrame:

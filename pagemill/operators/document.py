@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions.layout import page_layout
-from pagemill.functions.plan import pinned
+from pagemill.functions.plan import with_settled
 from pagemill.functions.references import with_common_references
 from pagemill.functions.text import strip
 from pagemill.operators import tokens as TK
@@ -48,12 +48,32 @@ def _with_attributes(x: Column) -> Column:
     )
 
 
+_ATTRIBUTE = r"""(?s)([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
+
+
+def _attributes_length(x: Column) -> Column:
+    """Length of a start tag's attributes as `` name="value"``, values escaped; of one name the last counts."""
+    inside = F.regexp_replace(x["tok"], r"^<[^\s/>]*", "")
+    names = F.regexp_extract_all(F.lower(inside), F.lit(_ATTRIBUTE), F.lit(1))
+    values = F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), F.lit(2))
+    pairs = F.zip_with(names, values, lambda n, v: F.struct(n.alias("n"), H.decode_references(F.regexp_replace(v, r"""^["']|["']$""", "")).alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["n"]))
+
+    def size(p: Column) -> Column:
+        marks = F.length(p["v"]) - F.length(F.translate(p["v"], "&<>", ""))
+        amps = F.length(p["v"]) - F.length(F.replace(p["v"], F.lit("&"), F.lit("")))
+        return F.length(p["n"]) + 4 + F.length(p["v"]) + 3 * marks + amps
+
+    sizes = F.aggregate(last, F.lit(0), lambda s, p: s + size(p))
+    return F.when(x["tok"].rlike(r"\s"), sizes).otherwise(0)
+
+
 def _serialized_length(x: Column) -> Column:
     """Length of a token in normalised markup: texts with &, < and > escaped, void tags as ``<br/>``."""
     text = x["decoded"]
     marks = F.length(text) - F.length(F.translate(text, "&<>", ""))
     amps = F.length(text) - F.length(F.replace(text, F.lit("&"), F.lit("")))
-    bare = F.length(F.regexp_replace(x["tok"], r"\s*/?>$", ""))
+    bare = F.length(x["tag"]) + 1 + _attributes_length(x)
     return (
         F.when(x["kind"] == "text", F.length(text) + 3 * marks + amps)
         .when(x["kind"] == "open", bare + 1)
@@ -140,9 +160,8 @@ def page_documents(pages: DataFrame, every_element: bool = False) -> DataFrame:
             F.coalesce(H.decode_references(H.raw_attribute(t, "content")), F.lit("")).alias("content"),
         ),
     )
-    return rows.withColumn("_layout", layout).select(
-        "page_id", "url", pinned(text_rows).alias("texts"), pinned(elem_rows).alias("elems"), pinned(metas).alias("metas")
-    )
+    laid = rows.withColumn("_layout", layout)
+    return with_settled(laid, ["page_id", "url"], {"texts": text_rows, "elems": elem_rows, "metas": metas})
 
 
 def elements(*tags: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions import urls as U
-from pagemill.functions.plan import pinned
+from pagemill.functions.plan import with_settled
 from pagemill.functions.references import with_common_attribute_references
 from pagemill.operators.content import is_removed, with_main
 from pagemill.operators.document import elements, text_of
@@ -22,9 +22,8 @@ def _resolved(anchors: DataFrame) -> DataFrame:
     """``(src_page_id, src_url, pos, href, dst_url)`` from ``(page_id, url, pos, href)``."""
     links = anchors.where(_followable(F.col("href")))
     targets = U.with_defragmented(U.with_resolved(links, "url", "href", "_target"), "_target", "dst_url")
-    return targets.select(
-        F.col("page_id").alias("src_page_id"), F.col("url").alias("src_url"), "pos", "href", pinned(F.col("dst_url")).alias("dst_url")
-    )
+    named = targets.withColumnsRenamed({"page_id": "src_page_id", "url": "src_url"})
+    return with_settled(named, ["src_page_id", "src_url", "pos", "href"], {"dst_url": F.col("dst_url")})
 
 
 def extract_links(pages: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.plan import pinned
+from pagemill.functions.plan import with_settled
 from pagemill.operators.content import main_text, with_main
 from pagemill.operators.document import page_documents
 from pagemill.operators.metadata import METADATA
@@ -34,7 +34,7 @@ def content_records(
     fields = {name: expr() for name, expr in METADATA.items()}
     fields["main_content"] = main_text()
     fields |= navigation_columns(mutated=True)
-    records = with_main(docs).select("page_id", "url", *[pinned(c).alias(n) for n, c in fields.items()])
+    records = with_settled(with_main(docs), ["page_id", "url"], fields)
     records = with_page_type(records, analysis)
     if selectors is None:
         extra = F.lit(None).cast("map<string,string>")

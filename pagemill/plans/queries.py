@@ -19,6 +19,7 @@ from pagemill.plans import inputs as I
 from pagemill.plans import oracle as O
 from pagemill.session import scratch_path
 from pagemill.sinks import writers as W
+from pagemill.sources.replies import load_replies as stored_replies
 from pagemill.sources.robots import robots_rules
 from pagemill.streaming import content as stream
 
@@ -440,6 +441,14 @@ def parse_analysis(pages):
     return read.select("page_id", "parsed", "page_type", "is_content_page", "content_value", "has_item_list", *_big("estimated_items"))
 
 
+@query(ORACLE["parse_analysis"])
+def load_replies(pages):
+    path = scratch_path(pages.sparkSession, "replies")
+    I.analysis_replies(pages).write.parquet(path)
+    read = models.parse_analysis(stored_replies(pages.sparkSession, path))
+    return read.select("page_id", "parsed", "page_type", "is_content_page", "content_value", "has_item_list", *_big("estimated_items"))
+
+
 @query(O.with_(O.PER_PAGE + f", {O.ANALYSIS}", "SELECT a.page_id, a.page_type FROM analysis a"))
 def classify(pages):
     """A classifier over the page samples: here the reply is a function of the URL."""
@@ -665,6 +674,15 @@ def write_content_jsonl(pages):
     return _record_columns(read.withColumn("page_id", F.lit(0))).drop("page_id")
 
 
+@query(ORACLE["write_content_jsonl"])
+def write_content_snapshot(pages):
+    path = scratch_path(pages.sparkSession, "snapshot")
+    W.write_content_snapshot(records.content_records(pages.where("page_id % 2 = 0")), path)  # replaced by the next
+    W.write_content_snapshot(records.content_records(pages), path)
+    read = pages.sparkSession.read.schema(stream._CONTENT_SCHEMA).json(path)
+    return _record_columns(read.withColumn("page_id", F.lit(0))).drop("page_id")
+
+
 @query(f"SELECT DISTINCT {O.defragmented('url')} AS value FROM pages")
 def write_visited_urls(pages):
     path = scratch_path(pages.sparkSession, "visited")
@@ -713,7 +731,18 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.read_state(spark, _streamed(spark, sf_dir)).select(*_big("visited_count", "extracted_count"))
 
 
-QUERIES |= {"stream_content": stream_content, "stream_state": stream_state}
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page comes twice, with another id the second time; each URL passes once."""
+    pages = stream.page_stream(spark, f"{sf_dir}/pages*.parquet")
+    twice = pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 1_000_000))
+    out = scratch_path(spark, "deduped")
+    once = stream.stream_dedupe(twice).writeStream.format("parquet").option("path", f"{out}/pages").option("checkpointLocation", f"{out}/checkpoint")
+    once.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/pages").select("url", F.length("html").cast("bigint").alias("n_chars"))
+
+
+QUERIES |= {"stream_content": stream_content, "stream_state": stream_state, "stream_dedupe": stream_dedupe}
+ORACLE["stream_dedupe"] = "SELECT DISTINCT url, length(html) AS n_chars FROM pages"
 ORACLE["stream_content"] = ORACLE["write_content_jsonl"]
 ORACLE["stream_state"] = "SELECT count(DISTINCT url) AS visited_count, count(DISTINCT url) AS extracted_count FROM pages"
 

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from pagemill.operators.records import RECORD_FIELDS
 
 
-def _record_columns(records: DataFrame) -> list:
-    """Record fields first, then the extra fields as one object."""
-    return [F.col(c) for c in [*RECORD_FIELDS, "extra"] if c in records.columns]
-
-
-def write_content_jsonl(records: DataFrame, path: str, mode: str = "append") -> None:
-    """One JSON object per line, UTF-8; missing fields are left out."""
-    records.select(*_record_columns(records)).write.mode(mode).json(path)
+def content_json(records: DataFrame) -> DataFrame:
+    """``(value)``: each record as one JSON object, record fields first, then the extra fields beside them."""
+    fields = F.to_json(F.struct(*[F.col(c) for c in RECORD_FIELDS if c in records.columns]))
+    if "extra" not in records.columns:
+        return records.select(fields.alias("value"))
+    more = F.when(F.size("extra") > 0, F.to_json("extra"))
+    both = F.concat(fields.substr(F.lit(1), F.length(fields) - 1), F.when(fields != "{}", F.lit(",")).otherwise(F.lit("")), F.substr(more, F.lit(2)))
+    return records.select(F.coalesce(both, fields).alias("value"))
+
+
+def write_content_jsonl(records: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One JSON object per line, UTF-8; missing fields are left out, extra fields stand beside the others."""
+    content_json(records).write.mode(mode).text(path)
 
 
 def write_content_snapshot(records: DataFrame, path: str) -> None:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagemill.operators.records import RECORD_FIELDS, content_records
+from pagemill.operators.records import content_records
+from pagemill.sinks.writers import write_content_jsonl
 from pagemill.sources.pages import PAGES_SCHEMA
 
 _CONTENT_SCHEMA = (
@@ -68,8 +69,7 @@ def stream_content(pages: DataFrame, out: str, checkpoint: str, once: bool = Tru
         fresh = new_pages(batch, visited)
         mine = f"batch_id={batch_id}"
         fresh.select("url").write.mode("overwrite").parquet(f"{out}/visited/{mine}")
-        records = content_records(fresh).select(*RECORD_FIELDS)
-        records.write.mode("overwrite").json(f"{out}/content/{mine}")
+        write_content_jsonl(content_records(fresh), f"{out}/content/{mine}")
         totals = _earlier(spark, f"{out}/state", "visited_count long, extracted_count long, batch_id int", batch_id)
         before = totals.agg(
             F.coalesce(F.max("visited_count"), F.lit(0)).alias("v"), F.coalesce(F.max("extracted_count"), F.lit(0)).alias("e")
