@@ -27,7 +27,7 @@ BUCKETS = 1 << 18
 MIN_ROWS = 5  # training rows that a word needs to count
 REJECT = 0.5
 PREFIXES = (4, 5)  # bytes of a word that are features besides the whole word
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 256 << 10
 TARGETS = ("low_quality", "toxic")
 
 # fixed values: byte classes of a word's shape; other bytes stand for themselves

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.tables import id_key, others, store, table
 
 # parameters
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 OWN = ["shard", "slot"]
 
 

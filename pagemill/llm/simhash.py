@@ -30,7 +30,7 @@ SAMPLE = 2_048
 BLOCK = 4_096
 SKETCH = 256
 COARSE = 8
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 256 << 10
 EMPTY = 0xFFFFFFFF
 PROBE_COST = 40.0  # a shuffled probe row, in verified pairs
 

@@ -23,7 +23,7 @@ WINDOW = 50
 # fixed values: a difference cover (period 31); all differences modulo 31 occur
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 256 << 10
 
 
 def _words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

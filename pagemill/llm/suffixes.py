@@ -21,7 +21,7 @@ from pagemill.llm.tokens import MULTIPLIERS, pieces, run_hashes
 # parameters
 WINDOW = 100
 GRAM = 16
-PIECE_BYTES = 512 << 10
+PIECE_BYTES = 256 << 10
 SHARD_BYTES = 1 << 20
 HOT_CONTENTS = 16_384
 
