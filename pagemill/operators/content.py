@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.plan import pinned
+from pagemill.functions.plan import with_settled
 from pagemill.functions.text import collapse_blank_lines
 from pagemill.operators.document import text_of
 
@@ -50,12 +50,8 @@ def with_main(docs: DataFrame) -> DataFrame:
             ),
         )
     )["extent"]
-    return (
-        docs.withColumn("_best", pinned(best))
-        .withColumn("by_density", F.col("_best").isNull())
-        .withColumn("main", pinned(F.coalesce("_best", densest)))
-        .drop("_best")
-    )
+    known = with_settled(docs, docs.columns, {"_best": best}).withColumn("by_density", F.col("_best").isNull())
+    return with_settled(known, [*docs.columns, "by_density"], {"main": F.coalesce("_best", densest)})
 
 
 def is_removed(x: Column) -> Column:

@@ -170,3 +170,20 @@ def test_region_depths_of_unbalanced_pages(make_pages, doc):
     row = page_documents(pages).first()
     tree = [(t.text, *[sum(e.tag == tag and e.pos < t.pos < e.end for e in row.elems) for tag in tags]) for t in row.texts]
     assert sums == tree
+
+
+def test_filters_reach_the_scan(spark, make_pages, tmp_path):
+    """One URL costs one page: conditions pass all extraction stages, and pages are still tokenised once."""
+    from pyspark.sql import functions as F
+
+    from pagemill.operators.document import page_documents
+    from pagemill.operators.links import extract_links
+    from pagemill.operators.records import content_records
+
+    make_pages("<p>a</p>", "<a href='/x'>b</a>").write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    for found, column in ((page_documents(pages), "url"), (extract_links(pages), "src_url"), (content_records(pages), "url")):
+        kept = found.where(F.col(column) == "http://www.example.com/dir/page1")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(url,http://www.example.com/dir/page1)" in plan
+        assert kept.count() == 1
