@@ -317,10 +317,12 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     hot = store(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_CONTENTS).select("anchor"), "hot-anchors")
     size = firsts.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-size // SHARD_BYTES)))).alias("shard")
-    cold = firsts.join(hot, "anchor", "left_anti").select(shard, "anchor", "k1", "k2", "_id", "_th", "at", "content")
+    some_hot = not hot.isEmpty()
+    cold = firsts.join(hot, "anchor", "left_anti") if some_hot else firsts
+    cold = cold.select(shard, "anchor", "k1", "k2", "_id", "_th", "at", "content")
     sharded = cold.repartition("shard").sortWithinPartitions("shard", "anchor")
     runs = sharded.mapInArrow(_shard_step(window), REPEATS)
-    if not hot.isEmpty():
+    if some_hot:
         runs = runs.unionByName(_hot_repeats(firsts.join(hot, "anchor", "left_semi"), window))
     runs = store(runs, "runs")
     key = ["anchor", "k1", "k2"]
