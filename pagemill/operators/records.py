@@ -11,6 +11,7 @@ from pagemill.operators.document import page_documents
 from pagemill.operators.metadata import METADATA
 from pagemill.operators.models import apply_selectors, page_type_filter, with_page_type
 from pagemill.operators.navigation import navigation_columns
+from pagemill.options import CrawlOptions
 
 RECORD_FIELDS = [
     "url", "page_type", "title", "description", "author", "date", "headings",
@@ -23,13 +24,16 @@ def content_records(
     analysis: DataFrame | None = None,
     selectors: DataFrame | None = None,
     page_types: tuple[str, ...] | None = None,
+    options: CrawlOptions | None = None,
 ) -> DataFrame:
     """``(page_id, url, page_type, ..., extra)``: one record per page with content, NULL where a field is missing.
 
     ``analysis`` is ``(url, page_type)``; ``selectors`` is ``(page_id, selectors)`` for the pages that have
     an analysis, its fields fill ``extra`` where the record has no field of that name.  Without the two
-    this is one narrow pass over ``pages``.
+    this is one narrow pass over ``pages``.  ``page_types``, or else those of ``options``, are the types to keep.
     """
+    if page_types is None and options is not None:
+        page_types = options.page_types
     docs = page_documents(pages, every_element=selectors is not None)
     fields = {name: expr() for name, expr in METADATA.items()}
     fields["main_content"] = main_text()

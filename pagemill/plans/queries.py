@@ -535,7 +535,7 @@ def content_records_extra(pages):
 @query(_TYPED_RECORDS + " WHERE a.page_type IN ('article', 'product')")
 def page_type_filter(pages):
     analysis = models.parse_analysis(I.analysis_replies(pages))
-    return _record_columns(records.content_records(pages, analysis, page_types=("article", "product")))
+    return _record_columns(records.content_records(pages, analysis, options=CrawlOptions(I.SEED_URL, page_types=("article", "product"))))
 
 
 @query(O.with_(O.PER_PAGE, f"SELECT url, title, {O.CLEAN_ARTICLE} AS text FROM per_page WHERE {O.CLEAN_ARTICLE} IS NOT NULL"))

@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-TARGET_PARTITION_BYTES = 256 << 20
-
 # Settings for the jobs of this package.  AQE merges small shuffle partitions
 # and splits skewed ones, so a high initial number is safe.
 RECOMMENDED_CONF = {
@@ -22,11 +20,6 @@ RECOMMENDED_CONF = {
 }
 
 
-def shuffle_partitions_for(input_bytes: int, target: int = TARGET_PARTITION_BYTES, least: int = 8) -> int:
-    """Number of shuffle partitions that keeps each near ``target`` bytes of uncompressed rows."""
-    return max(least, -(-int(input_bytes) // target))
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, as the cluster names it.
 
