@@ -12,6 +12,8 @@ from pagemill.session import scratch_dir
 
 # fixed value: the largest BIGINT stands for a missing id, so that it comes last
 LAST_ID = (1 << 63) - 1
+BATCH_BYTES = 4 << 20  # of an Arrow batch on its way to Python; texts are long
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -26,6 +28,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     freed when it ends, as nothing reads them again.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_FREE_SHUFFLES, "false")
     spark.conf.set(_FREE_SHUFFLES, "true")
@@ -54,7 +57,13 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, on both sides of the Python workers."""
+    spark.conf.set(_BATCHES, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
