@@ -19,7 +19,7 @@ from pagemill.llm.tokens import ALNUM, LOWER, byte_rows, pieces, word_bounds, wo
 
 # parameters
 WINDOW = 10
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 512 << 10
 ITEMS_BYTES = 8 << 20  # of test texts that are sent to the tasks at once
 
 FOUND = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,end:int>>,longest:int,longest_item:string,longest_at:int>"
