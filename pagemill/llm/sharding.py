@@ -57,6 +57,17 @@ def text_bytes(text) -> F.Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
 
 
+def place_of(rows: int, n_shards: int) -> tuple[F.Column, F.Column]:
+    """Shard and slot of the row of rank ``_at`` among ``rows``; the slot reads the column shard.
+
+    Whole numbers throughout (div), as a decimal quotient is rounded; products may pass 2^63.
+    """
+    wide = f"CAST(CAST(_at AS DECIMAL(38,0)) * {n_shards} AS DECIMAL(38,0))"
+    cut = F.expr(f"CAST({wide} div CAST({max(rows, 1)} AS DECIMAL(38,0)) AS INT)")
+    first = F.expr(f"(CAST(CAST(shard AS DECIMAL(38,0)) * {rows} AS DECIMAL(38,0)) + {n_shards - 1}) div CAST({n_shards} AS DECIMAL(38,0))")
+    return cut, F.col("_at") - first
+
+
 def shard(docs: DataFrame, n_shards: int, seed: int = 1, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows and columns of ``docs`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0).
 
@@ -85,12 +96,8 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 1, bucket_bytes: int = BUC
     running = "sum(_n) OVER (ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     starts = counts.select("_bucket", F.coalesce(F.expr(running), F.lit(0)).alias("_start"))
     placed = written.join(F.broadcast(starts), "_bucket").withColumn("_at", F.col("_start") + F.col("_at"))
-    # rank * n_shards // rows, without overflow of the product at 2^63
-    wide = F.col("_at").cast("decimal(38,0)")
-    cut = F.floor(wide * n_shards / F.lit(max(rows, 1)).cast("decimal(20,0)"))
-    placed = placed.withColumn("shard", F.least(cut.cast("int"), F.lit(n_shards - 1)))
-    first = F.ceil(F.col("shard").cast("decimal(20,0)") * F.lit(rows).cast("decimal(20,0)") / F.lit(n_shards)).cast("bigint")
-    placed = placed.withColumn("slot", F.col("_at") - first)
+    shard_, slot = place_of(rows, n_shards)
+    placed = placed.withColumn("shard", shard_).withColumn("slot", slot)
     return placed.drop("_bucket", "_at", "_row", "_start")
 
 
