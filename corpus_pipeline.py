@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't resemble an earlier one: SimHash candidates, verified by their shingles."""
+    """Documents that don't resemble an earlier one that stays: SimHash and prefix candidates, verified by their shingles."""
     return simhash.without_near_duplicates(docs, SIMILARITY, width=5)
 
 

@@ -1,0 +1,75 @@
+"""Near duplicates, against the similarities of all pairs."""
+
+import random
+
+import numpy as np
+import pytest
+
+from pagemill.llm import simhash
+
+
+def shingles(text, width=5):
+    w = (text or "").lower().split()
+    return {tuple(w[p : p + width]) for p in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def similarity(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def stay(rows, bound=0.8):
+    """By id, a document goes if one that stays resembles it."""
+    sets, kept = {i: shingles(t) for i, t in rows}, []
+    for i, _ in sorted(rows):
+        if all(similarity(sets[i], sets[k]) < bound for k in kept):
+            kept.append(i)
+    return set(kept)
+
+
+def kept_by(spark, rows, **options):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    return {r._id for r in simhash.leaders_of(docs, 0.8, **options).collect()}
+
+
+@pytest.fixture(scope="module")
+def words():
+    rng = random.Random(5)
+    return lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+
+
+def test_isolated_pairs_are_found(spark, words):
+    """Appended, prepended, block-edited and scattered copies of 0.8 to 0.95, with no sibling to chain through."""
+    rng, rows, pairs = random.Random(6), [], []
+    for n in (100, 400, 1000):
+        for share in (0.04, 0.08, 0.1, 0.15, 0.2, 0.23, 0.25, 0.27):
+            for kind in range(4):
+                base = words(n)
+                k = int(share * n)
+                if kind == 0:
+                    near = base + words(k)
+                elif kind == 1:
+                    near = words(k) + base
+                elif kind == 2:
+                    at = rng.randrange(n - k // 3)
+                    near = base[:at] + words(k // 3) + base[at + k // 3 :]
+                else:
+                    near = list(base)
+                    for at in rng.sample(range(n), max(1, k // 12)):
+                        near[at] = "changed"
+                i = len(rows)
+                rows += [(i, " ".join(base)), (i + 1, " ".join(near))]
+                pairs.append(similarity(shingles(rows[i][1]), shingles(rows[i + 1][1])))
+    assert sum(0.8 <= s <= 0.95 for s in pairs) > 40 and sum(s < 0.8 for s in pairs) > 5
+    assert kept_by(spark, rows) == stay(rows)
+
+
+def test_prefixes_meet():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 9, 40, 333):
+        for _ in range(30):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            m = int(np.ceil(0.8 * len(x)))
+            y = np.sort(rng.choice(x, m, replace=False))
+            hot = rng.permutation(x)[: n // 2]
+            a, b = (set(simhash.prefixes(s, np.array([0, len(s)]), hot, 0.8)[0].tolist()) for s in (x, y))
+            assert a & b
