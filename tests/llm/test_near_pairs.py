@@ -73,3 +73,24 @@ def test_prefixes_meet():
             hot = rng.permutation(x)[: n // 2]
             a, b = (set(simhash.prefixes(s, np.array([0, len(s)]), hot, 0.8)[0].tolist()) for s in (x, y))
             assert a & b
+
+
+@pytest.mark.parametrize("block, settle", [(4096, 1 << 18), (4, 0), (4, 5)])
+def test_groups_of_any_size_agree(spark, words, block, settle):
+    """Chains: a document whose leader goes stays, unless another one that stays resembles it."""
+    rows = []
+    for _ in range(3):
+        text = words(400)
+        for step in range(12):  # each resembles its neighbours alone
+            rows.append(" ".join(text))
+            text = text[40:] + words(40)
+    base = words(120)
+    for _ in range(90):  # a group of near copies, more than a small block
+        near = list(base)
+        near[random.Random(len(rows)).randrange(120)] = f"changed{len(rows) % 7}"
+        rows.append(" ".join(near))
+    rows += ["", None, " \n", "One two", "one  TWO", "one two three"]
+    ids = list(range(len(rows)))
+    random.Random(8).shuffle(ids)
+    rows = list(zip(ids, rows))
+    assert kept_by(spark, rows, block=block, settle=settle) == stay(rows)
