@@ -94,3 +94,14 @@ def test_groups_of_any_size_agree(spark, words, block, settle):
     random.Random(8).shuffle(ids)
     rows = list(zip(ids, rows))
     assert kept_by(spark, rows, block=block, settle=settle) == stay(rows)
+
+
+def test_long_pairs_near_the_bound_are_decided_exactly(spark, words):
+    """Long texts between 0.76 and 0.84, which 256 bins can't tell apart."""
+    rows = []
+    for share in np.linspace(0.19, 0.31, 25):
+        base = words(3000)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + words(int(share * 3000))))]
+    expected = stay(rows)
+    assert 30 < len(expected) < 45
+    assert kept_by(spark, rows) == expected
