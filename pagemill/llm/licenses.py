@@ -52,12 +52,16 @@ def fuzzy_spans(line: bytes, notice: str, edits: int, pattern) -> list[tuple[int
             windows.append((max(0, place - at - edits), min(len(line), place - at + len(notice) + edits)))
             place = line.find(seed, place + 1)
     out: list[tuple[int, int, int]] = []
-    end = -1
     for a, b in _joined(sorted(windows)):
-        for m in pattern.finditer(line, max(a, end), b):
-            out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-            end = m.end()
-    return out
+        # the best match of a stretch splits it: what lies before and behind is searched in turn
+        open_ = [(a, b)]
+        while open_:
+            a, b = open_.pop()
+            m = pattern.search(line, a, b)
+            if m and m.end() > m.start():
+                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                open_ += [(a, m.start()), (m.end(), b)]
+    return sorted(out)
 
 
 def _joined(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -186,3 +186,11 @@ def test_registry():
     names = [f"op{n}_" for n in range(1, 11)]
     assert all(sum(q.startswith(n) for q in registry.QUERIES) == 1 for n in names) and "pipeline" in registry.QUERIES
     assert set(registry.ORACLE) <= set(registry.QUERIES)
+
+
+def test_every_notice_of_a_window_is_found():
+    """Edited notices before the best one of a stretch are found as well."""
+    patterns = [p for p in licenses.compiled() if p[0] == "all rights reserved"]
+    found = licenses.scan_text(b"al rights reserved all right reserved all rights reserved all rghts reserved", patterns)
+    assert [(s["start"], s["end"], s["edits"]) for s in found["spans"]] == [(0, 3, 1), (3, 6, 1), (6, 9, 0), (9, 12, 1)]
+    assert found["n_base"] == 1 and found["labels"] == "reserved"
