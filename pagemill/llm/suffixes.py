@@ -2,8 +2,10 @@
 
 Windows of the text are dealt to shards by their anchor, the 16-byte gram with the least hash, so
 that equal windows of all documents meet in one shard.  Each shard's fragments get a suffix array by
-induced sorting and a permuted array of common prefixes; windows that share a prefix as long as
-themselves are repeats of the earliest.
+induced sorting; neighbours in it are compared directly, eight bytes at a time and up to a window,
+as windows that share a prefix as long as themselves are repeats of the earliest.  No permuted
+(text-order) array is computed: the comparison is cut at a window and runs on all neighbours at once
+in NumPy, where the text-order method goes from one suffix to the next.
 """
 
 from __future__ import annotations
