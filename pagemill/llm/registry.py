@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pagemill.llm import decontaminate, licenses, lines, mixing, quality, sharding, simhash, substrings, suffixes, vectors
+from pagemill.llm import collocations, decontaminate, licenses, lines, mixing, quality, secrets, sharding, simhash, spelling, substrings, suffixes, vectors
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_secret_scan": secrets.op12_secret_scan,
+    "op13_collocations": collocations.op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +27,5 @@ ORACLE = {
     "op6_near_vectors": vectors.OP6_SQL,
     "op8_substring_dedup": substrings.OP8_SQL,
     "op9_line_dedup": lines.OP9_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }

@@ -50,3 +50,11 @@ def clashing(docs):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], "doc_id bigint, text string, lang string, source string")
+
+
+@pytest.fixture(scope="session")
+def corpus_dir(docs, tmp_path_factory):
+    """A folder with the rows as ``documents``, as the queries read it."""
+    folder = tmp_path_factory.mktemp("corpus")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
