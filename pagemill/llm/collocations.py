@@ -5,16 +5,17 @@ Only these longest windows are counted; a ROLLUP over their columns sums them to
 prefixes, and as each occurrence of a phrase is the prefix of the window that begins with it,
 that gives the counts of all phrases.
 
-Windows end early where no phrase of enough occurrences can go on: before a word, or a pair of
-words, that a bitmap of hashed counts shows to be too rare.  The bitmap errs on the side of longer windows
-only, so no count that matters changes.
+Windows end early where no phrase of enough occurrences can go on: before a word that would make a pair or
+a triple which bitmaps of hashed counts show to be too rare.  They err on the side of longer windows
+only, so no count that matters changes.  They have about two bits for each word of the corpus, up to a bound;
+in a corpus far beyond it they shorten less, and the windows are more.
 """
 
 from __future__ import annotations
 
 import math
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pagemill.operators.joins import skew_safe_join
 LONGEST = 5  # words of a phrase
 MIN_COUNT = 100
 TOP = 2000
-LEAST_BITS, MOST_BITS = 20, 27  # of the bitmap: 16 MB at most, whatever the corpus
+LEAST_BITS, MOST_BITS = 20, 30  # of each of the two bitmaps: 128 MB at most, whatever the corpus
 PIECE_BYTES = 512 << 10
 FOLD = 1 << 20  # hashes that a task gathers before it counts them
 SALTS = 64  # groups in which a language's first are found before they meet
@@ -53,11 +54,43 @@ class _Words:
         if len(self.starts) > 1:
             self.joined[:-1] = (self.row[1:] == self.row[:-1]) & (breaks[self.starts[1:]] == breaks[self.starts[:-1]])
 
-    def slots(self, seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the bitmap of each word, and of each word with the next one; ``seeds`` tell languages apart."""
-        shift, seeds = np.uint64(64 - bits), seeds[self.row]
-        pairs = mixed(self.hashes * np.uint64(MULTIPLIERS[1]) + np.roll(self.hashes, -1) * np.uint64(MULTIPLIERS[2]))
-        return mixed(self.hashes ^ seeds) >> shift, mixed(pairs ^ seeds) >> shift
+    def runs(self, n: int) -> np.ndarray:
+        """A hash of each word and the ``n - 1`` behind it, of use where these belong to its piece."""
+        h = self.hashes
+        for k in range(1, n):
+            h = mixed(h * np.uint64(MULTIPLIERS[1]) + np.roll(self.hashes, -k) * np.uint64(MULTIPLIERS[2]))
+        return h
+
+
+def _slots(runs: np.ndarray, seeds: np.ndarray, bits: int) -> np.ndarray:
+    """The places of runs in a bitmap; ``seeds`` tell their languages apart."""
+    return mixed(runs ^ seeds) >> np.uint64(64 - bits)
+
+
+class Bitmap:
+    """Which hashes of runs of words are frequent; a rare one may pass for frequent, never the other way round."""
+
+    def __init__(self, data: np.ndarray):
+        self.bytes, self.bits = data, len(data).bit_length() + 2
+
+    def has(self, runs: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        slots = _slots(runs, seeds, self.bits)
+        return (self.bytes[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _ahead(flags: np.ndarray, k: int) -> np.ndarray:
+    """The flags of the words ``k`` places on."""
+    return np.append(flags[k:], np.zeros(min(k, len(flags)), bool))
+
+
+class _Known:
+    """Frequent words and pairs (``joined`` ones) of a run of texts, as far as the bitmaps tell."""
+
+    def __init__(self, words: _Words, seeds: np.ndarray, short: Bitmap):
+        self.seeds = seeds[words.row]
+        self.words = short.has(words.runs(1), self.seeds)
+        self.pairs = self.words & _ahead(self.words, 1) & words.joined & short.has(words.runs(2), self.seeds)
+        self.triples = self.pairs & _ahead(self.pairs, 1)
 
 
 def _lang_seeds(langs: pa.DictionaryArray) -> np.ndarray:
@@ -76,13 +109,8 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.DictionaryArr
             yield langs.slice(at, end - at), seeds[at:end], _Words(data, offsets)
 
 
-def frequent_bitmap(texts: DataFrame, min_count: int) -> tuple[np.ndarray, int]:
-    """(bitmap, bits): which hashes of words and of pairs occur ``min_count`` times or more, over all of (lang, text).
-
-    The bitmap has about two bits for each word of the corpus, within the bounds of LEAST_BITS and MOST_BITS.
-    """
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / 3)))))
+def _bitmap(texts: DataFrame, bits: int, min_count: int, runs: Callable[[_Words, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
+    """The bytes of the bitmap of what ``runs`` gives of each run of texts: hashes and languages' seeds, counted over all of (lang, text)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.uint64)
@@ -92,52 +120,59 @@ def frequent_bitmap(texts: DataFrame, min_count: int) -> tuple[np.ndarray, int]:
             return pa.RecordBatch.from_pydict({"slot": slots.astype(np.int64), "n": n.astype(np.int64)})
 
         for _, seeds, words in _parts(batches):
-            single, pair = words.slots(seeds, bits)
-            held = np.concatenate([held, single, pair[words.joined]])
+            held = np.concatenate([held, *(_slots(h, s, bits) for h, s in runs(words, seeds))])
             if len(held) > FOLD:
                 yield flush()
                 held = held[:0]
         yield flush()
 
     counts = texts.mapInArrow(counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    # Spark's bitmaps count from 1 and hold 32,768 bits each, so that at most 4,096 rows of 4 KB come back
+    # Spark's bitmaps count from 1 and hold 32,768 bits each, so that at most 2^bits / 32,768 rows of 4 KB come back
     frequent = counts.where(F.col("n") >= min_count).select((F.col("slot") + 1).alias("s"))
     packed = frequent.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
     bitmap = np.zeros((1 << bits) // 8, np.uint8)
     for b, m in packed.toLocalIterator():
         bitmap[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)
-    return bitmap, bits
+    return bitmap
 
 
 def window_counts(texts: DataFrame, longest: int, min_count: int) -> DataFrame:
     """(lang, w1, ..., n): how often each longest window occurs.
 
     Each word of a text counts in one window, the one that it begins; w2 and on are its lead columns, null behind
-    the end of the piece and from a word or pair on that is too rare.  A word too rare itself has nulls only.
+    the end of the piece and from where a word, a pair or a triple is too rare.  A word too rare itself has nulls only.
     The lead columns come from the order within the text, so that words are not shuffled for them.
     """
-    bitmap, bits = frequent_bitmap(texts, min_count)
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
-    columns = [f"w{k + 1}" for k in range(longest)]
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / 3)))))
+    context = texts.sparkSession.sparkContext
+
+    def short_runs(words: _Words, seeds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        own = seeds[words.row]
+        return [(words.runs(1), own), (words.runs(2)[words.joined], own[words.joined])]
+
+    short = context.broadcast(_bitmap(texts, bits, min_count, short_runs))
 
-    def is_frequent(slots: np.ndarray) -> np.ndarray:
-        return (shared.value[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    def triples(words: _Words, seeds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        known = _Known(words, seeds, Bitmap(short.value))
+        return [(words.runs(3)[known.triples], known.seeds[known.triples])]
+
+    long = context.broadcast(_bitmap(texts, bits, min_count, triples) if longest > 2 else None)
+    columns = [f"w{k + 1}" for k in range(longest)]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, seeds, words in _parts(batches):
             n = len(words.hashes)
             if n == 0:
                 continue
-            single, pair = words.slots(seeds, bits)
-            known = is_frequent(single)
-            goes_on = np.append(known[1:], False) & words.joined & is_frequent(pair)
+            known = _Known(words, seeds, Bitmap(short.value))
+            triples = known.triples & Bitmap(long.value).has(words.runs(3), known.seeds) if longest > 2 else known.triples
             _, first, local = np.unique(words.hashes, return_index=True, return_inverse=True)
             # the number of each lead word, 0 for padding; the language is part of what is counted
-            leads, here = np.zeros((longest, n + longest), np.int64), known
-            for k in range(longest):
+            leads, here = np.zeros((longest, n), np.int64), known.words
+            for k in range(min(longest, n)):
                 leads[k, : n - k] = np.where(here[: n - k], local[k:] + 1, 0)
-                here = here & np.append(goes_on[k:], np.zeros(k, bool))
-            leads = leads[:, :n]
+                here = here & _ahead(known.pairs, k) & (_ahead(triples, k - 1) if k else True)
             code = langs.indices.to_numpy()[words.row].astype(np.uint64)
             for lead in leads:
                 code = mixed(code * np.uint64(MULTIPLIERS[0]) + lead.astype(np.uint64))
