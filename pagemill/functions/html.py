@@ -67,17 +67,28 @@ def _unquoted(value: Column) -> Column:
     return F.when(quoted, value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
-def raw_attribute(tok: Column, name: str) -> Column:
-    """Undecoded value of an attribute of a tag token, NULL if it has none.
+def attribute_names(tok: Column) -> Column:
+    """Names of the attributes with a value of a tag token, in small letters, the last one first."""
+    return F.reverse(F.regexp_extract_all(F.lower(tok), F.lit(_ATTR_RE), F.lit(1)))
+
 
-    Name and value lists come from one left-to-right scan, so text that looks like an
-    attribute inside a quoted value is not taken for one.  Of attributes of one name the last counts.
+def attribute_values(tok: Column) -> Column:
+    """Undecoded values of the same attributes.
+
+    Names and values come from one left-to-right scan each, so text that looks like an
+    attribute inside a quoted value is not taken for one.
     """
-    names = F.regexp_extract_all(F.lower(tok), F.lit(_ATTR_RE), F.lit(1))
-    values = F.regexp_extract_all(tok, F.lit(_ATTR_RE), F.lit(2))
-    from_end = F.array_position(F.reverse(names), name).cast("int")
-    found = F.when(from_end > 0, F.get(values, F.size(names) - from_end))
-    return F.when(F.contains(F.lower(tok), F.lit(name)), _unquoted(found))
+    return F.reverse(F.transform(F.regexp_extract_all(tok, F.lit(_ATTR_RE), F.lit(2)), _unquoted))
+
+
+def value_of(names: Column, values: Column, name: str) -> Column:
+    """The value of an attribute in the two lists, NULL if there is none.  Of attributes of one name the last counts."""
+    return F.get(values, F.array_position(names, name).cast("int") - 1)
+
+
+def raw_attribute(tok: Column, name: str) -> Column:
+    """Undecoded value of an attribute of a tag token, NULL if it has none."""
+    return F.when(F.contains(F.lower(tok), F.lit(name)), value_of(attribute_names(tok), attribute_values(tok), name))
 
 
 def has_class(classes: Column, name: str) -> Column:

@@ -5,92 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.plan import with_settled
+from pagemill.functions.layout import BLOCK_TAGS, LEAST_BLOCK_TEXT
 from pagemill.functions.text import collapse_blank_lines
-from pagemill.operators.document import text_of
+from pagemill.operators.document import is_live, text_of
 
-# Elements scored by density, and the least text they must have.
-BLOCK_TAGS = ["div", "section", "article"]
-LEAST_BLOCK_TEXT = 100
 
-
-def _blocks() -> Column:
-    return F.filter(
-        "elems",
-        lambda e: e["tag"].isin(BLOCK_TAGS)
-        & (e["around"] == 0)
-        & (e["text_len"] >= LEAST_BLOCK_TEXT)
-        & (e["html_len"] > 0),
-    )
-
-
-def _extent(e: Column, density: Column) -> Column:
-    return F.struct(e["pos"], e["end"], e["t_from"], e["t_to"], e["unwanted"], density.cast("double").alias("density"))
+def main_text() -> Column:
+    """Cleaned text of the main element, NULL if it has none."""
+    text = collapse_blank_lines(text_of(F.col("main"), "\n", keep=is_live))
+    return F.when(text != "", text)
 
 
-def with_main(docs: DataFrame) -> DataFrame:
-    """Add ``main``, the extent of the main element (NULL if there is none), and ``by_density``.
+def main_content(docs: DataFrame) -> DataFrame:
+    """``(page_id, url, main_content, by_density)``.
 
     The container of the best rank wins, the first one of that rank.  Density (text length by markup
     length) decides only when no container exists; the first block wins a tie.
     """
-    best = F.array_min(
-        F.transform(
-            F.filter("elems", lambda e: e["prio"].isNotNull()),
-            lambda e: F.struct(e["prio"], e["pos"], _extent(e, F.lit(None)).alias("extent")),
-        )
-    )["extent"]
-    densest = F.array_max(
-        F.transform(
-            _blocks(),
-            lambda e: F.struct(
-                (e["text_len"] / e["html_len"]).alias("density"),
-                (-e["pos"]).alias("first"),
-                _extent(e, e["text_len"] / e["html_len"]).alias("extent"),
-            ),
-        )
-    )["extent"]
-    known = with_settled(docs, docs.columns, {"_best": best}).withColumn("by_density", F.col("_best").isNull())
-    return with_settled(known, [*docs.columns, "by_density"], {"main": F.coalesce("_best", densest)})
-
-
-def is_removed(x: Column) -> Column:
-    """Was this text or element taken out of the page by main-content extraction?
-
-    Inside the main element everything unwanted goes; when density decided, header, footer, nav
-    and aside went from the whole page first.
-    """
-    main = F.col("main")
-    inside = (x["pos"] > main["pos"]) & (x["pos"] < main["end"]) & (x["unwanted"] > main["unwanted"])
-    return (F.col("by_density") & (x["around"] > 0)) | F.coalesce(inside, F.lit(False))
-
-
-def main_text() -> Column:
-    """Cleaned text of the main element, NULL if it has none; needs ``with_main``."""
-    text = collapse_blank_lines(text_of(F.col("main"), "\n", keep=lambda t: ~is_removed(t)))
-    return F.when(text != "", text)
-
-
-def main_content(docs: DataFrame) -> DataFrame:
-    """``(page_id, url, main_content, by_density)``."""
-    return with_main(docs).select("page_id", "url", main_text().alias("main_content"), "by_density")
+    return docs.select("page_id", "url", main_text().alias("main_content"), "by_density")
 
 
 def main_by_selector(docs: DataFrame) -> DataFrame:
     """``(page_id, main_content)`` of the pages that have a known container; '' if it is empty."""
-    found = with_main(docs).where(~F.col("by_density"))
-    return found.select("page_id", F.coalesce(main_text(), F.lit("")).alias("main_content"))
+    return docs.where(~F.col("by_density")).select("page_id", F.coalesce(main_text(), F.lit("")).alias("main_content"))
 
 
 def main_by_density(docs: DataFrame) -> DataFrame:
     """``(page_id, main_content)`` of the pages without a known container; '' without a dense block."""
-    found = with_main(docs).where("by_density")
-    return found.select("page_id", F.coalesce(main_text(), F.lit("")).alias("main_content"))
+    return docs.where("by_density").select("page_id", F.coalesce(main_text(), F.lit("")).alias("main_content"))
 
 
 def content_density(docs: DataFrame) -> DataFrame:
-    """One row per scored block: ``(page_id, pos, tag, text_len, html_len, density)``."""
-    blocks = docs.select("page_id", F.explode_outer(_blocks()).alias("b")).where(F.col("b").isNotNull())
+    """One row per scored block: ``(page_id, pos, tag, text_len, html_len, density)``; ``docs`` must have ``sizes``."""
+    scored = F.filter(
+        "elems",
+        lambda e: e["tag"].isin(list(BLOCK_TAGS)) & (e["around"] == 0) & (e["text_len"] >= LEAST_BLOCK_TEXT) & (e["html_len"] > 0),
+    )
+    blocks = docs.select("page_id", F.explode_outer(scored).alias("b")).where(F.col("b").isNotNull())
     return blocks.select(
         "page_id", "b.pos", "b.tag", "b.text_len", "b.html_len", (F.col("b.text_len") / F.col("b.html_len")).alias("density")
     )

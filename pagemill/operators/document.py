@@ -1,8 +1,8 @@
 """One row per page that the extraction operators project from.
 
-``page_documents`` turns each page into ``(page_id, url, texts, elems, metas)``: its non-empty
-texts in order, and the elements that matter with the range of texts they enclose.  Titles,
-headings, anchors, regions and samples are then projections of that row.
+``page_documents`` turns each page into its non-empty texts in order, the elements that matter with the range of
+texts they enclose, and the main element.  Titles, headings, anchors, regions and samples are then
+projections of that row.
 
 The whole step is narrow: nothing is shuffled or sorted, so it scales with the scan, a hot host
 does not matter, and a lost executor costs one split.  Its time is linear in the size of a page.
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
-from pagemill.functions.layout import page_layout
+from pagemill.functions import layout as L
 from pagemill.functions.plan import with_settled
 from pagemill.functions.references import with_common_references
 from pagemill.functions.text import strip
@@ -26,34 +26,12 @@ from pagemill.operators import tokens as TK
 CLEAN_TAGS = ["script", "style", "nav", "header", "footer"]
 CLEAN_CLASSES = ["ad", "advertisement", "social-share"]
 
-
-def _named(tok: Column) -> Column:
-    return F.when(F.startswith(tok, F.lit("<")), H.tag_name(tok)).otherwise(F.lit(""))
-
-
-def _with_attributes(x: Column) -> Column:
-    """Token with kind, decoded text and the attributes that some operator looks at."""
-    start = x["kind"].isin("open", "void") & F.contains(x["tok"], F.lit("="))
-    attributed = start & x["tok"].rlike(r"""(?i)[\s"'](?:id|class|role)\s*=""")
-
-    def attr(name: str, alias: str) -> Column:
-        return F.when(attributed, H.raw_attribute(x["tok"], name)).alias(alias)
-
-    href = F.when(start & (x["tag"] == "a"), H.raw_attribute(x["tok"], "href"))
-    return F.struct(
-        x["tok"], x["tag"], x["kind"],
-        attr("id", "ident"), attr("class", "classes"), attr("role", "role"),
-        H.decode_references(href).alias("href"),
-        F.when(x["kind"] == "text", H.text_value(x["tok"])).alias("decoded"),
-    )
-
-
 _ATTRIBUTE = r"""(?s)([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
 
 
-def _attributes_length(x: Column) -> Column:
+def _attributes_length(tok: Column) -> Column:
     """Length of a start tag's attributes as `` name="value"``, values escaped; of one name the last counts."""
-    inside = F.regexp_replace(x["tok"], r"^<[^\s/>]*", "")
+    inside = F.regexp_replace(tok, r"^<[^\s/>]*", "")
     names = F.regexp_extract_all(F.lower(inside), F.lit(_ATTRIBUTE), F.lit(1))
     values = F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), F.lit(2))
     pairs = F.zip_with(names, values, lambda n, v: F.struct(n.alias("n"), H.decode_references(F.regexp_replace(v, r"""^["']|["']$""", "")).alias("v")))
@@ -65,103 +43,119 @@ def _attributes_length(x: Column) -> Column:
         return F.length(p["n"]) + 4 + F.length(p["v"]) + 3 * marks + amps
 
     sizes = F.aggregate(last, F.lit(0), lambda s, p: s + size(p))
-    return F.when(x["tok"].rlike(r"\s"), sizes).otherwise(0)
+    return F.when(tok.rlike(r"\s"), sizes).otherwise(0)
 
 
-def _serialized_length(x: Column) -> Column:
+def _serialized_length(tok: Column, x: Column) -> Column:
     """Length of a token in normalised markup: texts with &, < and > escaped, void tags as ``<br/>``."""
-    text = x["decoded"]
+    text = H.text_value(tok)
     marks = F.length(text) - F.length(F.translate(text, "&<>", ""))
     amps = F.length(text) - F.length(F.replace(text, F.lit("&"), F.lit("")))
-    bare = F.length(x["tag"]) + 1 + _attributes_length(x)
+    bare = F.length(x["tag"]) + 1 + _attributes_length(tok)
     return (
         F.when(x["kind"] == "text", F.length(text) + 3 * marks + amps)
         .when(x["kind"] == "open", bare + 1)
         .when((x["kind"] == "void") & x["tag"].isin(H.VOID_TAGS), bare + 2)
         .when(x["kind"] == "void", bare + 4 + F.length(x["tag"]))
-        .otherwise(F.length(x["tok"]))
+        .otherwise(F.length(tok))
     )
 
 
-def _facts(x: Column, every_element: bool) -> Column:
-    """What the layout step and its consumers need to know about one token."""
-    start = x["kind"].isin("open", "void")
-    prio = F.when(start, TK.main_priority(x["tag"], x["ident"], x["role"], x["classes"]))
-    of_class = x["classes"].isNotNull() & F.arrays_overlap(
-        F.split(x["classes"], r"\s+"), F.array(*[F.lit(c) for c in CLEAN_CLASSES])
-    )
+def _read(x: Column) -> Column:
+    """Token with its text, and with the names and values of its attributes if some operator looks at one of them."""
+    start = x["kind"].isin("open", "void") & F.contains(x["tok"], F.lit("="))
+    wanted = start & x["tok"].rlike(r"""(?i)[\s"'](?:id|class|role|href)\s*=""")
     return F.struct(
-        x["kind"], x["tag"], x["ident"], x["classes"], x["role"], x["href"],
-        prio.cast("int").alias("prio"),
-        strip(x["decoded"]).alias("text"),
-        _serialized_length(x).alias("html_len"),
-        (start & (x["tag"].isin(CLEAN_TAGS) | of_class)).alias("cut"),
-        (start if every_element else start & (x["tag"].isin(TK.BLOCK_TAGS) | prio.isNotNull())).alias("track"),
-        *([x["tok"]] if every_element else []),
+        x["tag"], x["kind"],
+        F.when(wanted, H.attribute_names(x["tok"])).alias("names"),
+        F.when(wanted, H.attribute_values(x["tok"])).alias("values"),
+        F.when(x["kind"] == "text", strip(H.text_value(x["tok"]))).alias("text"),
     )
 
 
-def _kind_code(x: Column) -> Column:
-    return (
-        F.when(x["kind"] == "text", F.when(x["text"] != "", F.lit("t")).otherwise(F.lit(".")))
-        .when(x["kind"] == "close", F.lit("/"))
-        .when(x["kind"] == "open", (F.when(x["cut"], 2).otherwise(0) + F.when(x["track"], 1).otherwise(0)).cast("string"))
-        .when(x["track"], F.lit("v"))
-        .otherwise(F.lit("."))
-    )
+def _with_attributes(x: Column) -> Column:
+    def value(name: str) -> Column:
+        return H.value_of(x["names"], x["values"], name).alias(name)
+
+    href = F.when(x["tag"] == "a", H.decode_references(value("href"))).alias("href")
+    return F.struct(x["tag"], x["kind"], x["text"], value("id").alias("ident"), value("class").alias("classes"), value("role"), href)
+
+
+def _with_code(x: Column) -> Column:
+    """Token with its rank as a main container and its code for the layout step."""
+    prio = F.coalesce(TK.main_priority(x["tag"], x["ident"], x["role"], x["classes"]), F.lit(0))
+    of_class = x["classes"].isNotNull() & F.arrays_overlap(F.split(x["classes"], r"\s+"), F.array(*[F.lit(c) for c in CLEAN_CLASSES]))
+    cut = F.when(x["tag"].isin(CLEAN_TAGS) | of_class, L.CUT).otherwise(0)
+    track = F.when(x["tag"].isin(TK.BLOCK_TAGS) | (prio > 0), L.TRACK).otherwise(0)
+    code = 1 + track + cut + L.PRIO * prio + F.when(x["kind"] == "void", L.PRIO * L.RANKS).otherwise(0)
+    start = F.substring(F.lit(L.CODES), code, F.lit(1))
+    kind = (
+        F.when(x["kind"] == "text", F.when(x["text"] != "", L.TEXT).otherwise(L.OTHER)).when(x["kind"] == "close", L.END_TAG)
+        .when(x["kind"].isin("open", "void"), start).when(x["kind"] == "raw", L.RAW).otherwise(L.OTHER)
+    )
+    fields = [x[f] for f in ("tag", "kind", "text", "ident", "classes", "role", "href")]
+    return F.struct(*fields, (prio > 0).alias("ranked"), kind.alias("code"))
 
 
-def page_documents(pages: DataFrame, every_element: bool = False) -> DataFrame:
-    """``(page_id, url, texts, elems, metas)``, one row per page with content.
+def page_documents(pages: DataFrame, sizes: bool = False, selectors: bool = False) -> DataFrame:
+    """``(page_id, url, texts, elems, metas, main, by_density)``, one row per page with content.
 
-    ``texts``: ``(pos, text, unwanted, around, skipped)`` with the depth of the regions that some
-    operator leaves out.  ``elems``: elements by position with extent ``pos, end``, attributes, region
-    depths, the text range ``t_from, t_to``, and text and markup size outside header, footer, nav
-    and aside.  ``metas``: ``(name, content)``.  ``every_element`` keeps all elements, with their start
-    tag ``tok``, instead of those that the fixed operators look at.
+    ``texts``: ``(pos, text, gone, skipped)``.  ``elems``: the elements that some operator looks at, by position, with extent
+    ``pos, end``, attributes, ``gone`` (taken out of the page by main-content extraction), region depths, and the
+    text range ``t_from, t_to``.  ``metas``: ``(name, content)``.  ``main``: extent of the main element, NULL if there is none;
+    ``by_density``: no known container exists, so the densest block counts.
+
+    ``sizes`` gives every element its text and markup size outside header, footer, nav and aside; else pages with a known
+    container go without.  ``selectors``: the pages have a column of this name (field to CSS selector, or NULL);
+    then the row has ``hits`` (field, and the extent of its first element) and ``unsupported`` as well.
     """
-    tagged = F.transform("toks", lambda t: F.struct(t.alias("tok"), _named(t).alias("tag")))
+    given = ["selectors"] if selectors else []
+    tagged = F.transform("toks", lambda t: F.struct(t.alias("tok"), F.when(F.startswith(t, F.lit("<")), H.tag_name(t)).otherwise(F.lit("")).alias("tag")))
     kinds = F.transform(tagged, lambda x: F.struct(x["tok"], x["tag"], H.token_kind(x["tok"], x["tag"]).alias("kind")))
-    rows = TK.page_token_arrays(with_common_references(pages)).select(
-        "page_id",
-        "url",
-        F.transform(F.transform(kinds, _with_attributes), lambda x: _facts(x, every_element)).alias("_toks"),
+    rows = TK.page_token_arrays(with_common_references(pages), given).select(
+        "page_id", "url", "toks", *given,
+        F.transform(F.transform(F.transform(kinds, _read), _with_attributes), _with_code).alias("_toks"),
         F.filter("toks", lambda t: t.rlike(r"(?i)^<meta[\s/>]")).alias("_metas"),
-    )
-    tags = F.filter("_toks", lambda x: x["kind"].isin("open", "close"))
-    texts = F.filter("_toks", lambda x: (x["kind"] == "text") & (x["text"] != ""))
-    layout = page_layout(
-        F.array_join(F.transform("_toks", _kind_code), ""),
-        F.array_join(F.transform(tags, lambda x: x["tag"]), " "),
-        F.array_join(F.transform("_toks", lambda x: x["html_len"].cast("string")), " "),
-        F.array_join(F.transform(texts, lambda x: F.length(x["text"]).cast("string")), " "),
-    )
+    )
+    named = F.filter("_toks", lambda x: x["kind"].isin("open", "close", "void", "raw"))
+    shown = F.filter("_toks", lambda x: x["code"] == L.TEXT)
+    markup = F.transform("toks", lambda t, i: _serialized_length(t, F.get("_toks", i)).cast("string"))
+    needed = F.lit(True) if sizes else ~F.exists("_toks", lambda x: x["ranked"])
+    # a column of its own: as an argument this expression keeps the optimizer from taking the UDF out
+    rows = with_settled(rows, rows.columns, {"_markup": F.when(needed, F.array_join(markup, " "))})
+    columns = [
+        F.array_join(F.transform("_toks", lambda x: x["code"]), ""),
+        F.array_join(F.transform(named, lambda x: x["tag"]), " "),
+        F.col("_markup"),
+        F.when(needed, F.array_join(F.transform(shown, lambda x: F.length(x["text"]).cast("string")), " ")),
+    ]
+    if selectors:
+        start = F.transform("toks", lambda t, i: F.struct(t.alias("tok"), F.get("_toks", i)["kind"].alias("kind")))
+        start = F.filter(start, lambda x: x["kind"].isin("open", "void", "raw"))
+        tokens = F.transform(start, lambda x: F.when(x["kind"] == "raw", F.regexp_extract(x["tok"], "(?s)^<[^>]*>?", 0)).otherwise(x["tok"]))
+        layout = L.selected_layout(*columns, F.col("selectors"), F.when(F.col("selectors").isNotNull(), tokens))
+    else:
+        layout = L.page_layout(*columns)
 
     def token(x: Column, field: str) -> Column:
         return F.get(F.col("_toks"), x["pos"])[field]
 
-    text_rows = F.transform(
-        "_layout.texts",
-        lambda t: F.struct(t["pos"], token(t, "text").alias("text"), t["unwanted"], t["around"], t["skipped"]),
-    )
-    elem_rows = F.transform(
-        "_layout.elems",
-        lambda e: F.struct(
-            e["pos"], e["end"],
-            *[token(e, f).alias(f) for f in ("tag", "ident", "classes", "role", "prio", "href")],
-            e["unwanted"], e["around"], e["skipped"], e["t_from"], e["t_to"], e["text_len"], e["html_len"],
-            *([token(e, "tok").alias("tok")] if every_element else []),
+    settled = {
+        "texts": F.transform("_layout.texts", lambda t: F.struct(t["pos"], token(t, "text").alias("text"), t["gone"], t["skipped"])),
+        "elems": F.transform(
+            "_layout.elems",
+            lambda e: F.struct(
+                e["pos"], e["end"], *[token(e, f).alias(f) for f in ("tag", "ident", "classes", "role", "href")],
+                e["gone"], e["around"], e["skipped"], e["t_from"], e["t_to"], e["text_len"], e["html_len"],
+            ),
         ),
-    )
-    metas = F.transform(
-        "_metas",
-        lambda t: F.struct(
-            H.decode_references(H.raw_attribute(t, "name")).alias("name"),
-            F.coalesce(H.decode_references(H.raw_attribute(t, "content")), F.lit("")).alias("content"),
+        "metas": F.transform(
+            "_metas",
+            lambda t: F.struct(H.attribute(t, "name").alias("name"), F.coalesce(H.attribute(t, "content"), F.lit("")).alias("content")),
         ),
-    )
-    laid = rows.withColumn("_layout", layout)
-    return with_settled(laid, ["page_id", "url"], {"texts": text_rows, "elems": elem_rows, "metas": metas})
+    }
+    settled |= {name: F.col(f"_layout.{name}") for name in ("main", "by_density", *(("hits", "unsupported") if selectors else ()))}
+    return with_settled(rows.withColumn("_layout", layout), ["page_id", "url"], settled)
 
 
 def elements(*tags: str) -> Column:
@@ -172,6 +166,11 @@ def elements(*tags: str) -> Column:
 Keep = Callable[[Column], Column]
 
 
+def is_live(x: Column) -> Column:
+    """Is this text or element still on the page after main-content extraction took its parts out?"""
+    return x["gone"] == 0
+
+
 def joined(texts: Column, sep: str = "") -> Column:
     return F.array_join(F.transform(texts, lambda t: t["text"]), sep)
 

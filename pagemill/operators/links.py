@@ -9,8 +9,7 @@ from pagemill.functions import html as H
 from pagemill.functions import urls as U
 from pagemill.functions.plan import with_settled
 from pagemill.functions.references import with_common_attribute_references
-from pagemill.operators.content import is_removed, with_main
-from pagemill.operators.document import elements, text_of
+from pagemill.operators.document import elements, is_live, text_of
 from pagemill.operators.tokens import page_token_arrays
 
 
@@ -42,8 +41,8 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 def frontier_links(docs: DataFrame) -> DataFrame:
     """The links that are still on the page after main-content extraction took its parts out."""
-    live = F.filter(elements("a"), lambda a: a["href"].isNotNull() & ~is_removed(a))
-    anchors = with_main(docs).select("page_id", "url", F.explode_outer(live).alias("a")).where(F.col("a").isNotNull())
+    live = F.filter(elements("a"), lambda a: a["href"].isNotNull() & is_live(a))
+    anchors = docs.select("page_id", "url", F.explode_outer(live).alias("a")).where(F.col("a").isNotNull())
     return _resolved(anchors.select("page_id", "url", "a.pos", "a.href"))
 
 

@@ -7,11 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions import html as H
-from pagemill.functions.plan import pinned
 from pagemill.functions.text import strip
-from pagemill.operators.content import is_removed, with_main
-from pagemill.operators.document import text_of
+from pagemill.operators.document import is_live, page_documents, text_of
 from pagemill.operators.joins import skew_safe_join
 from pagemill.operators.sampling import PROMPT_TEXT_LIMIT, page_sample
 
@@ -151,104 +148,24 @@ def classify(docs: DataFrame, classifier: Callable[[DataFrame], DataFrame], comp
     return parse_analysis(analysis_input(docs, compat).transform(classifier))
 
 
-_NAME = r"[a-zA-Z_-][a-zA-Z0-9_-]*"
-_SIMPLE = rf"""(?:[.#]{_NAME}|\[{_NAME}(?:[~^$*]?=(?:"[^"\]]*"|'[^'\]]*'|[^"'\]\s]*))?\])"""
-_COMPOUND = rf"(?:(?:{_NAME}|\*){_SIMPLE}*|{_SIMPLE}+)"
-SUPPORTED_SELECTOR = rf"^\s*{_COMPOUND}(?:\s+{_COMPOUND})*(?:\s*,\s*{_COMPOUND}(?:\s+{_COMPOUND})*)*\s*$"
-
-
-def _compound(c: Column) -> Column:
-    """``(tag, ident, classes, attrs)`` of one compound selector."""
-    attr = r"\[([^\]=~^$*]+)([~^$*]?=)?([^\]]*)\]"
-    bare = F.regexp_replace(c, attr, "")
-    names = F.regexp_extract_all(c, F.lit(attr), F.lit(1))
-    tests = F.regexp_extract_all(c, F.lit(attr), F.lit(2))
-    values = F.regexp_extract_all(c, F.lit(attr), F.lit(3))
-    pairs = F.zip_with(tests, values, lambda t, v: F.struct(t.alias("test"), F.regexp_replace(v, r"""^["']|["']$""", "").alias("value")))
-    return F.struct(
-        F.lower(F.regexp_extract(bare, rf"^({_NAME})", 1)).alias("tag"),
-        F.regexp_extract(bare, rf"#({_NAME})", 1).alias("ident"),
-        F.regexp_extract_all(bare, F.lit(rf"\.({_NAME})"), F.lit(1)).alias("classes"),
-        F.zip_with(names, pairs, lambda n, p: F.struct(n.alias("name"), p["test"].alias("test"), p["value"].alias("value"))).alias("attrs"),
-    )
-
-
-def compiled_selector(selector: Column) -> Column:
-    """``array<array<compound>>``: alternatives of descendant steps; NULL for an unsupported selector."""
-    outside = r"(?![^\[]*\])"  # commas and blanks inside brackets belong to a value
-    alternatives = F.split(strip(selector), rf"\s*,\s*{outside}")
-    steps = F.transform(alternatives, lambda a: F.transform(F.split(strip(a), rf"\s+{outside}"), _compound))
-    return F.when(selector.rlike(SUPPORTED_SELECTOR), steps)
-
-
-def _attribute_of(tok: Column, name: Column) -> Column:
-    """Value of an attribute whose name is data; NULL if the tag has none."""
-    pattern = r"""(?s)([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
-    names = F.regexp_extract_all(F.lower(tok), F.lit(pattern), F.lit(1))
-    values = F.regexp_extract_all(tok, F.lit(pattern), F.lit(2))
-    value = F.get(values, F.array_position(names, F.lower(name)).cast("int") - 1)
-    return H.decode_references(F.regexp_replace(value, r"""^["']|["']$""", ""))
-
-
-def _passes(have: Column, test: Column, want: Column) -> Column:
-    """Attribute test of a selector: presence, equality, or one of ``^= $= *= ~=``, which an empty value fails."""
-    part = (
-        F.when(test == "^=", F.startswith(have, want)).when(test == "$=", F.endswith(have, want)).when(test == "*=", F.contains(have, want))
-        .otherwise(F.array_contains(F.split(have, r"\s+"), want))
-    )
-    return F.when(test == "", have.isNotNull()).when(test == "=", have == want).otherwise((want != "") & part)
-
-
-def _matches(e: Column, c: Column) -> Column:
-    words = F.coalesce(F.split(e["classes"], r"\s+"), F.array().cast("array<string>"))
-    return (
-        ((c["tag"] == "") | (c["tag"] == e["tag"]))
-        & ((c["ident"] == "") | F.coalesce(c["ident"] == e["ident"], F.lit(False)))
-        & (F.size(F.array_except(c["classes"], words)) == 0)
-        & F.forall(
-            c["attrs"],
-            lambda a: F.coalesce(_passes(_attribute_of(e["tok"], a["name"]), a["test"], a["value"]), F.lit(False)),
-        )
-    )
+def with_selectors(pages: DataFrame, per_page: DataFrame, how: str = "left") -> DataFrame:
+    """Add each page's ``selectors`` from ``(page_id, selectors)``, one row per page; raw pages are smaller than their structure."""
+    return skew_safe_join(pages.select("page_id", "url", "html"), per_page.select("page_id", "selectors"), "page_id", how)
+
 
+def selected_texts() -> Column:
+    """For each field the text of the first element its selector finds; needs ``page_documents`` with selectors."""
+    texts = F.transform("hits", lambda h: F.struct(h["field"].alias("field"), text_of(h, keep=is_live).alias("text")))
+    return F.map_from_entries(texts)
 
-def apply_selectors(docs: DataFrame, per_page: DataFrame) -> DataFrame:
+
+def apply_selectors(pages: DataFrame, per_page: DataFrame) -> DataFrame:
     """``(page_id, extra, unsupported)``: for each selector field the text of its first matching element.
 
-    ``docs`` must hold every element; ``per_page`` is ``(page_id, selectors)``.  Parts taken out by main-content
-    extraction do not match.  Supported are tag, class, id, attribute (with ``= ~= ^= $= *=``), compounds of
-    them, comma lists and descendants.  ``unsupported`` names the fields with another selector; a field
-    without a match is left out of ``extra``.
+    ``per_page`` is ``(page_id, selectors)``.  Elements taken out by main-content extraction are no part of the tree.
+    Supported are names, classes, ids, attribute tests, comma lists, descendants, ``>``, ``+``, ``~``, places among siblings
+    (``:first-child``, ``:nth-of-type(2n+1)`` and the like), ``:not()``, ``:is()`` and ``:where()``.  ``unsupported`` names the
+    fields with another selector; a field without a match is left out of ``extra``.
     """
-    live = F.filter("elems", lambda e: ~is_removed(e))
-
-    def hits(steps: Column) -> Column:
-        """Elements that match the last step below elements that match the earlier ones."""
-        none = F.lit(None).cast("array<struct<pos:int,end:int,t_from:int,t_to:int>>")
-        return F.aggregate(
-            steps,
-            none,
-            lambda above, step: F.transform(
-                F.filter(
-                    "_live",
-                    lambda e: _matches(e, step)
-                    & (above.isNull() | F.exists(above, lambda a: (a["pos"] < e["pos"]) & (e["pos"] < a["end"]))),
-                ),
-                lambda e: F.struct(e["pos"], e["end"], e["t_from"], e["t_to"]),
-            ),
-        )
-
-    found = F.transform(
-        F.map_entries("selectors"),
-        lambda f: F.struct(
-            f["key"].alias("field"),
-            F.array_min(F.flatten(F.transform(compiled_selector(f["value"]), hits))).alias("first"),
-        ),
-    )
-    texts = F.transform(
-        F.filter("_found", lambda f: f["first"].isNotNull()),
-        lambda f: F.struct(f["field"], text_of(f["first"], keep=lambda t: ~is_removed(t)).alias("text")),
-    )
-    joined = with_main(docs).join(per_page, "page_id").withColumn("_live", pinned(live)).withColumn("_found", pinned(found))
-    other = F.map_keys(F.map_filter("selectors", lambda _, s: F.coalesce(~s.rlike(SUPPORTED_SELECTOR), F.lit(True))))
-    return joined.select("page_id", F.map_from_entries(texts).alias("extra"), F.array_sort(other).alias("unsupported"))
+    docs = page_documents(with_selectors(pages, per_page, "inner"), selectors=True).where(F.col("hits").isNotNull())
+    return docs.select("page_id", selected_texts().alias("extra"), "unsupported")

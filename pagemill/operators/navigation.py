@@ -6,19 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.html import has_class
-from pagemill.operators.content import is_removed, with_main
-from pagemill.operators.document import elements, text_of
+from pagemill.operators.document import elements, is_live, text_of
 
 SIDEBAR_HEADING_TAGS = ["h2", "h3", "h4"]
 
 
 def _live(elems: Column, mutated: bool) -> Column:
-    return F.filter(elems, lambda e: ~is_removed(e)) if mutated else elems
+    return F.filter(elems, is_live) if mutated else elems
 
 
 def _texts_inside(regions: Column, tags: list[str], mutated: bool) -> Column:
     """Texts of the given elements inside each region; nested regions repeat them."""
-    keep = (lambda t: ~is_removed(t)) if mutated else None
+    keep = is_live if mutated else None
     inner = _live(elements(*tags), mutated)
     return F.flatten(
         F.transform(
@@ -59,7 +58,7 @@ def sidebar_sections(mutated: bool = False, css: bool = False) -> Column:
 def footer_text(mutated: bool = False) -> Column:
     """Text of the first footer, NULL if there is none or it is empty."""
     first = F.get(_live(elements("footer"), mutated), F.lit(0))
-    text = text_of(first, keep=(lambda t: ~is_removed(t)) if mutated else None)
+    text = text_of(first, keep=is_live if mutated else None)
     return F.when(text != "", text)
 
 
@@ -77,4 +76,4 @@ def page_navigation(docs: DataFrame, mutated: bool = True, css: bool = False) ->
     ``mutated``: as left over after main-content extraction; else of the whole page.
     """
     columns = navigation_columns(mutated, css)
-    return with_main(docs).select("page_id", "url", *[c.alias(n) for n, c in columns.items()])
+    return docs.select("page_id", "url", *[c.alias(n) for n, c in columns.items()])

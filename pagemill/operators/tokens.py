@@ -1,19 +1,18 @@
 """Pages to tokens, and the region depth of each token.
 
-Everything that depends on nesting is computed by running sums over one page's tokens.
-That is exact when the tags balance; pages where it would not be are found by a check
-inside the row and rewritten first (``balanced_pages``).
+Nothing here is shuffled: what depends on nesting is computed within the row of the page.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
-from pagemill.functions.repair import repaired_html
+from pagemill.functions import layout as L
+from pagemill.functions.references import with_common_references
 from pagemill.functions.text import strip
 
 # Elements whose extent matters to some operator, whatever their attributes.
@@ -38,68 +37,9 @@ def main_priority(tag: Column, ident: Column, role: Column, classes: Column) ->
     return F.coalesce(*[F.when(test, F.lit(rank)) for rank, test in enumerate(tests, 1)])
 
 
-def _check_step(state: Column, tag: Column) -> Column:
-    """One tag of the balance check.
-
-    ``open`` is the stack of open elements as text, ``,name;flag`` each; flag 1 marks an element
-    whose extent matters.  An end tag pops everything above its start tag: ``bad`` if that closes
-    """
-    key = F.concat(F.lit(","), tag["name"], F.lit(";"))
-    is_open = F.contains(state["open"], key)
-    tail = F.call_function("substring_index", state["open"], key, F.lit(-1))
-    rest = F.length(state["open"]) - F.length(tail) - F.length(key)
-    flagged = tag["flag"] | F.contains(state["open"], F.concat(key, F.lit("1")))
-    pushed = F.concat(state["open"], key, F.when(flagged, F.lit("1")).otherwise(F.lit("0")))
-    popped = state["open"].substr(F.lit(1), rest)
-    hits_flagged = F.contains(F.substr(tail, F.lit(2)), F.lit(";1"))
-    return F.struct(
-        F.when(~tag["close"], pushed).when(is_open, popped).otherwise(state["open"]).alias("open"),
-        (state["bad"] | (tag["close"] & F.when(is_open, hits_flagged).otherwise(tag["flag"]))).alias("bad"),
-    )
-
-
-def _tag_facts(tok: Column) -> Column:
-    name = H.tag_name(tok)
-    attributed = tok.rlike(r"""(?i)[\s"'](?:id|class|role)\s*=""")
-    return F.struct(
-        name.alias("name"),
-        F.startswith(tok, F.lit("</")).alias("close"),
-        (name.isin(BLOCK_TAGS) | attributed).alias("flag"),
-    )
-
-
-def page_token_arrays(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, toks)``: the tokens of each page, in order."""
-    return pages.select("page_id", "url", H.html_tokens(F.col("html")).alias("toks"))
-
-
-def balanced_pages(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, html)`` with pages rewritten whose tags do not balance where it matters.
-
-    The check needs no shuffle; rows that pass go through the rewriting step as NULL.
-    """
-    toks = pages.where(F.length("html") > 0).withColumn("toks", H.html_tokens(F.col("html")))
-    tags = F.filter(
-        F.transform(F.filter("toks", _is_nesting), _tag_facts),
-        lambda x: ~x["name"].isin(H.VOID_TAGS),
-    )
-    begin = F.struct(F.lit("").alias("open"), F.lit(False).alias("bad"))
-    checked = toks.withColumn("_end", F.aggregate(tags, begin, _check_step))
-    bad = F.col("_end.bad") | F.contains(F.col("_end.open"), F.lit(";1"))
-    repaired = checked.withColumn("_fixed", repaired_html(F.when(bad, F.col("html"))))
-    return repaired.select("page_id", "url", F.coalesce("_fixed", "html").alias("html"))
-
-
-def _is_nesting(tok: Column) -> Column:
-    """Start and end tags that change the nesting: not raw-text elements, not self-closed ones."""
-    raw = tok.rlike(r"(?is)^<(?:script|style)[\s/>].*</")
-    return tok.rlike(r"^</?[a-zA-Z]") & ~raw & ~F.endswith(tok, F.lit("/>"))
-
-
-def by_page(pages: DataFrame) -> DataFrame:
-    """Shuffle the compact page rows once, so that no later step has to shuffle their tokens."""
-    partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pages.repartition(partitions, "page_id")
+def page_token_arrays(pages: DataFrame, others: Iterable[str] = ()) -> DataFrame:
+    """``(page_id, url, toks)`` and the ``others`` of the columns: the tokens of each page, in order."""
+    return pages.select("page_id", "url", *others, H.html_tokens(F.col("html")).alias("toks"))
 
 
 def _exploded(arrays: DataFrame) -> DataFrame:
@@ -116,33 +56,27 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     return _exploded(page_token_arrays(pages.where(F.length("html") > 0)))
 
 
-def nested_tokens(pages: DataFrame, clustered: bool = False) -> DataFrame:
-    """Tokens of balanced pages, partitioned by ``page_id``.
+def _nested(pages: DataFrame, tags: list[str]) -> DataFrame:
+    """``(page_id, url, _toks, _depths)``: tokens ``(tok, tag, kind)`` of each page, and the lists of their depths."""
+    tagged = F.transform("toks", lambda t: F.struct(t.alias("tok"), H.tag_name(t).alias("tag")))
+    kinds = F.transform(tagged, lambda x: F.struct(x["tok"], H.token_kind(x["tok"], x["tag"]).alias("kind"), x["tag"]))
+    rows = page_token_arrays(pages.where(F.length("html") > 0)).select("page_id", "url", kinds.alias("_toks"))
+    code = F.transform("_toks", lambda x: F.when(x["kind"] == "open", L.CODES[0]).when(x["kind"] == "close", L.END_TAG).otherwise(L.OTHER))
+    names = F.transform(F.filter("_toks", lambda x: x["kind"].isin("open", "close")), lambda x: x["tag"])
+    return rows.withColumn("_depths", L.page_depths(tags)(F.array_join(code, ""), F.array_join(names, " ")))
 
-    The check and the rewriting come before the one shuffle, as a Python step hides the partitioning.
-    ``clustered=True`` says that the source holds balanced pages bucketed by ``page_id``: then nothing is shuffled.
-    """
-    return _exploded(page_token_arrays(pages if clustered else by_page(balanced_pages(pages))))
-
-
-def page_order() -> Window:
-    return Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
+def with_regions(pages: DataFrame, tags: Iterable[str]) -> DataFrame:
+    """``page_tokens`` with ``depth_<tag>``: how many elements of that name enclose the token.
 
-def region_step(tags: Iterable[str]) -> Column:
-    """+1 at a start tag, -1 at an end tag of the given elements, else 0."""
-    inside = F.col("tag").isin(list(tags))
-    return (
-        F.when(inside & (F.col("kind") == "open"), 1).when(inside & (F.col("kind") == "close"), -1).otherwise(0)
-    )
-
-
-def with_regions(tokens: DataFrame, tags: Iterable[str]) -> DataFrame:
-    """Add ``depth_<tag>``: how many elements of that name enclose the token (its own start tag counts)."""
-    order = page_order()
-    return tokens.withColumns(
-        {f"depth_{t.replace('-', '_')}": F.sum(region_step([t])).over(order).cast("int") for t in tags}
-    )
+    Its own start tag counts, its end tag does not.  The depths come from the tree of the page, whatever tags are missing or too
+    many, and are computed within the row: no shuffle.
+    """
+    tags = list(tags)
+    depths = [F.col(f"_depths.d{k}").alias(f"d{k}") for k in range(len(tags))]
+    rows = _nested(pages, tags).select("page_id", "url", F.posexplode_outer(F.arrays_zip(F.col("_toks").alias("t"), *depths)).alias("pos", "x"))
+    columns = [F.col(f"x.d{k}").alias(f"depth_{t.replace('-', '_')}") for k, t in enumerate(tags)]
+    return rows.where(F.col("pos").isNotNull()).select("page_id", "url", "pos", "x.t.tok", "x.t.kind", "x.t.tag", *columns)
 
 
 def with_texts(tokens: DataFrame) -> DataFrame:
@@ -150,14 +84,16 @@ def with_texts(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("text", F.when(F.col("kind") == "text", strip(H.text_value(F.col("tok")))))
 
 
-def region_text(tokens: DataFrame, inside: Column, sep: str) -> DataFrame:
-    """Text of a region per page: ``(page_id, text)`` of the non-empty texts that meet ``inside``.
+def region_text(pages: DataFrame, tags: Iterable[str], sep: str) -> DataFrame:
+    """Text of a region per page: ``(page_id, text)`` of the non-empty texts inside elements of the given names.
 
-    ``tokens`` needs ``text``; the ordered list is bounded by one page.
+    One row for each page with content, '' without such text; texts inside nested regions count once.  No shuffle.
     """
-    kept = F.when(inside & (F.col("text") != ""), F.struct("pos", "text"))
-    ordered = F.sort_array(F.collect_list(kept))
-    return tokens.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), sep).alias("text"))
+    tags = list(tags)
+    inside = F.transform(F.col("_depths.d0"), lambda d, i: d + sum((F.get(f"_depths.d{k}", i) for k in range(1, len(tags))), F.lit(0)) > 0)
+    texts = F.zip_with("_toks", inside, lambda x, near: F.when(near & (x["kind"] == "text"), strip(H.text_value(x["tok"]))))
+    rows = _nested(with_common_references(pages), tags)
+    return rows.select("page_id", F.array_join(F.filter(texts, lambda t: t != ""), sep).alias("text"))
 
 
 def token_tag_counts(tokens: DataFrame) -> DataFrame:

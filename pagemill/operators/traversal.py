@@ -2,70 +2,100 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls as U
 from pagemill.operators.admission import admit_urls
-from pagemill.operators.joins import skew_safe_join
+from pagemill.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, hot_keys, skew_safe_join
 from pagemill.options import CrawlOptions
-from pagemill.session import materialize
+from pagemill.session import discard, materialize
 
-ORDER = ["order_key", "url"]
+_WIDE = "decimal(38,0)"
+_STEP = f"cast('{1 << 64}' AS decimal(20,0))"  # between the keys of two parents; link positions are 64-bit numbers
 
 
-def first_rows(df: DataFrame, n: int, order: list[str] = ORDER) -> DataFrame:
-    """The exact first ``n`` rows by a unique key.
+def _queue_key(rank: Column, pos: Column) -> Column:
+    """Place in a first-in-first-out queue: by the parent's rank, then by the link's position.
 
-    Range partitions are taken whole until the limit falls inside one, whose rows are numbered in order.
-    The driver sees one count per range, and no task sees more than a range.
+    One number, so that the smallest key per target is found by a hash aggregation.
     """
-    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    taken, last = 0, None
-    for part, size in sorted(tuple(r) for r in ranged.groupBy("_range").count().collect()):
-        if taken + size > n:
-            last = part
-            break
-        taken += size
-    if last is None:
-        return ranged.drop("_range")
-    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    part = ranged.where(F.col("_range") == last).withColumn("_at", at).where(F.col("_at") <= n - taken).drop("_range", "_at")
-    return ranged.where(F.col("_range") < last).drop("_range").unionByName(part)
+    return (rank.cast("decimal(18,0)") * F.expr(_STEP) + pos.cast("decimal(20,0)")).cast(_WIDE)
 
 
-def expand_level(frontier: DataFrame, links: DataFrame, small: bool | None = None) -> DataFrame:
-    """``(url, depth, order_key)`` of the targets of a frontier's links, one row per target.
+def expand_level(frontier: DataFrame, links: DataFrame, small: bool | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """``(url, depth, key)`` of the targets of a frontier's links, one row per target.
 
-    ``links`` is ``(src_url, pos, dst_url)``.  The key of a target is its parent's key plus the position
-    of the link: arrays compare from the left, which is the order of a first-in-first-out queue within
-    a level.  The smallest key per target is found before rows meet in a shuffle, so popular
-    targets do not pile up.
+    ``frontier`` is ``(url, depth, rank)``, ``links`` is ``(src_url, pos, dst_url)``.  Keys sort as the targets do in a
+    first-in-first-out queue.  The smallest key per target is found before rows meet in a shuffle, so popular
+    targets do not pile up.  ``small`` and ``hot`` hand on what is known about the join (``skew_safe_join``).
     """
-    sources = frontier.select(F.col("url").alias("src_url"), "depth", "order_key")
-    out = skew_safe_join(links.select("src_url", "pos", "dst_url"), sources, "src_url", "inner", broadcast=small)
-    found = out.select(
-        F.col("dst_url").alias("url"),
-        (F.col("depth") + 1).alias("depth"),
-        F.concat("order_key", F.array(F.col("pos").cast("bigint"))).alias("order_key"),
-    )
-    return found.groupBy("url").agg(F.min("depth").alias("depth"), F.min("order_key").alias("order_key"))
+    sources = frontier.select(F.col("url").alias("src_url"), "depth", "rank")
+    out = skew_safe_join(links.select("src_url", "pos", "dst_url"), sources, "src_url", "inner", broadcast=small, hot=hot)
+    found = out.select(F.col("dst_url").alias("url"), (F.col("depth") + 1).alias("depth"), _queue_key(F.col("rank"), F.col("pos")).alias("key"))
+    return found.groupBy("url").agg(F.min("depth").alias("depth"), F.min("key").alias("key"))
 
 
 def dedupe_frontier(candidates: DataFrame, discovered: DataFrame) -> DataFrame:
-    """Candidates that were not discovered before; of equal URLs the first stays."""
-    first = candidates.groupBy("url").agg(F.min("depth").alias("depth"), F.min("order_key").alias("order_key"))
+    """Candidates ``(url, depth, key)`` that were not discovered before; of equal URLs the first stays."""
+    first = candidates.groupBy("url").agg(F.min("depth").alias("depth"), F.min("key").alias("key"))
     return first.join(discovered.select("url"), "url", "left_anti")
 
 
+@dataclass(frozen=True)
+class Level:
+    """A stored level ``(url, depth, rank)``: rank counts from 0 in queue order; ``n_bytes`` is the size of its URLs."""
+
+    rows: DataFrame
+    n: int
+    n_bytes: int
+
+
+def ranked_level(found: DataFrame) -> Level:
+    """Store ``(url, depth, key)`` and number it by key.
+
+    Range partitions are numbered each on its own; only their sizes reach the driver, so no task sees more than a range.
+    """
+    ranges = found.repartitionByRange("key", "url").withColumn("_range", F.spark_partition_id())
+    stored = materialize(ranges, "level")
+    sizes = stored.groupBy("_range").agg(F.count(F.lit(1)), F.sum(F.octet_length("url"))).collect()
+    starts, n, n_bytes = {}, 0, 0
+    for part, size, width in sorted(map(tuple, sizes)):
+        starts[part], n, n_bytes = n, n + size, n_bytes + width
+    within = F.expr("row_number() OVER (PARTITION BY _range ORDER BY key, url)")
+    start = F.get(F.lit([starts.get(p, 0) for p in range(max(starts, default=0) + 1)]).cast("array<bigint>"), F.col("_range"))
+    return Level(stored.select("url", "depth", (start + within - 1).cast("bigint").alias("rank")), n, n_bytes)
+
+
 @dataclass(frozen=True)
 class Traversal:
-    """``visited``: ``(url, depth, order_key, fetched)``; ``queued``: what was left in the queue."""
+    """``visited``: ``(url, depth, visit, fetched)``, visit counts from 1 in the order of the visits; ``queued``: ``(url, depth)`` left over.
+
+    The sizes of both are known; ``progress`` has (depth, visited so far, queue behind the level) for each level.
+    """
 
     visited: DataFrame
     queued: DataFrame
+    n_visited: int
+    n_queued: int
+    progress: list[tuple[int, int, int]] = field(default_factory=list)
+
+
+def _followed(links: DataFrame, options: CrawlOptions | None, rules: DataFrame | None, fetched: DataFrame | None) -> DataFrame:
+    """The links that a traversal can follow: from pages at hand to admitted targets.  Stored, as every level reads them."""
+    found = links.select("src_url", F.col("pos").cast("bigint").alias("pos"), "dst_url")
+    if fetched is not None:
+        # a page may have most of the links: its rows are not moved to meet one row
+        at_hand = fetched.select(F.col("url").alias("src_url")).distinct()
+        found = skew_safe_join(found, at_hand, "src_url", "inner")
+    if options is not None:
+        found = admit_urls(found, options, rules, url="dst_url").where("admitted").drop("admitted", "reject_reason")
+    elif fetched is None:
+        return found
+    return materialize(found.select("src_url", "pos", "dst_url"), "followed")
 
 
 def traverse(
@@ -80,54 +110,68 @@ def traverse(
     """Walk the link table from ``seeds(url)``, or ``seeds(url, pos)`` to order several, level by level.
 
     At most ``max_depth + 1`` rounds; each writes its new frontier to the shared folder, so a lost executor
-    never repeats earlier rounds.  ``options`` admits targets (seeds are not checked); a rejected target is
-    not remembered.  ``fetched(url)`` are the pages at hand: others count as visited but yield no
-    links.  The link table is read once per level.
+    never repeats earlier rounds.  ``options`` admits targets (seeds are not checked).  ``fetched(url)`` are the pages at
+    hand: others count as visited but yield no links.  Both are decided once, for the whole link table, which is
+    then read once per level.
     """
     pos = F.col("pos").cast("bigint") if "pos" in seeds.columns else F.lit(0).cast("bigint")
-    start = seeds.select("url", F.lit(0).alias("depth"), F.array(pos).alias("order_key"))
-    frontier = materialize(start.groupBy("url", "depth").agg(F.min("order_key").alias("order_key")), "level")
-    discovered, levels, n_visited = frontier, [], 0
-    queued = frontier.limit(0)
-    at_hand = None if fetched is None else fetched.select("url").distinct().withColumn("_at_hand", F.lit(True))
+    start = seeds.select("url", F.lit(0).alias("depth"), _queue_key(F.lit(0), pos).alias("key"))
+    level = ranked_level(start.groupBy("url", "depth").agg(F.min("key").alias("key")))
+    followed, hot = None, None
+    discovered, visits, n_visited, progress = [level], [], 0, []
+    queued: list[DataFrame] = []
+    n_queued = 0
     for depth in range(max_depth + 1):
-        size = frontier.count()
-        if size == 0 or n_visited >= max_pages:
-            queued = queued.unionByName(frontier)
+        if level.n == 0 or n_visited >= max_pages:
+            queued.append(level.rows)
+            n_queued += level.n
             break
-        take = frontier
-        if n_visited + size > max_pages:
-            take = materialize(first_rows(frontier, max_pages - n_visited), "level")
-            queued = queued.unionByName(frontier.join(take.select("url"), "url", "left_anti"))
-        n_visited += min(size, max_pages - n_visited)
-        levels.append(take)
+        n_taken = min(level.n, max_pages - n_visited)
+        taken = level.rows
+        if n_taken < level.n:
+            taken = level.rows.where(F.col("rank") < n_taken)
+            queued.append(level.rows.where(F.col("rank") >= n_taken))
+            n_queued += level.n - n_taken
+        visits.append(taken.select("url", "depth", (F.col("rank") + n_visited + 1).alias("visit")))
+        n_visited += n_taken
         if depth == max_depth:
+            progress.append((depth, n_visited, n_queued))
             break
-        live = take if at_hand is None else take.join(at_hand.select("url"), "url", "left_semi")
-        found = dedupe_frontier(expand_level(live, links), discovered)
-        if options is not None:
-            found = admit_urls(found, options, rules).where("admitted").drop("admitted", "reject_reason")
-        frontier = materialize(found.select("url", "depth", "order_key"), "level")
-        discovered = discovered.unionByName(frontier)
-    visited = levels[0] if levels else frontier.limit(0)
-    for level in levels[1:]:
-        visited = visited.unionByName(level)
-    if at_hand is None:
+        if followed is None:
+            followed = _followed(links, options, rules, fetched)
+        small = n_taken <= BROADCAST_ROWS and level.n_bytes + 24 * n_taken <= BROADCAST_BYTES
+        if not small and hot is None:
+            hot = hot_keys(followed, "src_url")
+        known = discovered[0].rows.select("url")
+        for earlier in discovered[1:]:
+            known = known.unionByName(earlier.rows.select("url"))
+        level = ranked_level(dedupe_frontier(expand_level(taken, followed, small, hot), known))
+        progress.append((depth, n_visited, n_queued + level.n))
+        discovered.append(level)
+    visited = visits[0] if visits else level.rows.limit(0).select("url", "depth", F.col("rank").alias("visit"))
+    for more in visits[1:]:
+        visited = visited.unionByName(more)
+    if fetched is None:
         visited = visited.withColumn("fetched", F.lit(True))
     else:
-        visited = visited.join(at_hand, "url", "left")
-        visited = visited.withColumn("fetched", F.col("_at_hand").isNotNull()).drop("_at_hand")
-    return Traversal(visited, queued)
+        at_hand = fetched.select("url").distinct().withColumn("_at_hand", F.lit(True))
+        visited = visited.join(at_hand, "url", "left").withColumn("fetched", F.col("_at_hand").isNotNull()).drop("_at_hand")
+    left = queued[0] if queued else level.rows.limit(0)
+    for more in queued[1:]:
+        left = left.unionByName(more)
+    if followed is not None and hasattr(followed, "stored_at"):
+        discard(followed)  # the levels are stored
+    return Traversal(visited.select("url", "depth", "visit", "fetched"), left.select("url", "depth"), n_visited, n_queued, progress)
 
 
 def reachable(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int, **kwargs) -> DataFrame:
-    """``(url, depth, order_key, fetched)`` of the pages a traversal visits."""
+    """``(url, depth, visit, fetched)`` of the pages a traversal visits."""
     return traverse(links, seeds, max_depth, max_pages, **kwargs).visited
 
 
 def visit_order(visited: DataFrame) -> DataFrame:
-    """Visited pages in the order of the visits: level by level, then by key."""
-    return visited.orderBy("depth", *ORDER)
+    """Visited pages in the order of the visits: level by level, then as they came into the queue."""
+    return visited.orderBy("visit")
 
 
 def subdomains_visited(visited: DataFrame) -> DataFrame:
@@ -137,28 +181,26 @@ def subdomains_visited(visited: DataFrame) -> DataFrame:
 
 
 def crawl_state(walk: Traversal, start_url: str, extracted: DataFrame | None = None) -> DataFrame:
-    """One row: ``base_domain, subdomains, visited_count, queue_count, extracted_count``.
+    """One row: ``base_domain, subdomain_count, visited_count, queue_count, extracted_count``.
 
-    ``subdomains`` lists the distinct labels of one site.  ``extracted`` are the content records; by default every
-    fetched page yields one.
+    The labels themselves are the table of ``subdomains_visited``, which ``write_subdomains`` writes: a site may have
+    millions.  ``extracted`` are the content records; by default every fetched page yields one.
     """
-    from urllib.parse import urlparse
-
-    parts = U.with_url_parts(walk.visited, "url").withColumn("subdomain", U.subdomain(F.col("netloc")))
+    labels = subdomains_visited(walk.visited).agg(F.count(F.lit(1)).alias("subdomain_count"))
     if extracted is None:
-        done = F.sum(F.col("fetched").cast("long"))
+        done = walk.visited.agg(F.count(F.when(F.col("fetched"), 1)).alias("extracted_count"))
     else:
-        kept = extracted.select("url").distinct().withColumn("_kept", F.lit(1))
-        parts = parts.join(kept, "url", "left")
-        done = F.count("_kept")
-    labels = F.array_sort(F.collect_set(F.when(F.col("subdomain") != "", F.col("subdomain"))))
-    counts = parts.agg(
-        labels.alias("subdomains"), F.count(F.lit(1)).alias("visited_count"), F.coalesce(done, F.lit(0)).alias("extracted_count")
-    )
+        done = walk.visited.select("url").join(extracted.select("url"), "url", "left_semi").agg(F.count(F.lit(1)).alias("extracted_count"))
+    counts = labels.withColumn("_one", F.lit(1)).join(done.withColumn("_one", F.lit(1)), "_one")
     return counts.select(
         U.base_domain(F.lit(urlparse(start_url).netloc)).alias("base_domain"),
-        "subdomains",
-        "visited_count",
-        F.lit(walk.queued.count()).cast("long").alias("queue_count"),
+        "subdomain_count",
+        F.lit(walk.n_visited).cast("long").alias("visited_count"),
+        F.lit(walk.n_queued).cast("long").alias("queue_count"),
         "extracted_count",
     )
+
+
+def crawl_progress(walk: Traversal, spark) -> DataFrame:
+    """``(depth, visited_count, queue_count)``: the state after each level."""
+    return spark.createDataFrame(walk.progress, "depth int, visited_count long, queue_count long")

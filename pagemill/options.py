@@ -6,6 +6,10 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
+from pyspark.sql import SparkSession
+
+from pagemill.functions.patterns import PatternError, spark_regex
+
 SCOPES = ("site", "host", "any")
 PATTERN_KINDS = ("regex", "glob")
 
@@ -84,17 +88,22 @@ class CrawlOptions:
 
 
 def as_regex(pattern: str, kind: str = "regex") -> str:
-    """Turn a URL pattern into a regex for an unanchored search.
+    """Turn a URL pattern into a regex of Spark for an unanchored search.
 
-    Glob patterns cover the whole URL, ``*`` stands for any run and ``?`` for one character.
+    Regex patterns are those of Python's ``re`` and find what ``re.search`` finds.  Glob patterns cover the whole URL,
+    ``*`` stands for any run and ``?`` for one character.  Where a session runs, its own compiler has the last word.
     """
     if kind == "glob":
         pieces = {"*": ".*", "?": "."}
-        return "^" + "".join(pieces.get(ch, re.escape(ch)) for ch in pattern) + "$"
+        pattern = r"(?s)\A" + "".join(pieces.get(ch, re.escape(ch)) for ch in pattern) + r"\Z"
     try:
-        re.compile(pattern)
-    except re.error as err:
-        raise ValueError(
-            f"URL pattern {pattern!r} is not a regular expression ({err}); use pattern_kind='glob' for wildcards"
-        ) from err
-    return pattern
+        translated = spark_regex(pattern)
+    except PatternError as err:
+        raise ValueError(f"URL pattern {pattern!r} is not a regular expression that can be used ({err}); use pattern_kind='glob' for wildcards") from err
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        try:
+            session.sparkContext._jvm.java.util.regex.Pattern.compile(translated)
+        except Exception as err:
+            raise ValueError(f"Spark does not take the URL pattern {pattern!r}, which it reads as {translated!r}") from err
+    return translated

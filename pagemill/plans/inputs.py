@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from pagemill.functions import urls as U
 from pagemill.operators.links import extract_links
 from pagemill.session import materialize
-from pagemill.sources.pages import load_pages
+from pagemill.sources.pages import load_pages, spread
 
 SEED_URL = "http://www.example.com/"
 WORD_HOST = "http://words.example.com"
 
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_pages(spark, f"{sf_dir}/pages.parquet")
+    """The pages, dealt out if their one file has fewer row groups than the session has cores."""
+    return spread(load_pages(spark, f"{sf_dir}/pages.parquet"))
 
 
 def links_of(pages: DataFrame) -> DataFrame:
@@ -33,8 +34,31 @@ def with_busy_hrefs(pages: DataFrame) -> DataFrame:
 
 
 def urls_of(pages: DataFrame) -> DataFrame:
-    """``(url)`` of all pages and all link targets."""
-    return pages.select("url").unionByName(links_of(pages).select(F.col("dst_url").alias("url")))
+    """``(url)`` of all pages, of all link targets, and of three places of each page that may not be visited."""
+    host = F.regexp_extract("url", "^[a-z]+://[^/]*", 0)
+    more = F.explode(
+        F.array(
+            F.concat(F.lit("mailto:p"), "page_id", F.lit("@example.com")),
+            F.concat(host, F.lit("/en/file"), "page_id", F.lit(".pdf")),
+            F.concat(host, F.lit("/fr/Cartoon/"), "page_id", F.lit("?next=a.pdf")),
+        )
+    )
+    return pages.select("url").unionByName(links_of(pages).select(F.col("dst_url").alias("url"))).unionByName(pages.select(more.alias("url")))
+
+
+def enriched(pages: DataFrame) -> DataFrame:
+    """The pages with meta elements, a sidebar, and parts inside the article that extraction takes out again."""
+    odd = F.col("page_id") % 2 == 1
+    author = F.when(odd, F.lit("<meta name=author content=B>")).otherwise(
+        F.lit("""<META content='A "x" &copy;' name="article:author"><meta name="author" content="late">""")
+    )
+    day = F.concat(F.lit('<meta name="article:published_time" content="2024-01-'), F.col("page_id") % 28 + 1, F.lit('">'))
+    date = F.when(F.col("page_id") % 3 == 1, day).when(F.col("page_id") % 3 == 2, F.lit('<meta name="date">')).otherwise(F.lit('<meta property="date" content="no">'))
+    head = F.concat(F.lit('<meta name="description" content="About &amp; '), _segment(2), F.lit('">'), author, date, F.lit("</head>"))
+    side = F.concat(F.lit('<aside class="sidebar"><h2>Side <i>'), _segment(2), F.lit("</i></h2><p>x</p><h4>Sub</h4><aside><h3>in</h3></aside></aside>"))
+    cut = F.lit('<article><div class="x ad">cut<p>cut</div><script>var a="</article>";</script><nav><a href="/cut">cut</a></nav><header>cut</header>')
+    html = F.replace(F.replace("html", F.lit("</head>"), head), F.lit("<article>"), F.concat(side, cut))
+    return pages.withColumn("html", html)
 
 
 def _segment(n: int) -> Column:

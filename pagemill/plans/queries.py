@@ -109,7 +109,7 @@ def same_site(pages):
     O.with_(
         O.URLS,
         "SELECT u.url, " + ", ".join(f"{e} AS {n}" for n, e in _P.items())
-        + f", {O.base(_P['netloc'])} AS base_domain, {O.sub(_P['netloc'])} AS subdomain, {O.base(_P['netloc'])} = 'example.com' AS same_site FROM urls u",
+        + f", {O.base(_P['netloc'])} AS base_domain, {O.sub(_P['netloc'])} AS subdomain, ({_P['netloc']} = '' OR {O.base(_P['netloc'])} = 'example.com') AS same_site FROM urls u",
     )
 )
 def url_facts_table(pages):
@@ -162,7 +162,7 @@ _DEPTH_TAGS = ["article", "nav", "footer", "div", "title"]
 
 @query(O.with_(O.REGIONS, "SELECT page_id, pos, " + ", ".join(f"in_{t}::BIGINT AS depth_{t}" for t in _DEPTH_TAGS) + " FROM reg"))
 def region_depths(pages):
-    deep = TK.with_regions(TK.nested_tokens(pages), _DEPTH_TAGS)
+    deep = TK.with_regions(pages, _DEPTH_TAGS)
     return deep.select("page_id", *_big("pos", *[f"depth_{t}" for t in _DEPTH_TAGS]))
 
 
@@ -176,8 +176,7 @@ def token_attributes(pages):
 
 @query(O.with_(O.PER_PAGE, "SELECT page_id, footer AS text FROM per_page"))
 def region_text(pages):
-    deep = TK.with_texts(TK.with_regions(TK.nested_tokens(pages), ["footer"]))
-    return TK.region_text(deep, F.col("depth_footer") > 0, "")
+    return TK.region_text(pages, ["footer"], "")
 
 
 @query(O.with_(O.REGIONS, "SELECT page_id, pos, txt AS text FROM reg WHERE txt <> ''"))
@@ -264,9 +263,13 @@ def title(pages):
     return page_documents(pages).select("page_id", metadata.title().alias("title"))
 
 
-@query("SELECT page_id, NULL::VARCHAR AS description, NULL::VARCHAR AS author, NULL::VARCHAR AS date FROM pages WHERE NOT contains(html, '<meta name')")
+_META_SQL = f"""'About & ' || {O._SEG2} AS description, CASE WHEN page_id % 2 = 1 THEN 'B' ELSE 'A "x" ' || chr(169) END AS author,
+  CASE page_id % 3 WHEN 1 THEN '2024-01-' || (page_id % 28 + 1) WHEN 2 THEN '' END AS date"""
+
+
+@query(f"SELECT page_id, {_META_SQL} FROM pages")
 def meta_fields(pages):
-    return metadata.page_metadata(page_documents(pages)).select("page_id", "description", "author", "date")
+    return metadata.page_metadata(page_documents(I.enriched(pages))).select("page_id", "description", "author", "date")
 
 
 @query(O.with_(O.PER_PAGE, "SELECT page_id, h1 AS headings FROM per_page"))
@@ -277,11 +280,11 @@ def headings(pages):
 @query(
     O.with_(
         O.PER_PAGE,
-        "SELECT page_id, url, title, NULL::VARCHAR AS description, NULL::VARCHAR AS author, NULL::VARCHAR AS date, h1 AS headings FROM per_page",
+        f"SELECT page_id, url, title, {_META_SQL}, 'Side' || {O._SEG2} || ' | in | ' || h1 AS headings FROM per_page",
     )
 )
 def page_metadata(pages):
-    return metadata.page_metadata(page_documents(pages)).withColumn("headings", _list("headings"))
+    return metadata.page_metadata(page_documents(I.enriched(pages))).withColumn("headings", _list("headings"))
 
 
 # --- content and navigation --------------------------------------------------------------------
@@ -289,7 +292,7 @@ def page_metadata(pages):
 
 @query(O.with_(O.PER_PAGE, f"SELECT page_id, coalesce({O.CLEAN_ARTICLE}, '') AS main_content FROM per_page"))
 def main_by_selector(pages):
-    return content.main_by_selector(page_documents(pages))
+    return content.main_by_selector(page_documents(I.enriched(pages)))
 
 
 @query(O.with_(O.PER_PAGE, f"SELECT page_id, url, {O.CLEAN_ARTICLE} AS main_content, false AS by_density FROM per_page"))
@@ -297,13 +300,19 @@ def main_content(pages):
     return content.main_content(page_documents(pages))
 
 
-@query()
+@query(O.with_(O.BLOCKS, "SELECT page_id, pos, tag, text_len, html_len, round(text_len / html_len, 6) AS density FROM block"))
 def content_density(pages):
-    blocks = content.content_density(page_documents(pages))
+    blocks = content.content_density(page_documents(pages, sizes=True))
     return blocks.select("page_id", *_big("pos"), "tag", *_big("text_len", "html_len"), F.round("density", 6).alias("density"))
 
 
-@query()
+@query(
+    O.with_(
+        O.BLOCKS,
+        f"""SELECT page_id, coalesce(CASE b.tag WHEN 'article' THEN {O.CLEAN_ARTICLE} WHEN 'div' THEN ad END, '') AS main_content
+        FROM per_page LEFT JOIN (SELECT page_id, arg_max(tag, (text_len / html_len, -pos)) AS tag FROM block GROUP BY page_id) b USING (page_id)""",
+    )
+)
 def main_by_density(pages):
     """Pages without their known containers: every page takes the density path."""
     bare = pages.withColumn("html", F.regexp_replace("html", r"(?i)(</?)article\b", "$1section"))
@@ -340,9 +349,9 @@ def footer_text(pages):
     return navigation.page_navigation(page_documents(pages), mutated=False).select("page_id", "footer")
 
 
-@query("SELECT page_id, NULL::VARCHAR AS sidebar_sections FROM pages WHERE NOT contains(html, '<aside')")
+@query(f"SELECT page_id, 'Side' || {O._SEG2} || ' | Sub | in | in' AS sidebar_sections FROM pages")
 def sidebar_sections(pages):
-    nav = navigation.page_navigation(page_documents(pages), mutated=False)
+    nav = navigation.page_navigation(page_documents(I.enriched(pages)), mutated=False)
     return nav.select("page_id", _list("sidebar_sections").alias("sidebar_sections"))
 
 
@@ -425,7 +434,18 @@ def page_sample(pages):
     )
 
 
-@query()
+@query(
+    O.with_(
+        _RECORDS,
+        """SELECT p.page_id, p.url, to_json({'url': p.url, 'title': title, 'headings': [{'tag': 'h1', 'text': left(h1, 100)}],
+          'structure_sample': coalesce(t.structure, []), 'links_sample': coalesce(l.links, []), 'text_sample': left(page_text, 1000)})::VARCHAR AS input
+        FROM per_page p
+        LEFT JOIN (SELECT page_id, list(tag || '.' || regexp_extract(tok, 'class="([^"]*)"', 1) ORDER BY pos) AS structure
+          FROM tok WHERE kind = 'open' AND tag = 'div' GROUP BY page_id) t USING (page_id)
+        LEFT JOIN (SELECT page_id, list({'href': href, 'text': left(text, 50)} ORDER BY pos) FILTER (WHERE href <> '' AND text <> '') AS links
+          FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM anchor) WHERE rn <= 20 GROUP BY page_id) l USING (page_id)""",
+    )
+)
 def analysis_input(pages):
     return models.analysis_input(page_documents(pages))
 
@@ -495,7 +515,7 @@ _EXTRA_SQL = """CASE WHEN own THEN 'headline=' || h1 || ' | lede=' || lede || '
 
 @query(O.with_(O.PER_PAGE + ", " + O.SELECTORS + ", " + _CACHED, f"SELECT u.page_id, {_EXTRA_SQL} AS extra FROM used u JOIN per_page p USING (page_id)"))
 def apply_selectors(pages):
-    found = models.apply_selectors(page_documents(pages, every_element=True), _page_selectors(pages).select("page_id", "selectors"))
+    found = models.apply_selectors(pages, _page_selectors(pages).select("page_id", "selectors"))
     return found.select("page_id", _pairs("extra").alias("extra"))
 
 
@@ -552,31 +572,38 @@ def _seed(pages):
     return pages.sparkSession.createDataFrame([(I.first_page_url(pages),)], "url string")
 
 
-def _walk(pages, max_pages: int) -> traversal.Traversal:
+def _walk(pages, max_pages: int, depth: int = WALK_DEPTH, options: CrawlOptions = _OPTIONS) -> traversal.Traversal:
     from pagemill.session import materialize
 
     graph = materialize(I.word_graph(pages), "links")
     at_hand = graph.select(F.col("src_url").alias("url"))
-    return traversal.traverse(graph, _seed(pages), WALK_DEPTH, max_pages, options=_OPTIONS, fetched=at_hand)
+    return traversal.traverse(graph, _seed(pages), depth, max_pages, options=options, fetched=at_hand)
 
 
 def _key() -> Column:
-    return F.array_join(F.transform("order_key", lambda k: k.cast("string")), ",").alias("order_key")
+    """The parent's rank and the link's position that the key of a candidate is made of."""
+    parent = F.expr(f"key div {1 << 64}")
+    return F.concat_ws(",", parent, F.expr(f"cast(key % {1 << 64} AS bigint)")).alias("order_key")
 
 
-_KEY_SQL = "array_to_string(k, ',') AS order_key"
 _LEVELS = O.levels(WALK_DEPTH, O.SITE_ADMITTED)
 _PAGE_URLS = "(SELECT src FROM graph)"
 
 
-@query(O.with_(_LEVELS, f"SELECT url, depth::BIGINT AS depth, {_KEY_SQL}, url IN {_PAGE_URLS} AS fetched FROM walk"))
+@query(O.with_(_LEVELS, f"SELECT url, depth::BIGINT AS depth, visit, url IN {_PAGE_URLS} AS fetched FROM walk"))
 def reachable(pages):
-    return _walk(pages, 1_000_000_000).visited.select("url", *_big("depth"), _key(), "fetched")
+    return _walk(pages, 1_000_000_000).visited.select("url", *_big("depth", "visit"), "fetched")
+
+
+@query(O.with_(O.levels(6, O.WEB_ADMITTED), f"SELECT url, depth::BIGINT AS depth, visit, url IN {_PAGE_URLS} AS fetched FROM walk"))
+def reachable_far(pages):
+    """Six levels, over all sites."""
+    return _walk(pages, 1_000_000_000, 6, CrawlOptions(I.SEED_URL, scope="any")).visited.select("url", *_big("depth", "visit"), "fetched")
 
 
-@query(O.with_(_LEVELS, f"SELECT url, depth::BIGINT AS depth, {_KEY_SQL}, url IN {_PAGE_URLS} AS fetched FROM walk WHERE visit <= {WALK_PAGES}"))
+@query(O.with_(_LEVELS, f"SELECT url, depth::BIGINT AS depth, visit, url IN {_PAGE_URLS} AS fetched FROM walk WHERE visit <= {WALK_PAGES}"))
 def page_budget(pages):
-    return _walk(pages, WALK_PAGES).visited.select("url", *_big("depth"), _key(), "fetched")
+    return _walk(pages, WALK_PAGES).visited.select("url", *_big("depth", "visit"), "fetched")
 
 
 @query(O.with_(_LEVELS, f"SELECT DISTINCT {O.sub(O.part('url', 2))} AS subdomain FROM walk WHERE {O.sub(O.part('url', 2))} <> ''"))
@@ -594,14 +621,13 @@ waiting AS (SELECT url FROM walk, cut WHERE depth <= cut.d AND visit > {WALK_PAG
     O.with_(
         _LEVELS + ", " + _STATE_SQL,
         f"""SELECT 'example.com' AS base_domain,
-        (SELECT string_agg(s, ' | ' ORDER BY s) FROM (SELECT DISTINCT {O.sub(O.part('url', 2))} AS s FROM seen) WHERE s <> '') AS subdomains,
+        (SELECT count(DISTINCT s) FROM (SELECT {O.sub(O.part('url', 2))} AS s FROM seen) WHERE s <> '') AS subdomain_count,
         (SELECT count(*) FROM seen) AS visited_count, (SELECT count(*) FROM waiting) AS queue_count,
         (SELECT count(*) FROM seen WHERE url IN {_PAGE_URLS}) AS extracted_count""",
     )
 )
 def crawl_state(pages):
-    state = traversal.crawl_state(_walk(pages, WALK_PAGES), I.SEED_URL)
-    return state.withColumn("subdomains", _list("subdomains"))
+    return traversal.crawl_state(_walk(pages, WALK_PAGES), I.SEED_URL)
 
 
 _PAGES_LEVEL = O.with_(
@@ -615,8 +641,8 @@ _PAGES_LEVEL = O.with_(
 def _all_pages_level(pages):
     """Frontier of all pages, in the order of their ids."""
     own = U.with_defragmented(pages.select("page_id", "url"), "url", "clean")
-    keys = own.groupBy(F.col("clean").alias("url")).agg(F.array(F.min("page_id")).alias("order_key"))
-    return keys.withColumn("depth", F.lit(0))
+    ranks = own.groupBy(F.col("clean").alias("url")).agg(F.min("page_id").alias("rank"))
+    return ranks.withColumn("depth", F.lit(0))
 
 
 @query(_PAGES_LEVEL.format(u=O.defragmented("url"), where=""))
@@ -654,13 +680,13 @@ _NETLOC = O.part("url", 2)
     O.with_(
         O.PER_PAGE,
         f"""SELECT {O.base(_NETLOC)} AS base_domain, count(*) AS n_pages, count(DISTINCT nullif({O.sub(_NETLOC)}, '')) AS n_subdomains,
-        count(title) AS with_title, 0::BIGINT AS with_description, 0::BIGINT AS with_author, 0::BIGINT AS with_date, count(nullif(h1, '')) AS with_headings,
+        count(title) AS with_title, count(*) AS with_description, count(*) AS with_author, count(CASE WHEN page_id % 3 > 0 THEN 1 END) AS with_date, count(*) AS with_headings,
         count({O.CLEAN_ARTICLE}) AS with_main_content, coalesce(sum(length({O.CLEAN_ARTICLE})), 0)::BIGINT AS content_chars,
         round(sum(length({O.CLEAN_ARTICLE})) / count({O.CLEAN_ARTICLE}), 6) AS mean_content_chars FROM per_page GROUP BY 1""",
     )
 )
 def domain_summary(pages):
-    return analytics.domain_summary(records.content_records(pages))
+    return analytics.domain_summary(records.content_records(I.enriched(pages)))
 
 
 # --- sinks, read back --------------------------------------------------------------------------
@@ -701,7 +727,7 @@ def write_subdomains(pages):
 def write_crawl_state(pages):
     path = scratch_path(pages.sparkSession, "state")
     W.write_crawl_state(crawl_state(pages), path)
-    schema = "base_domain string, subdomains string, visited_count long, queue_count long, extracted_count long"
+    schema = "base_domain string, subdomain_count long, visited_count long, queue_count long, extracted_count long"
     return pages.sparkSession.read.schema(schema).json(path)
 
 

@@ -26,23 +26,22 @@ def load_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
         url = F.col("_metadata.file_path")
         return files.select(F.xxhash64(url).alias("page_id"), url.alias("url"), F.col("value").alias("html"))
     reader = spark.read.schema(PAGES_SCHEMA) if fmt == "json" else spark.read
-    pages = reader.format(fmt).load(path).select("page_id", "url", "html")
-    return spread(pages)
+    return reader.format(fmt).load(path).select("page_id", "url", "html")
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Give a source with few splits (few row groups) one partition per core; a large one stays as it is."""
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() >= cores:
-        return pages
-    return pages.repartition(cores, "page_id")
+def spread(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal pages out to ``partitions`` (by default one per core): for a source of few files of one row group each, which Spark
+    cannot split.  The documents are shuffled, so it is for the caller to say that this is worth it; a source with as many
+    splits stays as it is.
+    """
+    partitions = partitions or pages.sparkSession.sparkContext.defaultParallelism
+    return pages if pages.rdd.getNumPartitions() >= partitions else pages.repartition(partitions, "page_id")
 
 
 def write_pages_table(pages: DataFrame, table: str, buckets: int) -> None:
     """Store pages bucketed and sorted by ``page_id``.
 
-    With pages that went through ``operators.tokens.balanced_pages``, jobs over this table with
-    ``clustered=True`` group and window by page without any shuffle.
+    Joins by page with a table bucketed alike (selectors, labels) need no shuffle of the pages then.
     """
     (
         pages.repartition(buckets, "page_id")

@@ -1,9 +1,12 @@
+from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.functions.references import with_characters
+from pagemill.functions.html import decode_references
+from pagemill.functions.references import with_characters, with_common_references
 from pagemill.operators import content, links, metadata, navigation, sampling
 from pagemill.operators import tokens as TK
 from pagemill.operators.document import page_documents
@@ -62,9 +65,26 @@ def test_texts_agree_with_the_standard_parser(spark):
         assert found[row.page_id] == [t.strip() for t in parser.out if t.strip()]
 
 
-def test_character_references():
-    assert with_characters("&eacute;&#8217;&#150;&#xD800; AT&T &foo; &lt;") == "é’–� AT&amp;T &amp;foo &lt;"
-    assert with_characters("<a href='?a=1&copy=2&eacute;'>") == "<a href='?a=1&copy=2é'>"
+def test_character_references(spark):
+    cases = {
+        "&eacute;&#8217;&#150;&#xD800; AT&T &foo; &lt;": "é’–� AT&amp;T &amp;foo &lt;",
+        "<a href='?a=1&copy=2&eacute;'>": "<a href='?a=1&copy=2é'>",
+        "x<p>&hellip": "x<p>…", "": "", "&#38;&#x3c;&#00065;&#99999999999999999999;&#0;&#xFFFE;&#13;&#x81;": "&amp;&lt;A\ufffd\ufffd\ufffd\r\x81",
+        "&NotEqualTilde;&fjlig;<i t='&hellip;&nope;'>&": "≂\u0338fj<i t='…&nope;'>&",
+    }
+    table = spark.createDataFrame([(k,) for k in cases], "doc string")
+    assert {r.doc: r.found for r in table.withColumn("found", with_characters(F.col("doc"))).collect()} == cases
+
+
+def test_references_agree_with_the_standard_library(spark):
+    """All names, and numbers of all kinds, in one document each; it stays in the JVM."""
+    refs = ["&" + n for n in html5 if n.endswith(";")] + [f"&#{i};" for i in [*range(0, 300), 8217, 0xFDD1, 0x1FFFF, 0x1F511, 0x10FFFF, 0x110000]]
+    table = spark.createDataFrame([("[sep]".join(refs), 1)], "html string, i int")
+    found = with_common_references(table)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.select(decode_references(F.col("html")).alias("t")).first().t.split("[sep]")
+    # what is no character is shown as such, not left out
+    assert got == [unescape(r) or "\ufffd" for r in refs]
 
 
 def test_metadata(make_pages):
@@ -102,7 +122,7 @@ def test_main_content_by_density(make_pages):
         "<div>short</div>",
         f"<aside><div>{LONG}</div></aside>",
     ]
-    docs_table = page_documents(make_pages(*docs))
+    docs_table = page_documents(make_pages(*docs), sizes=True)
     found = [r[0] for r in first(content.main_content(docs_table), "main_content")]
     assert found == [LONG.strip(), LONG + "!", None, None]
     text = len(LONG.strip())
@@ -114,7 +134,7 @@ def test_main_content_by_density(make_pages):
 
 
 def test_size_of_implied_end_tags(make_pages):
-    found = content.content_density(page_documents(make_pages(f"<div><p>{LONG}<br><b>x</div>"))).first()
+    found = content.content_density(page_documents(make_pages(f"<div><p>{LONG}<br><b>x</div>"), sizes=True)).first()
     assert found.html_len == len(f"<div><p>{LONG}<br/><b>x</b></p></div>")
 
 
@@ -162,10 +182,10 @@ def test_sample(make_pages):
 
 @pytest.mark.parametrize("doc", ["<div><p>a</div>b</p><nav>c<nav>d</nav>e</nav></div>", "<article><div>x</article>y</div><footer>z", "<nav>a</nav></nav>b"])
 def test_region_depths_of_unbalanced_pages(make_pages, doc):
-    """Running sums over the rewritten page give the extents of the tree."""
+    """Depths of tokens agree with the extents of the elements."""
     pages = make_pages(doc)
     tags = ["div", "nav", "article", "footer"]
-    deep = TK.with_texts(TK.with_regions(TK.nested_tokens(pages), tags)).where("text <> ''").orderBy("pos")
+    deep = TK.with_texts(TK.with_regions(pages, tags)).where("text <> ''").orderBy("pos")
     sums = [(r.text, *[r[f"depth_{t}"] for t in tags]) for r in deep.collect()]
     row = page_documents(pages).first()
     tree = [(t.text, *[sum(e.tag == tag and e.pos < t.pos < e.end for e in row.elems) for tag in tags]) for t in row.texts]

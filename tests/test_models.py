@@ -37,9 +37,9 @@ def test_apply_selectors(spark, make_pages):
     }
     pages = make_pages(DOC)
     per_page = spark.createDataFrame([(0, selectors)], "page_id long, selectors map<string,string>")
-    found = models.apply_selectors(page_documents(pages, every_element=True), per_page).first().extra
+    found = models.apply_selectors(pages, per_page).first().extra
     assert found == {
-        "tag": "a", "class": "metoo", "id": "too", "attr": "b", "has": "a", "compound": "metoo", "list": "inner", "deep": "inner",
+        "tag": "a", "class": "metoo", "id": "too", "attr": "b", "has": "a", "compound": "metoo", "list": "inner", "deep": "inner", "bad": "a", "child": "a",
     }
 
 
@@ -73,10 +73,10 @@ def test_attribute_selectors(spark, make_pages):
     html = '<div data-x="a,b">comma</div><p title="one two">words</p><a href="/x.pdf" rel="no follow">file</a><i>last</i>'
     selectors = {
         "comma": '[data-x="a,b"]', "word": "[title~=two]", "start": 'a[href^="/x"]', "end": "[href$='.pdf']", "part": "[href*=x]",
-        "miss": "[href^=x]", "two": '[title="one two"], i', "child": "div > p", "none": "[data-x*='']",
+        "miss": "[href^=x]", "two": '[title="one two"], i', "child": "div:hover", "none": "[data-x*='']",
     }
     pages = make_pages(html)
     table = spark.createDataFrame([(0, selectors)], "page_id bigint, selectors map<string,string>")
-    found = models.apply_selectors(page_documents(pages, every_element=True), table).first()
+    found = models.apply_selectors(pages, table).first()
     assert found.extra == {"comma": "comma", "word": "words", "start": "file", "end": "file", "part": "file", "two": "words"}
     assert found.unsupported == ["child"]

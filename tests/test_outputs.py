@@ -1,6 +1,9 @@
 import json
 from pathlib import Path
 
+import pytest
+from pyspark.sql import functions as F
+
 from pagemill.operators.links import link_degrees, link_graph, orphan_pages
 from pagemill.operators.records import content_records
 from pagemill.sinks import writers as W
@@ -45,17 +48,28 @@ def test_graph(spark):
     assert [r.page_id for r in orphan_pages(pages, links).collect()] == [2]
 
 
-def test_bucketed_table_needs_no_shuffle(spark, make_pages):
+def test_regions_need_no_shuffle(spark, make_pages):
     from pagemill.operators import tokens as TK
 
-    write_pages_table(TK.balanced_pages(make_pages("<p>a</p>", "<nav>b</nav>")), "bucketed_pages", 2)
+    pages = make_pages("<p>a</p>", "<nav>b<nav>c</nav>d<footer>e</nav>f")
+    for found in (TK.with_regions(pages, ["nav"]), TK.region_text(pages, ["nav", "footer"], "-")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+    assert TK.with_regions(pages, ["nav"]).count() == 13
+    assert {r.page_id: r.text for r in TK.region_text(pages, ["nav", "footer"], "-").collect()} == {0: "", 1: "b-c-d-e"}
+
+
+def test_bucketed_pages_meet_without_a_shuffle(spark, make_pages):
+    write_pages_table(make_pages("<p>a</p>", "<nav>b</nav>"), "bucketed_pages", 2)
     spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
-    deep = TK.with_regions(TK.nested_tokens(spark.table("bucketed_pages"), clustered=True), ["nav"])
-    assert "Exchange" not in deep._jdf.queryExecution().executedPlan().toString()
-    assert deep.count() == 6
-    plan = TK.with_regions(TK.nested_tokens(make_pages("<nav>b")), ["nav"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
-    spark.sql("DROP TABLE bucketed_pages")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.table("bucketed_pages")
+        both = pages.join(pages.select("page_id", "url"), "page_id")
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString() and both.count() == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_pages")
 
 
 def test_extraction_needs_no_shuffle(make_pages):
@@ -74,4 +88,57 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     found = sorted((r.url, r.title, r.main_content) for r in S.read_content(spark, out).collect())
     assert found == sorted((r.url, r.title, r.main_content) for r in batch.collect())
     states = sorted((r.batch_id, r.visited_count, r.extracted_count) for r in S.read_state(spark, out).collect())
-    assert [s[1:] for s in states] == [(2, 2), (3, 3)]
+    assert states[0][1:] == (2, 2) and states[-1][1:] == (3, 3)
+
+
+def test_a_batch_that_failed_is_replayed(spark, tmp_path, monkeypatch):
+    """It stops after its content and before its totals: readers don't see it, and its replay adds nothing twice."""
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    for rows in ([(1, "u1", "<main>a</main>")], [(2, "u2", "<main>b</main>"), (3, "u1", "<main>again</main>")]):
+        spark.createDataFrame(rows, PAGES).coalesce(1).write.mode("append").parquet(str(src))
+
+    def run():
+        S.stream_content(S.page_stream(spark, str(src), files_per_batch=1), out, f"{out}/checkpoint").awaitTermination()
+
+    totals = S._totals
+    monkeypatch.setattr(S, "_totals", lambda spark, out, batch_id: 1 / 0 if batch_id == 1 else totals(spark, out, batch_id))
+    with pytest.raises(Exception, match="division by zero"):
+        run()
+    assert Path(out, "content", "batch_id=1").exists()
+    assert [r.url for r in S.read_content(spark, out).collect()] == ["u1"]
+    monkeypatch.undo()
+    run()
+    assert sorted((r.url, r.main_content) for r in S.read_content(spark, out).collect()) == [("u1", "a"), ("u2", "b")]
+    assert max(tuple(r)[:2] for r in S.read_state(spark, out).collect()) == (2, 2)
+
+
+def test_stream_with_types_and_selectors(spark, tmp_path):
+    """The first readable set of a type holds for its pages of later batches as well."""
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    page = "<main><h2>one</h2><p class=x>two</p></main>"
+    batches = [[(1, "a1", page), (2, "b1", page)], [(3, "a2", page), (4, "b2", page), (5, "c1", page)]]
+    raws = {1: "broken", 2: '{"head": "h2"}', 3: '{"late": ".x"}', 4: '{"other": "p"}', 5: '{"gone": "i"}'}
+
+    def replies(batch):
+        raw = F.create_map(*[F.lit(x) for pair in raws.items() for x in pair])
+        return batch.select("page_id", F.substring("url", 1, 1).alias("page_type"), F.array("page_id").alias("order_key"), raw[F.col("page_id").cast("int")].alias("raw"))
+
+    analysis = spark.createDataFrame([(u, u[0]) for rows in batches for _, u, _ in rows], "url string, page_type string")
+    for rows in batches:
+        spark.createDataFrame(rows, PAGES).coalesce(1).write.mode("append").parquet(str(src))
+        stream = S.page_stream(spark, str(src), files_per_batch=1)
+        S.stream_content(stream, out, f"{out}/checkpoint", analysis=analysis, selector_replies=replies, page_types=("a", "b")).awaitTermination()
+    found = {r.url: (r.page_type, r.extra) for r in S.read_content(spark, out).collect()}
+    assert found == {
+        "a1": ("a", {"content": "onetwo"}), "b1": ("b", {"head": "one"}), "a2": ("a", {"late": "two"}), "b2": ("b", {"head": "one"}),
+    }
+
+
+def test_urls_are_forgotten_in_time(spark, tmp_path):
+    src = tmp_path / "in"
+    spark.createDataFrame([(1, "u", "a"), (2, "u", "b"), (3, "v", "c")], PAGES).coalesce(1).write.parquet(str(src))
+    for k, age in enumerate([None, "30 days"]):
+        once = S.stream_dedupe(S.page_stream(spark, str(src)), age).writeStream.format("parquet").option("path", str(tmp_path / f"o{k}"))
+        once.option("checkpointLocation", str(tmp_path / f"c{k}")).trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / f"o{k}"))
+        assert sorted(r.url for r in rows.collect()) == ["u", "v"] and rows.columns == ["page_id", "url", "html"]

@@ -46,14 +46,33 @@ def test_equals_a_queue(spark, trial):
     state = TR.crawl_state(walk, names[0]).first()
     assert (state.visited_count, state.queue_count) == (len(expected), queued)
     assert state.extracted_count == sum(u in fetched for u, _ in expected)
+    assert (walk.n_visited, walk.n_queued) == (len(expected), queued) == (walk.visited.count(), walk.queued.count())
+    assert TR.crawl_progress(walk, spark).orderBy(F.desc("depth")).first()[1:] == (len(expected), queued)
 
 
-def test_first_rows(spark):
-    big = 1 << 40
-    rows = spark.range(500).select(F.concat(F.lit("u"), "id").alias("url"), F.array(F.col("id") * 37 % 500 + big).alias("order_key"))
-    for n in (0, 5, 100, 333, 500, 900):
-        found = sorted(r.order_key[0] - big for r in TR.first_rows(rows, n).collect())
-        assert found == list(range(min(n, 500)))
+def test_levels_are_numbered_by_key(spark):
+    rows = spark.range(500).select(F.concat(F.lit("u"), "id").alias("url"), F.lit(1).alias("depth"), (F.col("id") * 37 % 500 - 250).cast("decimal(38,0)").alias("key"))
+    level = TR.ranked_level(rows)
+    assert level.n == 500 and level.n_bytes == sum(len(f"u{i}") for i in range(500))
+    assert {r.url: r.rank for r in level.rows.collect()} == {f"u{i}": i * 37 % 500 for i in range(500)}
+    assert TR.ranked_level(rows.limit(0)).n == 0
+
+
+def test_plan_of_a_level(spark):
+    """Candidates are reduced by hash aggregations of one number; nothing is sorted for it."""
+    links = spark.createDataFrame([("a", 1, "b")], "src_url string, pos bigint, dst_url string")
+    frontier = spark.createDataFrame([("a", 0, 0)], "url string, depth int, rank bigint")
+    plan = TR.expand_level(frontier, links, small=True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and plan.count("HashAggregate") == 2
+
+
+def test_state_of_a_site_with_very_many_labels(spark):
+    n = 1_000_000
+    urls = spark.range(n).select(F.concat(F.lit("http://s"), "id", F.lit(".example.com/")).alias("url"), F.lit(0).alias("depth"), F.col("id").alias("visit"), F.lit(True).alias("fetched"))
+    walk = TR.Traversal(urls, urls.limit(0), n, 0)
+    state = TR.crawl_state(walk, "http://www.example.com/")
+    assert tuple(state.first()) == ("example.com", n, n, 0, n)
+    assert "collect_set" not in state._jdf.queryExecution().executedPlan().toString()
 
 
 def test_large_positions(spark):
@@ -68,14 +87,16 @@ def test_a_hot_key_of_equal_rows_is_split(spark):
     joined = skew_safe_join(big, small, "k", "left", broadcast=False)
     assert joined.agg(F.count(F.lit(1)), F.sum("v")).first() == (20_000, 19_000)
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions stay apart
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # these few rows would be sent to all tasks
     try:
         spread = joined.where("v = 1").groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(spread) > 1
 
 
 def test_dedupe_keeps_the_first(spark):
-    found = spark.createDataFrame([("a", 1, [0, 5]), ("a", 1, [0, 2]), ("b", 1, [0, 1])], "url string, depth int, order_key array<int>")
+    found = spark.createDataFrame([("a", 1, 5), ("a", 1, 2), ("b", 1, 1)], "url string, depth int, key bigint")
     known = spark.createDataFrame([("b",)], "url string")
-    assert [(r.url, r.order_key) for r in TR.dedupe_frontier(found, known).collect()] == [("a", [0, 2])]
+    assert [(r.url, r.key) for r in TR.dedupe_frontier(found, known).collect()] == [("a", 2)]
