@@ -8,7 +8,9 @@ of edits and gives the span.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,6 +31,26 @@ NOTICES = [
     ("mozilla public license", "mpl", 2),
     ("released into the public domain", "public-domain", 3),
     ("licensed under the mit license", "mit", 2),
+    ("the software is provided as is without warranty of any kind", "mit", 4),
+    ("this program is free software you can redistribute it and or modify it", "gpl", 5),
+    ("gnu lesser general public license", "lgpl", 2),
+    ("gnu affero general public license", "agpl", 2),
+    ("apache license version", "apache", 2),
+    ("neither the name of the copyright holder nor the names of its contributors", "bsd", 5),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", 5),
+    ("eclipse public license", "epl", 2),
+    ("european union public licence", "eupl", 2),
+    ("boost software license", "boost", 2),
+    ("dedicated to the public domain", "public-domain", 3),
+    ("creative commons zero", "cc0", 2),
+    ("attribution sharealike", "cc-by-sa", 2),
+    ("attribution noncommercial", "cc-by-nc", 2),
+    ("attribution noderivs", "cc-by-nd", 2),
+    ("gnu free documentation license", "gfdl", 3),
+    ("open database license", "odbl", 2),
+    ("sil open font license", "ofl", 2),
+    ("reproduced with permission", "permission", 2),
+    ("no part of this publication may be reproduced", "reserved", 4),
 ]
 
 SCAN = "struct<n_words:bigint,n_base:bigint,first_word:bigint,last_word:bigint,base_labels:string,labels:string,score:double,spans:array<struct<label:string,start:bigint,end:bigint,edits:int>>>"
@@ -44,47 +66,64 @@ def seeds(notice: str, edits: int) -> list[tuple[bytes, int]]:
 
 
 def fuzzy_spans(line: bytes, notice: str, edits: int, pattern) -> list[tuple[int, int, int]]:
-    """(start, end, edits) of the notice in ``line`` with at most so many edits; spans don't overlap."""
-    windows = []
+    """(start, end, edits) of the notice in ``line`` with at most so many edits; spans don't overlap.
+
+    Around each seed lies one window, no wider than the notice and its edits, so the time is linear in the seeds.
+    The best match of every window is looked for; closer matches take their place first.  A window that lost its
+    match is searched again beside those.
+    """
+    windows = set()
     for seed, at in seeds(notice, edits):
         place = line.find(seed)
         while place >= 0:
-            windows.append((max(0, place - at - edits), min(len(line), place - at + len(notice) + edits)))
+            windows.add((max(0, place - at - edits), min(len(line), place - at + len(notice) + edits)))
             place = line.find(seed, place + 1)
-    out: list[tuple[int, int, int]] = []
-    for a, b in _joined(sorted(windows)):
-        # the best match of a stretch splits it: what lies before and behind is searched in turn
-        open_ = [(a, b)]
-        while open_:
-            a, b = open_.pop()
-            m = pattern.search(line, a, b)
-            if m and m.end() > m.start():
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                open_ += [(a, m.start()), (m.end(), b)]
-    return sorted(out)
-
-
-def _joined(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
+    found, windows = set(), sorted(windows)
+    for a, b in windows:
+        if m := pattern.search(line, a, b):
+            found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+    starts: list[int] = []
+    ends: list[int] = []
+    costs: list[int] = []
+
+    def take(cost: int, a: int, b: int) -> None:
+        k = bisect_right(starts, a)
+        if b > a and (k == 0 or ends[k - 1] <= a) and (k == len(starts) or b <= starts[k]):
+            starts.insert(k, a)
+            ends.insert(k, b)
+            costs.insert(k, cost)
+
+    for cost, a, b in sorted(found):
+        take(cost, a, b)
     for a, b in windows:
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+        at = a
+        while at < b:  # the free parts of the window
+            k = bisect_right(starts, at)
+            if k and ends[k - 1] > at:
+                at = ends[k - 1]
+                continue
+            stop = min(b, starts[k]) if k < len(starts) else b
+            m = pattern.search(line, at, stop) if stop - at >= len(notice) - edits else None
+            if m and m.end() > m.start():
+                take(sum(m.fuzzy_counts), m.start(), m.end())
+                at = m.end()
+            else:
+                at = max(stop, at + 1)
+    return list(zip(starts, ends, costs, strict=True))
 
 
 def scan_text(text: bytes, patterns: list) -> dict:
     """All columns of SCAN for one text."""
     words = text.translate(_KEEP).split()
     line = b" " + b" ".join(words) + b" "
+    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
     n_base, first, last, base = 0, None, None, set()
     spans, best = [], 0.0
     for phrase, label in BASE.items():
         needle = f" {phrase} ".encode()
         at = line.find(needle)
         while at >= 0:
-            word = line.count(b" ", 0, at)
+            word = int(np.searchsorted(blanks, at))
             n_base += 1
             base.add(label)
             first, last = word if first is None else min(first, word), word if last is None else max(last, word)
@@ -98,7 +137,7 @@ def scan_text(text: bytes, patterns: list) -> dict:
                 continue  # a base place
             labels.add(label)
             best = max(best, 1.0 - cost / len(notice))
-            start = line.count(b" ", 0, a + 1) - 1
+            start = int(np.searchsorted(blanks, a + 1)) - 1
             spans.append({"label": label, "start": start, "end": start + len(line[a:b].split()), "edits": cost})
     spans.sort(key=lambda s: (s["start"], s["end"], s["label"]))
     return {
