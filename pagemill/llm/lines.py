@@ -31,13 +31,18 @@ def line_occurrences(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     over as many ranges as it needs, as the document is part of the range key.
     """
     lower = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    lines = keyed(docs).select("_id", "_th", F.posexplode(F.split(lower, "\n")).alias("pos", "line"))
-    key = F.btrim("line", F.lit(BLANK))
-    lines = lines.select("_id", "_th", "pos", key.alias("key")).where(F.length("key") >= min_chars)
-    hashed = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "_id", "_th", "pos")
+    keys = F.transform(F.split(lower, "\n"), lambda line: F.btrim(line, F.lit(BLANK)))
+    hashes = F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))))
+    # hashed before they become rows, so that no row holds text; the outer form, as for the inner one the optimizer
+    # derives a filter that splits every text a second time
+    rows = keyed(docs).select("_id", "_th", F.posexplode_outer(hashes).alias("pos", "h")).where(F.col("h").isNotNull())
+    # stored, as finding the bounds of the ranges reads the rows once more
+    hashed = store(rows.select("h.h1", "h.h2", "_id", "_th", "pos"), "line-hashes")
     ranges = hashed.repartitionByRange("h1", "h2", "_id", "_th")
     same = Window.partitionBy("h1", "h2", "_id", "_th").orderBy("pos")
-    return store(ranges.withColumn("first", F.row_number().over(same) == 1), "lines")
+    occurrences = store(ranges.withColumn("first", F.row_number().over(same) == 1), "lines")
+    discard(hashed)
+    return occurrences
 
 
 def line_bitmaps(docs: DataFrame, min_docs: int = 2, keep: str = "first", min_chars: int = 1) -> DataFrame:
