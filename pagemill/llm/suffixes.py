@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,8 +179,11 @@ def common_prefixes(order: np.ndarray, words: np.ndarray, most: int) -> np.ndarr
 # --- shards
 
 
-def _anchored(window: int):
-    """Arrow step: fragments (anchor hash, document, place, length), each all windows of one anchor."""
+def _anchored(window: int, hashed: bool = True):
+    """Arrow step: fragments (anchor, k1, k2, document, place, length), each all windows of one anchor.
+
+    k1 and k2 are 128 bits of hash of the fragment's bytes, 0 if they are not asked for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = window - GRAM + 1
@@ -207,8 +211,12 @@ def _anchored(window: int):
                     continue
                 new = np.append(0, np.flatnonzero((least[1:] != least[:-1]) | (doc[1:] != doc[:-1])) + 1)
                 last = np.append(new[1:], len(starts)) - 1
+                k1 = k2 = np.zeros(len(new), np.int64)
+                if hashed:
+                    raw, bounds = data.tobytes(), zip(starts[new].tolist(), (starts[last] + window).tolist(), strict=True)
+                    k1, k2 = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in bounds), np.int64).reshape(-1, 2).T.copy()
                 columns = {
-                    "anchor": h[least[new]].view(np.int64), "_id": ids[begin + doc[new]], "_th": hashes[begin + doc[new]],
+                    "anchor": h[least[new]].view(np.int64), "k1": k1, "k2": k2, "_id": ids[begin + doc[new]], "_th": hashes[begin + doc[new]],
                     "at": (starts[new] - offsets[doc[new]]).astype(np.int32), "len": (starts[last] - starts[new] + window).astype(np.int32),
                 }
                 yield pa.RecordBatch.from_pydict(columns)
@@ -216,7 +224,7 @@ def _anchored(window: int):
     return run
 
 
-FRAGMENT = "anchor bigint, _id bigint, _th bigint, at int, len int"
+FRAGMENT = "anchor bigint, k1 bigint, k2 bigint, _id bigint, _th bigint, at int, len int"
 
 
 def repeated_in_shard(contents: list[bytes], documents: list, places: list[int], window: int) -> list[list[tuple[int, int]]]:
@@ -303,34 +311,30 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(_id, _th, spans): byte ranges of each document covered by windows that start earlier in the corpus."""
     spark = docs.sparkSession
     texts = keyed(docs.select("doc_id", "text")).select("_id", "_th", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    fragments = texts.mapInArrow(_anchored(window), FRAGMENT)
-    shared = store(fragments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "shared-anchors")
-    found = fragments.join(shared, "anchor", "left_semi")
-    found = store(found.groupBy("_id", "_th").agg(F.collect_set(F.struct("anchor", "at", "len")).alias("f")), "anchored")
-    cut = texts.join(found, ["_id", "_th"]).select("_id", "_th", "text", F.explode("f").alias("f"))
-    cut = cut.select("_id", "_th", "f.*", F.substring("text", F.col("f.at") + 1, F.col("f.len")).alias("content"))
-    cut = store(cut.select(F.xxhash64("content").alias("k1"), F.xxhash64(F.lit(1), F.col("content")).alias("k2"), "*"), "fragments")
-    discard(shared, found)
-    # equal contents meet before the shuffle; the earliest stands for all
-    firsts = cut.groupBy("anchor", "k1", "k2").agg(F.min(F.struct("_id", "_th", "at", "content")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    anchors = texts.mapInArrow(_anchored(window, hashed=False), FRAGMENT).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    shared = store(anchors.where("n > 1").select("anchor"), "shared-anchors")
+    slim = store(texts.mapInArrow(_anchored(window), FRAGMENT).join(shared, "anchor", "left_semi"), "places")
+    discard(shared)
+    # the earliest of equal contents stands for all; only anchors with different contents need the bytes of each
+    firsts = slim.groupBy("anchor", "k1", "k2").agg(F.min(F.struct("_id", "_th", "at", "len")).alias("first"), F.count(F.lit(1)).alias("copies"))
     firsts = store(firsts.select("anchor", "k1", "k2", "copies", "first.*"), "contents")
-    slim = store(cut.drop("content"), "places")
-    discard(cut)
-    hot = store(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_CONTENTS).select("anchor"), "hot-anchors")
-    size = firsts.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
+    several = store(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("size")).where("n > 1"), "several-contents")
+    size, some_hot = several.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)) > HOT_CONTENTS).first()
+    needed = firsts.join(several.select("anchor", "n"), "anchor").select("_id", "_th", F.struct("anchor", "k1", "k2", "at", "len", "n").alias("f"))
+    needed = store(needed.groupBy("_id", "_th").agg(F.collect_list("f").alias("f")), "needed")  # of one document
+    cut = texts.dropDuplicates(["_id", "_th"]).join(needed, ["_id", "_th"]).select("_id", "_th", "text", F.explode("f").alias("f"))
+    cut = cut.select("_id", "_th", "f.*", F.substring("text", F.col("f.at") + 1, F.col("f.len")).alias("content"))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-size // SHARD_BYTES)))).alias("shard")
-    some_hot = not hot.isEmpty()
-    cold = firsts.join(hot, "anchor", "left_anti") if some_hot else firsts
-    cold = cold.select(shard, "anchor", "k1", "k2", "_id", "_th", "at", "content")
+    cold = cut.where(F.col("n") <= HOT_CONTENTS).select(shard, "anchor", "k1", "k2", "_id", "_th", "at", "content")
     sharded = cold.repartition("shard").sortWithinPartitions("shard", "anchor")
     runs = sharded.mapInArrow(_shard_step(window), REPEATS)
     if some_hot:
-        runs = runs.unionByName(_hot_repeats(firsts.join(hot, "anchor", "left_semi"), window))
+        runs = runs.unionByName(_hot_repeats(cut.where(F.col("n") > HOT_CONTENTS), window))
     runs = store(runs, "runs")
     key = ["anchor", "k1", "k2"]
     heads = firsts.select(*key, "copies", F.struct("_id", "_th", "at").alias("first")).join(runs, key, "left")
     heads = store(heads.where("copies > 1 OR runs IS NOT NULL"), "heads")
-    discard(firsts, runs, hot)
+    discard(firsts, runs, several, needed)
     places = slim.join(heads, key)
     earliest = F.struct("_id", "_th", "at") == F.col("first")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("len").alias("end")))
