@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -194,3 +195,12 @@ def test_every_notice_of_a_window_is_found():
     found = licenses.scan_text(b"al rights reserved all right reserved all rights reserved all rghts reserved", patterns)
     assert [(s["start"], s["end"], s["edits"]) for s in found["spans"]] == [(0, 3, 1), (3, 6, 1), (6, 9, 0), (9, 12, 1)]
     assert found["n_base"] == 1 and found["labels"] == "reserved"
+
+
+def test_many_notices_in_one_text():
+    """The time of a scan is linear in the notices of a text."""
+    start = time.time()
+    found = licenses.scan_text(b"all rights reserved generl public licens " * 50_000, licenses.compiled())
+    assert found["n_base"] == 50_000 and found["n_words"] == 300_000
+    assert Counter((s["label"], s["edits"]) for s in found["spans"]) == {("reserved", 0): 50_000, ("gpl", 2): 50_000}
+    assert time.time() - start < 30
