@@ -6,6 +6,8 @@ next stage's docs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,32 +19,49 @@ SHARDS = 8
 SIMILARITY = 0.8  # of shingles of five words
 
 
+INPUT = ("doc_id", "text", "lang", "source")  # columns of a document that stages read
+
+
+def with_user_columns(docs: DataFrame, step: Callable[[DataFrame], DataFrame], added: tuple[str, ...] = ()) -> DataFrame:
+    """``step`` of the documents, all columns kept as they are, and the ``added`` ones, which replace columns of their names.
+
+    Columns that no stage reads travel in one struct, so none of them can clash with a name of a stage's own.
+    """
+    read = [c for c in docs.columns if c.lower() in INPUT]
+    rest = [c for c in docs.columns if c.lower() not in INPUT]
+    packed = docs.select(*read, F.struct(*[docs[f"`{c}`"] for c in rest]).alias("user_columns")) if rest else docs
+    done = step(packed)
+    own = [F.col(f"`{c}`") if c in read else F.col(f"user_columns.`{c}`").alias(c) for c in docs.columns if c.lower() not in added]
+    return done.select(*own, *added)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
-    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+    return with_user_columns(docs, lambda d: quality.accepted(d, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't resemble an earlier one that stays: SimHash and prefix candidates, verified by their shingles."""
-    return simhash.without_near_duplicates(docs, SIMILARITY, width=5)
+    return with_user_columns(docs, lambda d: simhash.without_near_duplicates(d, SIMILARITY, width=5))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return with_user_columns(docs, lambda d: decontaminate.decontaminate(d, table(spark, sf_dir, "benchmark")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or more."""
-    sized = docs.withColumn("size", mixing.word_count(F.col("text")))
-    mixed = mixing.mix(sized)
-    copies = F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))
-    return mixed.where("copies > 0").withColumn("_copy", copies).select(*docs.columns)
+    def taken(d: DataFrame) -> DataFrame:
+        mixed = mixing.mix(d.withColumn("size", mixing.word_count(F.col("text"))))
+        return mixed.where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))))
+
+    return with_user_columns(docs, taken)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows in random order over shards of equal row counts."""
-    return sharding.shard(docs, SHARDS)
+    return with_user_columns(docs, lambda d: sharding.shard(d, SHARDS), added=("shard", "slot"))
 
 
 STAGES = [
