@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+from typing import ParamSpec, TypeVar
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+P = ParamSpec("P")
+T = TypeVar("T")
+
+
+def kept(build: Callable[P, T]) -> Callable[P, T]:
+    """Keep what ``build`` makes for its arguments, which must be plain values.
+
+    An expression over columns by name holds for every table, and each of its nodes is a call into the JVM: a page's
+    structure takes ten thousand of them, more time than Spark needs to plan a query of it.  Kept per
+    context; callers must not change what they get.
+    """
+    made: dict = {}
+
+    @wraps(build)
+    def cached(*args: P.args, **kwargs: P.kwargs) -> T:
+        key = (SparkContext._active_spark_context, args, tuple(sorted(kwargs.items())))
+        if key not in made:
+            made[key] = build(*args, **kwargs)
+        return made[key]
+
+    return cached
+
 
 def pinned(c: Column) -> Column:
     """``c``, computed once where it is defined.

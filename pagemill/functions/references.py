@@ -10,12 +10,13 @@ from __future__ import annotations
 import html.entities
 import json
 from collections import defaultdict
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.plan import with_settled
+from pagemill.functions.plan import kept, with_settled
 
 # References that are decoded by a plain replace.
 COMMON_REFERENCES = {
@@ -100,13 +101,17 @@ def with_characters(doc: Column) -> Column:
     return _replaced(doc, _TAG_OR_REFERENCE, _in_text)
 
 
-def _with_common(df: DataFrame, col: str, replaced) -> DataFrame:
-    kept = df.where(F.length(col) > 0)
-    decoded = F.when(F.col(col).rlike(_OTHERS), replaced(F.col(col))).otherwise(F.col(col))
+@kept
+def _decoded(col: str, replaced: Callable[[Column], Column]) -> Column:
+    return F.when(F.col(col).rlike(_OTHERS), replaced(F.col(col))).otherwise(F.col(col))
+
+
+def _with_common(df: DataFrame, col: str, replaced: Callable[[Column], Column]) -> DataFrame:
+    filled = df.where(F.length(col) > 0)
     # settled, so that the optimizer does not copy the column into its consumers, where it would
     # tokenise every page several times
     rest = [c for c in df.columns if c != col]
-    return with_settled(kept, rest, {col: decoded})
+    return with_settled(filled, rest, {col: _decoded(col, replaced)})
 
 
 def with_common_references(df: DataFrame, col: str = "html") -> DataFrame:

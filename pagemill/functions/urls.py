@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.plan import kept
+
 # RFC 3986, appendix B, with the scheme's own character set.
 URL_RE = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -27,33 +29,35 @@ def _cleaned(url: Column) -> Column:
     return F.translate(F.regexp_replace(url, r"^[\x00-\x20]+", ""), "\t\r\n", "")
 
 
+@kept
+def _part_columns(url: str, prefix: str) -> list[dict[str, Column]]:
+    raw, col = f"_{prefix}raw_path", f"_{prefix}url"
+    has_params = F.contains(F.col(raw), F.lit(";")) & F.col(f"{prefix}scheme").isin(PARAM_SCHEMES)
+    return [
+        {col: _cleaned(F.col(url))},
+        {
+            f"{prefix}scheme": F.lower(F.regexp_extract(col, URL_RE, 1)),
+            f"{prefix}netloc": F.regexp_extract(col, URL_RE, 2),
+            raw: F.regexp_extract(col, URL_RE, 3),
+            f"{prefix}query": F.regexp_extract(col, URL_RE, 4),
+            f"{prefix}fragment": F.regexp_extract(col, URL_RE, 5),
+        },
+        {
+            f"{prefix}path": F.when(has_params, F.regexp_replace(raw, r";[^/]*$", "")).otherwise(F.col(raw)),
+            f"{prefix}params": F.when(has_params, F.regexp_extract(raw, r";([^/]*)$", 1)).otherwise(F.lit("")),
+        },
+    ]
+
+
 def with_url_parts(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
     """Add ``scheme, netloc, path, params, query, fragment`` of a URL column; absent parts are ''.
 
     The columns are added in stages, so that later stages refer to plain columns and no
     pattern is evaluated twice.
     """
-    raw, col = f"_{prefix}raw_path", f"_{prefix}url"
-    has_params = F.contains(F.col(raw), F.lit(";")) & F.col(f"{prefix}scheme").isin(PARAM_SCHEMES)
-    return (
-        df.withColumn(col, _cleaned(F.col(url)))
-        .withColumns(
-            {
-                f"{prefix}scheme": F.lower(F.regexp_extract(col, URL_RE, 1)),
-                f"{prefix}netloc": F.regexp_extract(col, URL_RE, 2),
-                raw: F.regexp_extract(col, URL_RE, 3),
-                f"{prefix}query": F.regexp_extract(col, URL_RE, 4),
-                f"{prefix}fragment": F.regexp_extract(col, URL_RE, 5),
-            }
-        )
-        .withColumns(
-            {
-                f"{prefix}path": F.when(has_params, F.regexp_replace(raw, r";[^/]*$", "")).otherwise(F.col(raw)),
-                f"{prefix}params": F.when(has_params, F.regexp_extract(raw, r";([^/]*)$", 1)).otherwise(F.lit("")),
-            }
-        )
-        .drop(col, raw)
-    )
+    for columns in _part_columns(url, prefix):
+        df = df.withColumns(columns)
+    return df.drop(f"_{prefix}raw_path", f"_{prefix}url")
 
 
 def url_join(scheme: Column, netloc: Column, path: Column, params: Column, query: Column, fragment: Column) -> Column:
@@ -82,12 +86,16 @@ def with_defragmented(df: DataFrame, url: str, out: str, canonical: bool = False
     ``canonical=True`` also lower-cases the host and gives a bare host the path ``/``.
     """
     parts = with_url_parts(df, url, "_d_")
+    return parts.withColumn(out, _defragmented(canonical)).drop(*[f"_d_{p}" for p in _PARTS])
+
+
+@kept
+def _defragmented(canonical: bool) -> Column:
     netloc, path = F.col("_d_netloc"), F.col("_d_path")
     if canonical:
         path = F.when((netloc != "") & (path == ""), F.lit("/")).otherwise(path)
         netloc = F.lower(netloc)
-    joined = url_join(F.col("_d_scheme"), netloc, path, F.col("_d_params"), F.col("_d_query"), F.lit(""))
-    return parts.withColumn(out, joined).drop(*[f"_d_{p}" for p in _PARTS])
+    return url_join(F.col("_d_scheme"), netloc, path, F.col("_d_params"), F.col("_d_query"), F.lit(""))
 
 
 def _without_dots(segments: Column) -> Column:
@@ -104,19 +112,26 @@ def _without_dots(segments: Column) -> Column:
 
 def with_resolved(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
     """Add the absolute URL of ``href`` as found on the page ``base``."""
-    parts = with_url_parts(with_url_parts(df, base, "_b_"), href, "_h_")
+    staged = with_url_parts(with_url_parts(df, base, "_b_"), href, "_h_")
+    for columns in _resolving(base, href, out):
+        staged = staged.withColumns(columns)
+    temps = [f"_{s}_{p}" for s in "bh" for p in _PARTS]
+    return staged.drop(*temps, "_scheme", "_joined", "_merged", "_netloc", "_path", "_params", "_query")
+
+
+@kept
+def _resolving(base: str, href: str, out: str) -> list[dict[str, Column]]:
+    """The columns of :func:`with_resolved`, in stages."""
     b = {p: F.col(f"_b_{p}") for p in _PARTS}
     h = {p: F.col(f"_h_{p}") for p in _PARTS}
     base_dir = F.regexp_replace(b["path"], r"[^/]*$", "")
     joined = F.when(F.startswith(h["path"], F.lit("/")), h["path"]).otherwise(
         F.regexp_replace(F.concat(F.when(base_dir == "", F.lit("/")).otherwise(base_dir), h["path"]), r"/+", "/")
     )
-    staged = parts.withColumns(
-        {"_scheme": F.when(h["scheme"] == "", b["scheme"]).otherwise(h["scheme"]), "_joined": joined}
-    )
+    first = {"_scheme": F.when(h["scheme"] == "", b["scheme"]).otherwise(h["scheme"]), "_joined": joined}
     dotted = F.col("_joined").rlike(r"(?:^|/)\.\.?(?:/|$)")
     undotted = F.array_join(_without_dots(F.split("_joined", "/", -1)), "/")
-    staged = staged.withColumn("_merged", F.when(dotted, undotted).otherwise(F.col("_joined")))
+    second = {"_merged": F.when(dotted, undotted).otherwise(F.col("_joined"))}
     scheme = F.col("_scheme")
     merged = F.when(F.col("_merged") == "", F.lit("/")).otherwise(F.col("_merged"))
 
@@ -125,14 +140,7 @@ def with_resolved(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
     path = F.when(own_host, h["path"]).when(same_document, b["path"]).otherwise(merged)
     params = F.when(~own_host & same_document, b["params"]).otherwise(h["params"])
     query = F.when(~own_host & same_document & (h["query"] == ""), b["query"]).otherwise(h["query"])
-    staged = staged.withColumns(
-        {
-            "_netloc": F.when(own_host, h["netloc"]).otherwise(b["netloc"]),
-            "_path": path,
-            "_params": params,
-            "_query": query,
-        }
-    )
+    third = {"_netloc": F.when(own_host, h["netloc"]).otherwise(b["netloc"]), "_path": path, "_params": params, "_query": query}
     foreign = (scheme != b["scheme"]) | ~scheme.isin(RELATIVE_SCHEMES)
     rebuilt = url_join(
         scheme, F.col("_netloc"), F.col("_path"), F.col("_params"), F.col("_query"), h["fragment"]
@@ -143,9 +151,7 @@ def with_resolved(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
         .when(foreign, F.col(href))
         .otherwise(rebuilt)
     )
-    temps = [f"_{s}_{p}" for s in "bh" for p in _PARTS]
-    temps += ["_scheme", "_joined", "_merged", "_netloc", "_path", "_params", "_query"]
-    return staged.withColumn(out, resolved).drop(*temps)
+    return [first, second, third, {out: resolved}]
 
 
 def _base_size(labels: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls as U
+from pagemill.functions.plan import kept, with_settled
 from pagemill.operators.joins import skew_safe_join
 from pagemill.options import CrawlOptions
 
@@ -82,26 +83,33 @@ def admit_urls(urls: DataFrame, options: CrawlOptions, rules: DataFrame | None =
 
     Without robots rules (or with ``respect_robots=False``) this is one projection without shuffle.
     """
-    parts = U.with_url_parts(urls, url, "_u_")
-    cols = {p: F.col(f"_u_{p}") for p in ("scheme", "netloc", "path")}
+    # settled: a filter on the verdict would copy each part's pattern into every place that looks at the part
+    own = ["_u_scheme", "_u_netloc", "_u_path"]
+    parts = with_settled(U.with_url_parts(urls, url, "_u_"), urls.columns, {c: F.col(c) for c in own})
     if rules is not None and options.respect_robots:
-        renamed = parts.withColumns({"netloc": cols["netloc"], "path": cols["path"]})
+        renamed = parts.withColumns({"netloc": F.col("_u_netloc"), "path": F.col("_u_path")})
         parts = with_robots_verdict(renamed, rules, options.user_agent, "_robots").drop("netloc", "path")
     else:
         parts = parts.withColumn("_robots", F.lit(True))
+    judged = with_settled(parts, urls.columns, {"reject_reason": _reason(url, options)})
+    return judged.withColumn("admitted", F.col("reject_reason").isNull())
+
+
+@kept
+def _reason(url: str, options: CrawlOptions) -> Column:
+    """The first check that fails, NULL if none does."""
+    scheme, netloc, path = F.col("_u_scheme"), F.col("_u_netloc"), F.col("_u_path")
     included = found_in(F.col(url), options.include_regexes) if options.include_regexes else F.lit(True)
     checks = [
-        is_http(cols["scheme"]),
-        in_scope(cols["netloc"], options),
+        is_http(scheme),
+        in_scope(netloc, options),
         ~found_in(F.col(url), options.exclude_regexes),
         included,
         F.col("_robots"),
-        not_asset(cols["path"]),
-        not_utility(cols["path"]),
+        not_asset(path),
+        not_utility(path),
     ]
-    reason = F.coalesce(*[F.when(~check, F.lit(name)) for name, check in zip(REASONS, checks)], F.lit(None).cast("string"))
-    temps = [f"_u_{p}" for p in ("scheme", "netloc", "path", "params", "query", "fragment")] + ["_robots"]
-    return parts.withColumn("reject_reason", reason).withColumn("admitted", F.col("reject_reason").isNull()).drop(*temps)
+    return F.coalesce(*[F.when(~check, F.lit(name)) for name, check in zip(REASONS, checks)], F.lit(None).cast("string"))
 
 
 def admission_report(verdicts: DataFrame, url: str = "url") -> DataFrame:

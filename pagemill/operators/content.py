@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.layout import BLOCK_TAGS, LEAST_BLOCK_TEXT
+from pagemill.functions.plan import kept
 from pagemill.functions.text import collapse_blank_lines
 from pagemill.operators.document import is_live, text_of
 
 
+@kept
 def main_text() -> Column:
     """Cleaned text of the main element, NULL if it has none."""
     text = collapse_blank_lines(text_of(F.col("main"), "\n", keep=is_live))

@@ -11,13 +11,14 @@ does not matter, and a lost executor costs one split.  Its time is linear in the
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import html as H
 from pagemill.functions import layout as L
-from pagemill.functions.plan import with_settled
+from pagemill.functions.plan import kept, with_settled
 from pagemill.functions.references import with_common_references
 from pagemill.functions.text import strip
 from pagemill.operators import tokens as TK
@@ -110,32 +111,35 @@ def page_documents(pages: DataFrame, sizes: bool = False, selectors: bool = Fals
     then the row has ``hits`` (field, and the extent of its first element) and ``unsupported`` as well.
     """
     given = ["selectors"] if selectors else []
+    e = _expressions(sizes, selectors)
+    rows = TK.page_token_arrays(with_common_references(pages), given).select("page_id", "url", "toks", *given, e["toks"], e["metas"])
+    # a column of its own: as an argument this expression keeps the optimizer from taking the UDF out
+    rows = with_settled(rows, rows.columns, {"_markup": e["markup"]})
+    return with_settled(rows.withColumn("_layout", e["layout"]), ["page_id", "url"], e["settled"])
+
+
+@kept
+def _expressions(sizes: bool, selectors: bool) -> dict[str, Any]:
+    """The columns of :func:`page_documents`, each over those before it."""
     tagged = F.transform("toks", lambda t: F.struct(t.alias("tok"), F.when(F.startswith(t, F.lit("<")), H.tag_name(t)).otherwise(F.lit("")).alias("tag")))
     kinds = F.transform(tagged, lambda x: F.struct(x["tok"], x["tag"], H.token_kind(x["tok"], x["tag"]).alias("kind")))
-    rows = TK.page_token_arrays(with_common_references(pages), given).select(
-        "page_id", "url", "toks", *given,
-        F.transform(F.transform(F.transform(kinds, _read), _with_attributes), _with_code).alias("_toks"),
-        F.filter("toks", lambda t: t.rlike(r"(?i)^<meta[\s/>]")).alias("_metas"),
-    )
+    toks = F.transform(F.transform(F.transform(kinds, _read), _with_attributes), _with_code)
     named = F.filter("_toks", lambda x: x["kind"].isin("open", "close", "void", "raw"))
     shown = F.filter("_toks", lambda x: x["code"] == L.TEXT)
     markup = F.transform("toks", lambda t, i: _serialized_length(t, F.get("_toks", i)).cast("string"))
     needed = F.lit(True) if sizes else ~F.exists("_toks", lambda x: x["ranked"])
-    # a column of its own: as an argument this expression keeps the optimizer from taking the UDF out
-    rows = with_settled(rows, rows.columns, {"_markup": F.when(needed, F.array_join(markup, " "))})
     columns = [
         F.array_join(F.transform("_toks", lambda x: x["code"]), ""),
         F.array_join(F.transform(named, lambda x: x["tag"]), " "),
         F.col("_markup"),
         F.when(needed, F.array_join(F.transform(shown, lambda x: F.length(x["text"]).cast("string")), " ")),
     ]
+    layout = L.page_layout
     if selectors:
         start = F.transform("toks", lambda t, i: F.struct(t.alias("tok"), F.get("_toks", i)["kind"].alias("kind")))
         start = F.filter(start, lambda x: x["kind"].isin("open", "void", "raw"))
         tokens = F.transform(start, lambda x: F.when(x["kind"] == "raw", F.regexp_extract(x["tok"], "(?s)^<[^>]*>?", 0)).otherwise(x["tok"]))
-        layout = L.selected_layout(*columns, F.col("selectors"), F.when(F.col("selectors").isNotNull(), tokens))
-    else:
-        layout = L.page_layout(*columns)
+        layout, columns = L.selected_layout, [*columns, F.col("selectors"), F.when(F.col("selectors").isNotNull(), tokens)]
 
     def token(x: Column, field: str) -> Column:
         return F.get(F.col("_toks"), x["pos"])[field]
@@ -155,9 +159,16 @@ def page_documents(pages: DataFrame, sizes: bool = False, selectors: bool = Fals
         ),
     }
     settled |= {name: F.col(f"_layout.{name}") for name in ("main", "by_density", *(("hits", "unsupported") if selectors else ()))}
-    return with_settled(rows.withColumn("_layout", layout), ["page_id", "url"], settled)
+    return {
+        "toks": toks.alias("_toks"),
+        "metas": F.filter("toks", lambda t: t.rlike(r"(?i)^<meta[\s/>]")).alias("_metas"),
+        "markup": F.when(needed, F.array_join(markup, " ")),
+        "layout": layout(*columns),
+        "settled": settled,
+    }
 
 
+@kept
 def elements(*tags: str) -> Column:
     """Elements of the given names, in document order."""
     return F.filter("elems", lambda e: e["tag"].isin(list(tags)))

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.plan import kept
 from pagemill.operators.document import elements, text_of
 
 # Names of the meta elements that hold each field.
-DESCRIPTION_NAMES = ["description"]
-AUTHOR_NAMES = ["author", "article:author"]
-DATE_NAMES = ["date", "article:published_time"]
+DESCRIPTION_NAMES = ("description",)
+AUTHOR_NAMES = ("author", "article:author")
+DATE_NAMES = ("date", "article:published_time")
 HEADING_TAGS = ["h1", "h2", "h3"]
 
 
+@kept
 def title() -> Column:
     """Text of the first title element; of the first h1 only if there is no title element at all.
 
@@ -24,11 +26,13 @@ def title() -> Column:
     return F.when(first.isNotNull(), own).otherwise(text_of(F.get(elements("h1"), F.lit(0))))
 
 
-def meta_content(names: list[str]) -> Column:
+@kept
+def meta_content(names: tuple[str, ...]) -> Column:
     """``content`` of the first meta element with one of the names: NULL without one, '' without content."""
-    return F.get(F.filter("metas", lambda m: m["name"].isin(names)), F.lit(0))["content"]
+    return F.get(F.filter("metas", lambda m: m["name"].isin(list(names))), F.lit(0))["content"]
 
 
+@kept
 def headings() -> Column:
     """Texts of all headings in order, NULL if there are none."""
     found = elements(*HEADING_TAGS)

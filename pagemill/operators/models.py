@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.plan import kept
 from pagemill.functions.text import strip
 from pagemill.operators.document import is_live, page_documents, text_of
 from pagemill.operators.joins import skew_safe_join
@@ -153,6 +154,7 @@ def with_selectors(pages: DataFrame, per_page: DataFrame, how: str = "left") ->
     return skew_safe_join(pages.select("page_id", "url", "html"), per_page.select("page_id", "selectors"), "page_id", how)
 
 
+@kept
 def selected_texts() -> Column:
     """For each field the text of the first element its selector finds; needs ``page_documents`` with selectors."""
     texts = F.transform("hits", lambda h: F.struct(h["field"].alias("field"), text_of(h, keep=is_live).alias("text")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.html import has_class
+from pagemill.functions.plan import kept
 from pagemill.operators.document import elements, is_live, text_of
 
 SIDEBAR_HEADING_TAGS = ["h2", "h3", "h4"]
@@ -34,6 +35,7 @@ def _or_null(values: Column) -> Column:
     return F.when(F.size(values) > 0, values)
 
 
+@kept
 def nav_links(mutated: bool = False, css: bool = False) -> Column:
     """Non-empty anchor texts in every nav; ``css`` adds elements with the role ``navigation``."""
     regions = elements("nav")
@@ -42,6 +44,7 @@ def nav_links(mutated: bool = False, css: bool = False) -> Column:
     return _or_null(F.filter(_texts_inside(_live(regions, mutated), ["a"], mutated), lambda t: t != ""))
 
 
+@kept
 def sidebar_sections(mutated: bool = False, css: bool = False) -> Column:
     """Heading texts in every aside; ``css`` adds ``.sidebar`` and ``#sidebar``."""
     regions = elements("aside")
@@ -55,6 +58,7 @@ def sidebar_sections(mutated: bool = False, css: bool = False) -> Column:
     return _or_null(_texts_inside(_live(regions, mutated), SIDEBAR_HEADING_TAGS, mutated))
 
 
+@kept
 def footer_text(mutated: bool = False) -> Column:
     """Text of the first footer, NULL if there is none or it is empty."""
     first = F.get(_live(elements("footer"), mutated), F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.plan import kept
 from pagemill.functions.text import WS_CLASS, strip
 from pagemill.operators.document import elements, joined, text_of
 from pagemill.operators.metadata import HEADING_TAGS
@@ -34,6 +35,7 @@ def _first_links() -> Column:
     return F.slice(F.filter(_sampled("a"), lambda a: a["href"].isNotNull()), 1, LINK_LIMIT)
 
 
+@kept
 def text_sample(compat: bool = False) -> Column:
     """Start of the page text; with ``compat`` the text of the last sampled link, if there is a link."""
     page = F.substring(joined(F.filter("texts", _shown), "\n"), 1, TEXT_SCAN)
@@ -43,6 +45,7 @@ def text_sample(compat: bool = False) -> Column:
     return F.substring(page, 1, TEXT_LIMIT)
 
 
+@kept
 def structure_sample() -> Column:
     """``tag#id`` or ``tag.class.class`` of the first elements with a class, by element name."""
 
@@ -61,6 +64,7 @@ def structure_sample() -> Column:
     return F.slice(F.flatten(F.array(*per_tag)), 1, STRUCTURE_LIMIT)
 
 
+@kept
 def links_sample() -> Column:
     """``array<(href, text)>`` of the first links, those without text or target left out afterwards."""
     pairs = F.transform(_first_links(), lambda a: F.struct(a["href"], _text(a).alias("text")))
@@ -68,6 +72,7 @@ def links_sample() -> Column:
     return F.transform(kept, lambda p: F.struct(p["href"], F.substring(p["text"], 1, LINK_TEXT_LIMIT).alias("text")))
 
 
+@kept
 def heading_sample() -> Column:
     """``array<(tag, text)>`` of the first headings."""
     return F.transform(
@@ -76,6 +81,7 @@ def heading_sample() -> Column:
     )
 
 
+@kept
 def sample_title() -> Column:
     first = F.get(_sampled("title"), F.lit(0))
     own = F.when(first["end"] - first["pos"] == 2, _text(first))

@@ -88,9 +88,8 @@ def _followed(links: DataFrame, options: CrawlOptions | None, rules: DataFrame |
     """The links that a traversal can follow: from pages at hand to admitted targets.  Stored, as every level reads them."""
     found = links.select("src_url", F.col("pos").cast("bigint").alias("pos"), "dst_url")
     if fetched is not None:
-        # a page may have most of the links: its rows are not moved to meet one row
-        at_hand = fetched.select(F.col("url").alias("src_url")).distinct()
-        found = skew_safe_join(found, at_hand, "src_url", "inner")
+        # Spark splits a page that has most of the links
+        found = found.join(fetched.select(F.col("url").alias("src_url")).distinct(), "src_url", "left_semi")
     if options is not None:
         found = admit_urls(found, options, rules, url="dst_url").where("admitted").drop("admitted", "reject_reason")
     elif fetched is None:
