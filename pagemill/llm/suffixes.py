@@ -1,6 +1,6 @@
 """Suffix-array deduplication of byte strings, by induced sorting.
 
-Windows of the text are dealt to shards by their anchor, the 16-byte gram with the least hash, so
+Windows of the text are dealt to shards by their anchor, the 32-byte gram with the least hash, so
 that equal windows of all documents meet in one shard.  Each shard's fragments get a suffix array by
 induced sorting; neighbours in it are compared directly, eight bytes at a time and up to a window,
 as windows that share a prefix as long as themselves are repeats of the earliest.  No permuted
@@ -23,9 +23,9 @@ from pagemill.llm.tokens import MULTIPLIERS, pieces, run_hashes
 
 # parameters
 WINDOW = 100
-GRAM = 16
+GRAM = 32
 PIECE_BYTES = 256 << 10
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 512 << 10
 HOT_CONTENTS = 16_384
 
 
