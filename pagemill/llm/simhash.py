@@ -21,17 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from pagemill.llm.components import components
-from pagemill.llm.tables import LAST_ID, discard, keyed, others, partitions, store, table
-from pagemill.llm.tokens import LOWER, MULTIPLIERS, NOT_SPACE, min_labels, pieces, run_hashes, word_bounds, word_hashes
+from pagemill.llm.tables import LAST_ID, keyed, others, partitions, store, table
+from pagemill.llm.tokens import min_labels
 
 # parameters; the sample serves the plan alone, which changes the cost and never the result
 BITS = 64
 SAMPLE = 2_048
 BLOCK = 4_096
-COARSE = 8  # a first look for near copies alone; the prefix shingles find all pairs
-PIECE_BYTES = 256 << 10
-HOT_TOKENS = 1 << 17  # frequent shingles of the sample that are put last; changes the cost alone
-SETTLE = 1 << 18  # edges that the driver settles
 PROBE_COST = 40.0  # a shuffled probe row, in verified pairs
 
 
@@ -234,282 +230,13 @@ def near_duplicates(docs: DataFrame, distance: int, width: int) -> DataFrame:
     return marked.join(classes, "fp").select("doc_id", "_id", "_th", "fp", "component_id", "owner")
 
 
-# --- similarity of texts
-
-
-def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts: SimHashes of the distinct word pairs; the distinct ``width``-word shingles, hashed, ascending within each text; n + 1 offsets into them."""
-    for _, _, data, offsets in pieces(texts, PIECE_BYTES):
-        data = LOWER[data]
-        starts, ends, first = word_bounds(data, offsets, NOT_SPACE)
-        codes, n = word_hashes(data, starts, ends), len(first) - 1
-        sizes = np.diff(first)
-        doc = np.repeat(np.arange(n), sizes)
-        at = np.arange(len(codes)) - first[doc]
-        found = []
-        for w, multiplier in ((2, MULTIPLIERS[1]), (width, MULTIPLIERS[2])):
-            whole = np.flatnonzero(at + w <= sizes[doc])
-            h = np.concatenate([run_hashes(codes, w, multiplier)[whole], [run_hashes(codes[first[d] : first[d + 1]], int(sizes[d]), multiplier)[0] for d in np.flatnonzero((sizes > 0) & (sizes < w))]]).astype(np.uint64)
-            d = np.concatenate([doc[whole], np.flatnonzero((sizes > 0) & (sizes < w))]).astype(np.int64)
-            by = np.lexsort((h, d))
-            h, d = h[by], d[by]
-            fresh = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(h)]
-            found.append((h[fresh], d[fresh]))
-        h, d = found[0]
-        counts, totals = np.zeros((n, BITS), np.int64), np.bincount(d, minlength=n)
-        for k in range(0, len(h), 1 << 15):
-            bits = np.unpackbits(h[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            row = d[k : k + (1 << 15)]
-            cuts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            counts[row[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
-        fps = np.packbits(counts * 2 > totals[:, None], axis=1, bitorder="little").view(np.int64).ravel()
-        h, d = found[1]
-        yield fps, h, np.searchsorted(d, np.arange(n + 1))
-
-
-def prefixes(h: np.ndarray, first: np.ndarray, hot: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of each set that one of a similar set must be among, in one order for all sets, and n + 1 offsets.
-
-    Of n shingles a similar set has ceil(similarity * n) at least, so it can't miss all of n less
-    that plus one.  In the order the shingles of ``hot`` (most frequent last) come behind all others.
-    """
-    n = np.diff(first)
-    doc = np.repeat(np.arange(len(n)), n)
-    late = np.zeros(len(h), np.int64)
-    if len(hot):
-        sorter = np.argsort(hot)
-        at = np.minimum(np.searchsorted(hot, h, sorter=sorter), len(hot) - 1)
-        late = np.where(hot[sorter[at]] == h, sorter[at] + 1, 0)
-    by = np.lexsort((h, late, doc))
-    take = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-    keep = np.arange(len(h)) - first[doc] < take[doc]
-    return h[by][keep], np.concatenate([[0], np.cumsum(take)])
-
-
-def _cut_at_blocks(names: tuple[str, ...], whole):
-    """Arrow step over rows sorted by ``names``: ``whole`` gets rows of complete blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            waiting.append(batch)
-            rows = pa.Table.from_batches(waiting)
-            tail = np.ones(rows.num_rows, bool)
-            for name in names:
-                c = rows[name].to_numpy()
-                tail &= c == c[-1]
-            cut = int(rows.num_rows - tail[::-1].argmin()) if not tail.all() else 0
-            if cut:
-                yield from whole(rows.slice(0, cut))
-                waiting = rows.slice(cut).combine_chunks().to_batches()
-        if waiting:
-            yield from whole(pa.Table.from_batches(waiting))
-
-    return run
-
-
-PAIR = ("ai", "at", "bi", "bt")  # id and text hash of the later and of the earlier document
-PAIRS = "ai bigint, at bigint, bi bigint, bt bigint"
-
-
-def _meetings(similarity: float, star: bool):
-    """Arrow step over rows sorted by tile, _id, _th: pairs that can be similar by sizes and places of the shared shingle; of a star those with the tile's first row alone."""
-    names = ("token", "t1", "t2")
+def without_near_duplicates(docs: DataFrame, distance: int, width: int) -> DataFrame:
+    """The rows of ``docs`` that are first in their class of :func:`near_duplicates`; all columns but ``_id`` and ``_th`` stay.
 
-    def whole(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        new = np.zeros(rows.num_rows, bool)
-        new[0] = True
-        for name in names:
-            c = rows[name].to_numpy()
-            new[1:] |= c[1:] != c[:-1]
-        ids, hashes, n, place = (rows[c].to_numpy() for c in ("_id", "_th", "n", "place"))
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(n)))
-        number = np.repeat(np.arange(len(starts)), sizes)
-
-        def pairs(later: np.ndarray, earlier: np.ndarray) -> Iterator[pa.RecordBatch]:
-            both = similarity / (1 + similarity) * (n[later] + n[earlier])
-            can = np.minimum((n - place)[later], (n - place)[earlier]) >= both - 1e-9
-            x, y = later[can], earlier[can]
-            if len(x):
-                yield pa.RecordBatch.from_pydict({"ai": ids[x], "at": hashes[x], "bi": ids[y], "bt": hashes[y]})
-
-        if star:
-            others_ = np.flatnonzero(~new)
-            yield from pairs(others_, starts[number[others_]])
-            return
-        small = np.flatnonzero(np.repeat(sizes <= 64, sizes))
-        for k in range(1, int(sizes[sizes <= 64].max(initial=1))):
-            same = np.flatnonzero(number[small[k:]] == number[small[:-k]])
-            yield from pairs(small[same + k], small[same])
-        for at, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-            for i in range(0, size, 512):
-                for j in range(i, size, 512):
-                    x, y = np.meshgrid(np.arange(i, min(size, i + 512)), np.arange(j, min(size, j + 512)), indexing="ij")
-                    yield from pairs(at + y[x < y], at + x[x < y])
-
-    return _cut_at_blocks(names, whole)
-
-
-def _similar(similarity: float):
-    """Arrow step: the pairs whose shingle sets, ascending hashes as bytes, are similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("a_set"), batch.column("b_set"), strict=True)):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
-                at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
-                shared = int((x[at] == y).sum()) if len(x) else 0
-                if shared + 1e-9 >= similarity * (len(x) + len(y) - shared):
-                    keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64())).select(list(PAIR))
-
-    return run
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (stored) of the keyed ``docs`` whose exact Jaccard similarity reaches the bound, stored."""
-
-    @F.arrow_udf("binary")
-    def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([h[a:b].tobytes() for _, h, first in shingle_sets(texts, width) for a, b in zip(first, first[1:], strict=False)], pa.binary())
-
-    needed = pairs.select(F.explode(F.array(*[F.struct(F.col(i).alias("_id"), F.col(t).alias("_th")) for i, t in (("ai", "at"), ("bi", "bt"))])).alias("k")).select("k.*").distinct()
-    some = docs.join(needed, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
-    some = store(some.select("_id", "_th", sets("text").alias("set")), "sets")
-    a = some.select(F.col("_id").alias("ai"), F.col("_th").alias("at"), F.col("set").alias("a_set"))
-    b = some.select(F.col("_id").alias("bi"), F.col("_th").alias("bt"), F.col("set").alias("b_set"))
-    found = store(pairs.join(a, ["ai", "at"]).join(b, ["bi", "bt"]).select(*PAIR, "a_set", "b_set").mapInArrow(_similar(similarity), PAIRS), "edges")
-    discard(some, pairs)
-    return found
-
-
-def gone_by(edges: DataFrame, settle: int = SETTLE) -> DataFrame:
-    """(_id, _th), stored: by id, a document goes if an edge leads to an earlier one that stays.
-
-    Documents without an earlier neighbour stay and their neighbours go, round by round, until at most
-    ``settle`` edges are left, which the driver settles; each way has the same result.
-    """
-    spark = edges.sparkSession
-    left, gone = store(edges.distinct(), "left"), None
-    while left.count() > settle:
-        a, b = left.select(F.col("ai").alias("_id"), F.col("at").alias("_th")).distinct(), left.select(F.col("bi").alias("_id"), F.col("bt").alias("_th")).distinct()
-        heads = store(b.join(a, ["_id", "_th"], "left_anti"), "heads")
-        went = left.join(heads, (left.bi == heads._id) & (left.bt == heads._th), "left_semi").select(F.col("ai").alias("_id"), F.col("at").alias("_th")).distinct()
-        went = store(went, "went")
-        gone = went if gone is None else gone.unionByName(went)
-        rest = left.join(went, (left.ai == went._id) & (left.at == went._th), "left_anti")
-        rest = store(rest.join(went, (rest.bi == went._id) & (rest.bt == went._th), "left_anti"), "left")
-        discard(left)
-        left = rest
-    out = set()
-    for a, b in _sorted_pairs(left):
-        if b not in out:
-            out.add(a)
-    local = spark.createDataFrame(pa.table({"_id": pa.array([i for i, _ in out], pa.int64()), "_th": pa.array([t for _, t in out], pa.int64())}))
-    return store(local if gone is None else gone.unionByName(local), "gone")
-
-
-def _sorted_pairs(edges: DataFrame) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    rows = edges.toArrow().to_pydict()
-    return sorted(zip(zip(rows["ai"], rows["at"], strict=True), zip(rows["bi"], rows["bt"], strict=True), strict=True))
-
-
-def leaders_of(docs: DataFrame, similarity: float, width: int = 5, distance: int = COARSE, block: int = BLOCK, settle: int = SETTLE) -> DataFrame:
-    """(_id, _th): the documents that stay when all that resemble an earlier one that stays go.
-
-    By id (nulls last), a document goes if and only if the Jaccard similarity of its distinct shingles of
-    ``width`` words to an earlier one that stays is at least ``similarity``.  Documents of equal shingles are compared
-    once.  Candidates are verified by their whole sets, in three steps.  SimHashes within
-    ``distance`` bits, then shared prefix shingles, link each document to the first one it meets,
-    which thins groups of near copies at the cost of a row each.  Then all pairs of those that
-    stay are found by prefix shingles, which miss none.  Documents that stay are unlike each other then, and
-    those that went have one; if new links bring back a document that went, the step is repeated.
+    First is the smallest id (null last), then text hash.  Of equal rows (id, null too, and text) one stays.
     """
-    spark = docs.sparkSession
-    docs = keyed(docs.select("doc_id", "text"))
-
-    @F.arrow_udf("struct<fp:bigint,s1:bigint,s2:bigint,n:int>")
-    def marks(texts: pa.Array) -> pa.Array:
-        rows = [(f, *np.frombuffer(xxhash.xxh3_128_digest(h[a:b].tobytes()), np.int64).tolist(), int(b - a)) for fps, h, first in shingle_sets(texts, width) for f, a, b in zip(fps.tolist(), first, first[1:], strict=False)]
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["fp", "s1", "s2", "n"])
-
-    marked = store(docs.select("_id", "_th", marks("text").alias("m")).select("_id", "_th", "m.*"), "marks")
-    texts = marked.groupBy("s1", "s2", "n").agg(F.min(F.struct("_id", "_th")).alias("k"), F.min("fp").alias("fp"))
-    texts = store(texts.select("k._id", "k._th", "fp", "n"), "texts")
-    rows = marked.count()
-    discard(marked)
-
-    # first documents of SimHash classes
-    roots = components(near_fingerprints(texts.select("fp").distinct(), distance))
-    classed = store(texts.join(roots, texts.fp == roots.node, "left").select("_id", "_th", "n", F.coalesce("root", "fp").alias("root")), "classes")
-    firsts = classed.groupBy("root").agg(F.min(F.struct("_id", "_th", "n")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    alike = classed.join(firsts, "root").where((F.col("_id") != F.col("f._id")) | (F.col("_th") != F.col("f._th")))
-    alike = alike.where(F.least("n", "f.n") + 1e-9 >= F.greatest("n", "f.n") * similarity)
-    pairs = store(alike.select(F.col("_id").alias("ai"), F.col("_th").alias("at"), F.col("f._id").alias("bi"), F.col("f._th").alias("bt")), "pairs")
-    discard(classed)
-    edges = _verified(pairs, docs, similarity, width)
-    gone = gone_by(edges, settle)
-
-    # prefix shingles that several documents have
-    @F.arrow_udf("array<bigint>")
-    def all_shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([h[a:b].view(np.int64) for _, h, first in shingle_sets(texts, width) for a, b in zip(first, first[1:], strict=False)], pa.list_(pa.int64()))
-
-    sample = docs.where(F.pmod(F.xxhash64("_th", "_id"), F.lit(max(rows, 1))) < SAMPLE)
-    common = sample.select(F.explode(all_shingles("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
-    common = common.orderBy(F.desc("c"), "token").limit(HOT_TOKENS).toArrow()["token"].to_numpy()
-    hot = spark.sparkContext.broadcast(common[::-1].copy().view(np.uint64))
-
-    @F.arrow_udf("array<bigint>")
-    def prefix(texts: pa.Array) -> pa.Array:
-        out = []
-        for _, h, first in shingle_sets(texts, width):
-            tokens, cuts = prefixes(h, first, hot.value, similarity)
-            out += [tokens[a:b].view(np.int64) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pa.array(out, pa.list_(pa.int64()))
-
-    ahead = docs.join(texts.where("n > 0").select("_id", "_th", "n"), ["_id", "_th"]).dropDuplicates(["_id", "_th"])
-    ahead = ahead.select("_id", "_th", "n", prefix("text").alias("p")).select("_id", "_th", "n", F.posexplode("p").alias("place", "token"))
-    ahead = store(ahead, "prefixes")
-    counts = ahead.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = store(ahead.join(counts, "token"), "shared-prefixes")
-    discard(ahead)
-
-    def next_edges(star: bool) -> DataFrame:
-        live = met.join(gone, ["_id", "_th"], "left_anti")
-        chunks = F.ceil(2 * F.col("c") / F.lit(block)).cast("int")
-        chunk = F.pmod(F.xxhash64("_id", "_th"), chunks.cast("bigint")).cast("int")
-        tiles = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(chunk, c).alias("t1"), F.greatest(chunk, c).alias("t2")))
-        own = F.array(F.struct(chunk.alias("t1"), chunk.alias("t2")))
-        alone = F.array(F.struct(F.lit(0).alias("t1"), F.lit(0).alias("t2")))
-        tile = F.explode(F.when(F.col("c") > block, own if star else tiles).otherwise(alone)).alias("tile")
-        dealt = live.select("token", "_id", "_th", "n", "place", tile).select("token", "tile.t1", "tile.t2", "_id", "_th", "n", "place")
-        dealt = dealt.repartition(partitions(spark), "token", "t1", "t2").sortWithinPartitions("token", "t1", "t2", "_id", "_th")
-        return _verified(store(dealt.mapInArrow(_meetings(similarity, star), PAIRS).distinct(), "pairs"), docs, similarity, width)
-
-    star = True
-    while True:
-        edges = edges.unionByName(next_edges(star))
-        now = gone_by(edges, settle)
-        back = gone.join(now, ["_id", "_th"], "left_anti")
-        done = not star and back.isEmpty()  # all links among what stayed are known, and nothing else stays
-        gone, star = now, False
-        if done:
-            break
-    discard(met)
-    return texts.join(gone, ["_id", "_th"], "left_anti").select("_id", "_th")
-
-
-def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` of :func:`leaders_of`; all columns stay.  Of equal rows (id, null too, and text) one stays."""
-    owners = leaders_of(docs, similarity, width)
-    kept = keyed(docs).join(owners, ["_id", "_th"], "left_semi")
+    owners = near_duplicates(docs, distance, width).select("owner.*").distinct()
+    kept = keyed(docs).join(store(owners, "owners"), ["_id", "_th"], "left_semi")
     twins = keyed(docs.select("doc_id", "text")).groupBy("_id", "_th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not twins.isEmpty():
         kept = kept.dropDuplicates(["_id", "_th"])  # combines before the shuffle
