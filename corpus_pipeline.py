@@ -16,7 +16,7 @@ from pagemill.llm.tables import others, store, table
 
 # parameters
 SHARDS = 8
-SIMILARITY = 0.8  # of shingles of five words
+DISTANCE, WIDTH = 4, 4  # bits of SimHashes of word shingles, as in op3
 
 
 INPUT = ("doc_id", "text", "lang", "source")  # columns of a document that stages read
@@ -41,8 +41,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't resemble an earlier one that stays: SimHash and prefix candidates, verified by their shingles."""
-    return with_user_columns(docs, lambda d: simhash.without_near_duplicates(d, SIMILARITY, width=5))
+    """One document, the first, of each class of near SimHashes."""
+    return with_user_columns(docs, lambda d: simhash.without_near_duplicates(d, DISTANCE, WIDTH))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
