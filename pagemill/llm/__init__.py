@@ -1,4 +1,4 @@
-"""Operators for building training corpora: sharding, selection, mixing and deduplication.
+"""Operators for building training corpora: sharding, selection, mixing, deduplication, scans and word statistics.
 
 Nothing outside this folder imports it, save ``__spark_entry__.py`` and ``corpus_pipeline.py``.
 """
