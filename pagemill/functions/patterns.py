@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 
 # The classes of the one dialect in terms of the other, each for use inside brackets.
 _UNICODE = {"w": r"\p{L}\p{N}_", "d": r"\p{Nd}", "s": r"\s\x1c-\x1f\x85\p{Z}"}
@@ -26,7 +27,9 @@ class _Translator:
     def __init__(self, pattern: str):
         self.text, self.at, self.out = pattern, 0, []
         self.names: dict[str, str] = {}
-        compiled = re.compile(pattern)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", FutureWarning)  # of brackets that may mean something else one day
+            compiled = re.compile(pattern)
         self.ascii = bool(compiled.flags & re.ASCII)
         self.verbose = bool(compiled.flags & re.VERBOSE)
         self.flags = "".join(letter for letter, flag in (("i", re.IGNORECASE), ("m", re.MULTILINE), ("s", re.DOTALL)) if compiled.flags & flag)
