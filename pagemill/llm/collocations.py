@@ -7,7 +7,7 @@ that gives the counts of all phrases.
 
 Windows end early where no phrase of enough occurrences can go on: before a word that would make a pair or
 a triple which bitmaps of hashed counts show to be too rare.  They err on the side of longer windows
-only, so no count that matters changes.  They have about two bits for each word of the corpus, up to a bound;
+only, so no count that matters changes.  They have about half a bit for each word of the corpus, up to a bound;
 in a corpus far beyond it they shorten less, and the windows are more.
 """
 
@@ -144,7 +144,7 @@ def window_counts(texts: DataFrame, longest: int, min_count: int) -> DataFrame:
     The lead columns come from the order within the text, so that words are not shuffled for them.
     """
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / 3)))))
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / 12)))))
     context = texts.sparkSession.sparkContext
 
     def short_runs(words: _Words, seeds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
