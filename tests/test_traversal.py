@@ -8,6 +8,7 @@ from pagemill.operators import traversal as TR
 from pagemill.operators.joins import skew_safe_join
 from pagemill.session import materialize
 from pagemill.options import CrawlOptions
+from pagemill.plans.queries import ORACLE, QUERIES
 
 
 def simulate(edges, seed, max_depth, max_pages, fetched, rejected=()):
@@ -75,6 +76,38 @@ def test_state_of_a_site_with_very_many_labels(spark):
     assert "collect_set" not in state._jdf.queryExecution().executedPlan().toString()
 
 
+def test_state_lists_the_labels(spark):
+    hosts = ["b.example.com", "example.com", "a.example.com", "b.example.com", "é.example.com", None]
+    rows = [(h and f"http://{h}/{i}", 0, i + 1, True) for i, h in enumerate(hosts)]
+    urls = spark.createDataFrame(rows, "url string, depth int, visit long, fetched boolean")
+    state = TR.crawl_state(TR.Traversal(urls, urls.limit(0), 6, 2), "http://www.example.com/", listed=True)
+    assert state.columns == ["base_domain", "subdomains", "subdomain_count", "visited_count", "queue_count", "extracted_count"]
+    assert tuple(state.first()) == ("example.com", ["a", "b", "é"], 3, 6, 2, 6)
+    bare = TR.Traversal(urls.where("visit = 2"), urls.limit(0), 1, 0)
+    assert tuple(TR.crawl_state(bare, "http://www.example.com/", listed=True).first()) == ("example.com", [], 0, 1, 0, 1)
+
+
+SITE = [("http://m.example.com/a", "/w1", "/w2"), ("http://docs.example.com/b", "/w1"), ("http://api.example.com/c", "/w2"), ("http://late.example.com/d", "/w2")]
+SITES = {
+    "labels": (SITE, ("example.com", "api | docs | m | words", 4, 5, 1, 5)),
+    "none": ([("http://example.com/a",), ("http://b.example.com/b", "/w1")], ("example.com", None, 0, 1, 0, 0)),
+}
+
+
+@pytest.mark.parametrize("name", ["crawl_state"])
+@pytest.mark.parametrize("site", SITES)
+def test_query_of_the_state_equals_its_sql(spark, tmp_path, site, name):
+    duckdb = pytest.importorskip("duckdb")
+    docs, expected = SITES[site]
+    rows = [(i, url, "<p>" + "".join(f'<a href="{h}">x</a>' for h in hrefs) + "</p>") for i, (url, *hrefs) in enumerate(docs)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    duckdb.execute(f"CREATE OR REPLACE TEMP VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+    reference = duckdb.sql(ORACLE[name])
+    state = QUERIES[name](spark, str(tmp_path))
+    assert state.columns == reference.columns
+    assert [tuple(r) for r in state.collect()] == reference.fetchall() == [expected]
+
+
 def test_large_positions(spark):
     links = spark.createDataFrame([("a", 1 << 40, "b"), ("a", 1 << 41, "c")], "src_url string, pos bigint, dst_url string")
     walk = TR.reachable(links, spark.createDataFrame([("a",)], "url string"), 2, 2)
