@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators.links import link_degrees, link_graph, orphan_pages
 from pagemill.operators.records import content_records
+from pagemill.operators.traversal import Traversal, crawl_state
 from pagemill.sinks import writers as W
 from pagemill.sources.pages import load_pages, write_pages_table
 from pagemill.streaming import content as S
@@ -31,6 +32,18 @@ def test_sorted_lists(spark, tmp_path):
     assert lines(tmp_path / "v") == sorted(urls)
 
 
+def test_state_is_written_with_its_labels(spark, tmp_path):
+    urls = spark.createDataFrame([(f"http://{h}example.com/", 0, i, True) for i, h in enumerate(["b.", "", "a."], 1)], "url string, depth int, visit long, fetched boolean")
+    for visited, labels in ((urls, ["a", "b"]), (urls.where("visit = 2"), [])):
+        state = crawl_state(Traversal(visited, urls.limit(0), visited.count(), 4), "http://example.com/", listed=True)
+        W.write_crawl_state(state, str(tmp_path / "s"))
+        (line,) = lines(tmp_path / "s")
+        n = visited.count()
+        assert json.loads(line) == {
+            "base_domain": "example.com", "subdomains": labels, "subdomain_count": len(labels), "visited_count": n, "queue_count": 4, "extracted_count": n
+        }
+
+
 def test_html_folder(spark, tmp_path):
     (tmp_path / "x.html").write_text("<p>a\nb</p>")
     row = load_pages(spark, str(tmp_path), "html").first()

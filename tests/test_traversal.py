@@ -94,7 +94,7 @@ SITES = {
 }
 
 
-@pytest.mark.parametrize("name", ["crawl_state"])
+@pytest.mark.parametrize("name", ["crawl_state", "write_crawl_state"])
 @pytest.mark.parametrize("site", SITES)
 def test_query_of_the_state_equals_its_sql(spark, tmp_path, site, name):
     duckdb = pytest.importorskip("duckdb")
